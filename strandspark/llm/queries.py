@@ -12,6 +12,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .media import store_texts
 from .pii import joined, pii_spans
+from .toxicity import learn, toxicity
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return toxicity(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,5 +49,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pii": op4_pii,
+    "op8_toxicity": op8_toxicity,
     "op10_bpe": op10_bpe,
 }
