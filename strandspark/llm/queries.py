@@ -11,6 +11,7 @@ from .bpe import bpe_encode
 from .common import table
 from .exact_dedup import exact_dedup
 from .html import extract_main_text
+from .jaccard import jaccard_components
 from .media import store_texts
 from .pii import joined, pii_spans
 from .toxicity import learn, toxicity
@@ -33,6 +34,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pii": op4_pii,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
     "op10_bpe": op10_bpe,
