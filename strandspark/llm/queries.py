@@ -16,6 +16,7 @@ from .licenses import license_scan
 from .media import store_texts
 from .packing import pack_documents
 from .pii import joined, pii_spans
+from .suffix_dedup import remove_repeats
 from .toxicity import learn, toxicity
 
 
@@ -44,6 +45,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pii": op4_pii,
     "op5_license_scan": op5_license_scan,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_html_extraction": op9_html_extraction,
