@@ -87,7 +87,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(docs[text_col], F.lit(""))
     named = name_documents(docs.select(docs[id_col].alias("id"), text.alias("x")), scratch, ascii_lower(F.col("x")) if fold_case else F.col("x"), ["id"], block, hashed)
     named = scratch.put(named)
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size"))
+    # written, so that a large group's rows can be split among tasks when they look up what stays
+    groups = scratch.put(named.groupBy("level", "name").agg(F.max(F.struct("id", "rid")).alias("keep"), F.count("*").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), F.col("sha").alias("text_sha256")
     )
