@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 WORD = re.compile(r"[^\W_]+")
 END = "$"
 
@@ -28,8 +30,9 @@ TRAIN_ROWS = 12_000
 LEXICON, CANDIDATES = 500, 20_000
 #: Letters of the shortest stem, and of the longest prefix counted.
 STEM, PREFIX = 4, 12
-#: An entry occurs after so many different words in toxic texts, and this share of its texts is toxic.
-CONTEXTS, PRECISION = 4, 0.9
+#: An entry occurs after so many different words in toxic texts, this share of its texts is toxic, and
+#: chance would not bring that about: texts times divergence (in nats) from the share among all texts.
+CONTEXTS, PRECISION, EVIDENCE = 4, 0.9, 10.0
 #: Letters from which a word may be misspelled by one edit; its first letter must be right.
 FUZZY = 5
 #: Characters before a hit that are searched for signs of quotation or report.
@@ -50,8 +53,6 @@ class Trie:
                 for c in w:
                     at = self.next[at].setdefault(c, len(self.next)) if c in self.next[at] else self._new(at, c)
                 ends[at] = w
-        #: What a word in reach must begin or end with: of one edit, half of an entry is free.
-        self.heads = {w[:2] for w in words} | {w[:2] for w in stems}
 
     def _new(self, at: int, c: str) -> int:
         self.next.append({})
@@ -152,20 +153,27 @@ class Matcher:
 
     def __init__(self, model: Model):
         self.model, self.trie = model, Trie(model.words, model.stems)
-        self.first = {w[0] for w in model.words if len(w) >= FUZZY}
-        self.halves = {w[: len(w) // 2] for w in model.words if len(w) >= FUZZY}
-        self.tails = {w[len(w) // 2 :] for w in model.words if len(w) >= FUZZY}
-        self.size = {len(h) for h in self.halves}, {len(t) for t in self.tails}
+        #: Lengths of the entries that begin with a first half, or end with a second one.
+        self.halves: dict[str, set[int]] = defaultdict(set)
+        self.tails: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for w in model.words:
+            if len(w) >= FUZZY:
+                self.halves[w[: len(w) // 2]].add(len(w))
+                self.tails[w[0], w[len(w) // 2 :]].add(len(w))
+        self.size = {len(h) for h in self.halves}, {len(t) for _, t in self.tails}
         self.known: dict[str, int] = {}
 
     def kind(self, w: str) -> int:
         """1: entry, 2: misspelling, 0: neither."""
         if self.trie.exact(w):
             return 1
-        if len(w) < FUZZY - 1 or w[0] not in self.first or w in self.model.innocent:
+        n = len(w)
+        if n < FUZZY - 1 or w in self.model.innocent:
+            return 0
+        # one edit leaves the first or the second half of the entry whole
+        near = [k for i in self.size[0] for k in self.halves.get(w[:i], ())] + [k for i in self.size[1] for k in self.tails.get((w[0], w[-i:]), ())]
+        if not any(abs(k - n) <= 1 for k in near):
             return 0
-        if not (any(w[:n] in self.halves for n in self.size[0]) or any(w[-n:] in self.tails for n in self.size[1])):
-            return 0  # one edit leaves the first or the second half of the entry whole
         return 2 if any(len(x) >= FUZZY and x[0] == w[0] for x in intersect(self.trie, w)) else 0
 
     def words(self, text: str) -> dict[str, int]:
@@ -224,7 +232,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen: set[str] = set()
+            seen = {""}
             prev = ""
             for w in WORD.findall((text or "").lower()):
                 full = w[:64] + END
@@ -253,9 +261,15 @@ def hash_word(w: str) -> int:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Lexicon and weights from labelled rows outside the held-out fold. Only counts of texts and the
     features of the bounded training rows reach the driver."""
-    train = _training(docs, labels, rows)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    train = scratch.put(_training(docs, labels, rows))
     counts = train.mapInArrow(_prefixes, "entry string, pos long, neg long, before long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_count(F.bit_or("before")).alias("contexts"))
-    good = counts.where((F.col("contexts") >= CONTEXTS) & (F.col("pos") / (F.col("pos") + F.col("neg") + 0.2) >= PRECISION))
+    share = F.col("pos") / (F.col("pos") + F.col("neg") + 0.2)
+    counts = scratch.put(counts.where((F.col("contexts") >= CONTEXTS) & (share >= PRECISION) | (F.col("entry") == "")))
+    texts = counts.where("entry = ''").select("pos", "neg").first()
+    rate = (texts.pos + 1) / (texts.pos + texts.neg + 2) if texts else 0.5
+    evidence = F.col("pos") * F.log(share / rate) + (F.col("neg") + 0.2) * F.log((1 - share) / (1 - rate))
+    good = counts.where((F.col("entry") != "") & (evidence >= EVIDENCE))
     found = {r.entry: r.pos for r in good.orderBy(F.desc("pos"), "entry").limit(CANDIDATES).collect()}
     longest: dict[str, int] = defaultdict(int)  # support of the best extension of each beginning
     for e, n in found.items():
