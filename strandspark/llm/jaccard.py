@@ -378,7 +378,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         if large.isEmpty():
             break
         inside = dealt.join(large, "block", "left_semi")
-        again = _blocks(known.join(inside.select("id", "block"), "id").select("id", "text", "block"), scratch, ranges, words, seed, True)
+        again = _blocks(known.join(inside.select("id", "block").hint("merge"), "id").select("id", "text", "block"), scratch, ranges, words, seed, True)
         fresh = again.withColumnRenamed("node", "id").join(inside.select("id", "n"), "id").select("id", "n", F.xxhash64("component", F.lit(seed)).alias("block"))
         dealt = scratch.put(dealt.join(large, "block", "left_anti").select("id", "n", "block").unionByName(fresh))
     cut = sizes(dealt).withColumn("k", F.when(F.col("weight") <= block, 1).otherwise(F.ceil(F.col("weight") * 2 / block)).cast("int"))
@@ -387,7 +387,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     cells = cells.select("id", "block", "part", other.alias("o")).select("id", "block", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part")
     cells = scratch.put(cells)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = known.join(cells, "id").select("block", "i", "j", "part", "id", "text").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id")
+    rows = known.join(cells.hint("merge"), "id").select("block", "i", "j", "part", "id", "text").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id")
     links = scratch.put(rows.mapInArrow(_search(num, den, words), "a long, b long"))
     found = connected_components(links.unionByName(same), scratch)
     return (
