@@ -227,7 +227,8 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:5]] + [pa.array(np.concatenate(c).astype(np.int64)) for c in cols[5:6]] + [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[6:]], names=names)
 
     seen = scratch.put(long.mapInArrow(survey, "sh long, h1 long, h2 long, d long, tk long, pos long, l int, r int"))
-    again = seen.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select("sh")
+    # written, so that a seed of very many places can be split among tasks when places look it up
+    again = scratch.put(seen.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select("sh"))
     same = scratch.put(seen.join(again, "sh", "left_semi"))
     scratch.drop(seen)
     classes = scratch.put(same.groupBy("sh", "h1", "h2", "l", "r").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("d", "tk", "pos")]))
