@@ -37,6 +37,8 @@ CONTEXTS, PRECISION, EVIDENCE = 4, 0.9, 10.0
 FUZZY = 5
 #: Characters before a hit that are searched for signs of quotation or report.
 WINDOW = 80
+#: Texts without a hit never count as toxic, whatever the share of toxic ones among labelled texts.
+MOST_BIAS = -1.0
 #: Words that report what others say.
 REPORT = re.compile(r"\b(?:called|calls|calling|said|says|saying|quote|quotes|quoted|quoting|wrote|writes|cited|cites|the (?:word|term|insult|slur)s?|so-called|reported|reports|alleged|allegedly)\b[^.!?\n]*$", re.I)
 PAIRS = (("\"", "\""), ("“", "”"), ("«", "»"), ("„", "“"))
@@ -323,7 +325,8 @@ def _features(train: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = (3.0, 0.4, 1.5), strength: float = 2.0) -> tuple[tuple[float, ...], float]:
-    """Logistic regression by Newton's method, weights drawn to the prior and never below zero."""
+    """Logistic regression by Newton's method, weights drawn to the prior and never below zero, the bias
+    never above MOST_BIAS."""
     a = np.column_stack([x, np.ones(len(x))])
     mean = np.array([*prior, -3.0])
     w = mean.copy()
@@ -336,7 +339,7 @@ def fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = (3.0, 0.4, 1.5)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(max(0.0, float(v)) for v in w[:-1]), float(w[-1])
+    return tuple(max(0.0, float(v)) for v in w[:-1]), min(float(w[-1]), MOST_BIAS)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
