@@ -2,10 +2,11 @@
 
 1. Every document becomes its set of hashed shingles. Documents with equal sets form a class; the
    smallest id stands for it.
-2. Candidates: the hash space is cut into m ranges, m being one more than two linked sets of that size
-   can differ by. Linked sets then agree on a whole range, and documents that agree on a range are
-   joined into a block. Each range that a document shares costs one fixed-size entry, merged per task
-   before the shuffle, so a hot range is one entry of each task.
+2. Candidates: the hash space is cut into m ranges, some more than the d shingles by which two linked
+   sets of that size can differ. Linked sets then agree on m - d ranges. What of each range a document
+   has is one fixed-size entry, merged per task before the shuffle, so a hot range is one entry of each
+   task. A document that shares fewer than m - d of its ranges with any others links with nothing and
+   is done with; the rest, few, are joined into blocks where they agree on a range.
 3. Within a block, inverted lists from shingle to documents answer for each document which others share
    T shingles: short lists are merged by a heap, long ones are probed by binary search for what the
    merge left over. Only links that join two components are reported.
@@ -39,7 +40,7 @@ U = np.uint64
 #: Shingles that the documents of a block hold at most in one task.
 BLOCK = 4_000_000
 #: Entries that a task collects before it hands them on.
-ENTRIES = 1_500_000
+ENTRIES = 2_000_000
 #: Postings up to which short lists go through the heap; more are merged by sorting.
 HEAP = 2000
 
@@ -92,8 +93,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 class Ranges:
     """How sets of given sizes are cut. Sets of sizes n and up to n / threshold can link, so sizes are
-    grouped in levels, each set is cut at its own level and, if larger ones in reach belong to the next
-    level, at that too. At a level, linked sets differ in no more than d shingles; of d + 1 + z ranges
+    grouped in levels, and each set is cut at its own level and at those of larger ones in reach. At a level, linked sets differ in no more than d shingles; of d + 1 + z ranges
     they agree on more than z. A set with more than z empty ranges could agree on empty ones alone;
     it agrees with such sets only, and gets its first shingles as further entries."""
 
@@ -104,7 +104,7 @@ class Ranges:
 
     def levels(self, n: int) -> list[int]:
         at = lambda x: int(math.log(x) / -math.log(self.RATIO) + 1e-9)
-        return sorted({at(n), at(n * self.den // self.num)})
+        return list(range(at(n), at(n * self.den // self.num) + 1))
 
     def cuts(self, level: int) -> tuple[int, int]:
         """(ranges, empty ones allowed)."""
@@ -114,8 +114,8 @@ class Ranges:
         z = 2 + math.ceil(2 * (d + 1) * math.exp(-low / (d + 1)))
         return d + 1 + z, z
 
-    def entries(self, s: np.ndarray, seed: int = 0) -> np.ndarray:
-        """64-bit entries; linked sets have one in common."""
+    def entries(self, s: np.ndarray, seed: int = 0) -> list[tuple[int, np.ndarray, int]]:
+        """(level, 64-bit entries, how many of them a set shares with one that it links with)."""
         out = []
         h = s if not seed else np.sort(mix(s ^ U(seed * 0x9E3779B9)))
         sums = np.zeros(len(h) + 1, U)
@@ -125,69 +125,169 @@ class Ranges:
             at = np.searchsorted(h, np.arange(1, m, dtype=U) * U((1 << 64) // m))
             at = np.concatenate(([0], at, [len(h)]))
             full = np.diff(at) > 0
-            sig = mix((sums[at[1:]] - sums[at[:-1]]) ^ (np.arange(m, dtype=U) + U(level << 32)) * U(0xD1342543DE82EF95))
-            out.append(sig[full])
-            if m - full.sum() > z:
+            sig = mix((sums[at[1:]] - sums[at[:-1]]) ^ (np.arange(m, dtype=U) + U(level << 32)) * U(0xD1342543DE82EF95))[full]
+            share = z + 1 - (m - len(sig))
+            if share < 1:
                 need = -(-self.num * len(s) // self.den)
-                out.append(mix(h[: len(h) - need + 1] ^ U((level << 8) + 255)))
-        return np.concatenate(out)
+                sig = np.concatenate((sig, mix(h[: len(h) - need + 1] ^ U((level << 8) + 255))))
+            out.append((level, sig, max(1, share)))
+        return out
 
 
-def _entries(ranges: Ranges, words: int, seed: int, parts: int, grouped: bool):
-    """Packs entries by part: (part, hashes, ids). grouped: a third column keeps groups apart."""
+def _shared(ranges: Ranges, words: int, parts: int):
+    """Entries by part, packed for counting: (part, kind, a, b, ids). Kind 0: five bytes of each entry,
+    place of its document in ids, and level with 128 added if the document was seen to share it. Kind 1:
+    (document, level, number of entries) that were seen to be shared within the task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, n = [], [], 0
+        hashes, docs, levels, n = [], [], [], 0
 
         def flush():
-            h, d = np.concatenate(hashes), np.concatenate(ids)
+            h, d, v = np.concatenate(hashes), np.concatenate(docs), np.concatenate(levels)
             order = np.lexsort((d, h))
-            h, d = h[order], d[order]
+            h, d, v = h[order], d[order], v[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            run_of = np.repeat(first, np.diff(np.append(first, len(h))))
-            twin = d != d[run_of]
-            pairs = np.unique(np.stack((d[twin], d[run_of][twin]), 1), axis=0) if twin.any() else np.empty((0, 2), np.int64)
+            size = np.diff(np.append(first, len(h)))
+            # a document counts once for an entry, and shares it only with another document
+            many = np.zeros(len(h), bool)
+            many[np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size)] = True
+            rows = []
+            if many.any():
+                key, count = np.unique(np.stack((d[many], v[many].astype(np.int64)), 1), axis=0, return_counts=True)
+                where = key[:, 0] % parts
+                for p in np.unique(where).tolist():
+                    k = where == p
+                    rows.append((p, 1, key[k, 0].tobytes(), np.stack((key[k, 1], count[k]), 1).astype(np.int32).tobytes(), b""))
+            flag = v[first] | np.where(many[first], np.uint8(128), np.uint8(0))
             h, d = h[first], d[first]
             part = ((h >> U(40)) % U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
-            keys = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            h, d = h[order], d[order]
-            a = [h[cut[p] : cut[p + 1]].tobytes() for p in keys]
-            b = [d[cut[p] : cut[p + 1]].tobytes() for p in keys]
-            if len(pairs):  # what this task knows already travels as entries of two
-                mark = mix(np.arange(len(pairs), dtype=U) + U(1 << 62)) ^ mix(pairs[:, 0].view(U)) ^ mix(pairs[:, 1].view(U) + U(7))
-                where = pairs[:, 1] % parts
-                order = np.argsort(where, kind="stable")
-                cut = np.searchsorted(where[order], np.arange(parts + 1))
-                pairs, mark = pairs[order], mark[order]
-                for p in range(parts):
-                    if cut[p] < cut[p + 1]:
-                        keys.append(p)
-                        a.append(np.repeat(mark[cut[p] : cut[p + 1]], 2).tobytes())
-                        b.append(pairs[cut[p] : cut[p + 1]].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "hashes", "ids"])
+            low = h.view(np.uint8).reshape(-1, 8)[:, :5][order]
+            d, flag = d[order], flag[order]
+            for p in range(parts):
+                if cut[p] < cut[p + 1]:
+                    k = slice(cut[p], cut[p + 1])
+                    ids, at = np.unique(d[k], return_inverse=True)
+                    rows.append((p, 0, low[k].tobytes(), np.rec.fromarrays((at.astype(np.uint32), flag[k]), dtype=[("i", "<u4"), ("f", "u1")]).tobytes(), ids.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "kind", "a", "b", "ids"])
 
         for batch in batches:
-            groups = batch.column(2).to_pylist() if grouped else None
-            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(t, words)
-                if len(s):
-                    e = ranges.entries(s, seed)
-                    if grouped:
-                        e = mix(e ^ U(groups[k] * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF))
+                for level, e, _ in ranges.entries(s) if len(s) else ():
                     hashes.append(e)
-                    ids.append(np.full(len(e), i, np.int64))
+                    docs.append(np.full(len(e), i, np.int64))
+                    levels.append(np.full(len(e), level, np.uint8))
                     n += len(e)
             if n > ENTRIES:
                 yield flush()
-                hashes, ids, n = [], [], 0
+                hashes, docs, levels, n = [], [], [], 0
         if n:
             yield flush()
 
     return run
 
 
+def _summed(key: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (id, level) rows and the sums of their counts."""
+    k, n = np.concatenate(key), np.concatenate(count)
+    order = np.lexsort((k[:, 1], k[:, 0]))
+    k, n = k[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
+    return k[first], np.add.reduceat(n, first)
+
+
+def _count_shared(parts: int):
+    """Entries that a document shares, as far as this task's parts tell: (part, ids and levels, counts),
+    packed by the part that adds a document's counts up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, part, packs = [], [], None, []
+
+        def close():
+            h = np.concatenate([np.pad(np.frombuffer(a, np.uint8).reshape(-1, 5), ((0, 0), (0, 3))).view("<u8").ravel() for a, _, _ in packs])
+            recs = [np.frombuffer(b, [("i", "<u4"), ("f", "u1")]) for _, b, _ in packs]
+            d = np.concatenate([np.frombuffer(ids, np.int64)[r["i"]] for r, (_, _, ids) in zip(recs, packs)])
+            f = np.concatenate([r["f"] for r in recs])
+            order = np.lexsort((d, h))
+            h, d, f = h[order], d[order], f[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            size = np.diff(np.append(first, len(h)))
+            many = np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size) & (f < 128)
+            if many.any():
+                k, n = _summed([np.stack((d[many], (f[many] & 127).astype(np.int64)), 1)], [np.ones(many.sum(), np.int64)])
+                keys.append(k)
+                counts.append(n)
+
+        def flush():
+            k, n = _summed(keys, counts)
+            where = k[:, 0] % parts
+            order = np.argsort(where, kind="stable")
+            cut = np.searchsorted(where[order], np.arange(parts + 1))
+            k, n = k[order], n[order]
+            some = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([k[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), pa.array([n[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "k", "n"])
+
+        for batch in batches:
+            for p, kind, a, b, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind:
+                    pairs = np.frombuffer(b, np.int32).reshape(-1, 2).astype(np.int64)
+                    keys.append(np.stack((np.frombuffer(a, np.int64), pairs[:, 0]), 1))
+                    counts.append(pairs[:, 1])
+                    continue
+                if p != part and packs:
+                    close()
+                    packs = []
+                part = p
+                packs.append((a, b, ids))
+            if sum(map(len, counts)) > ENTRIES:
+                yield flush()
+                keys, counts = [], []
+        if packs:
+            close()
+        if keys:
+            yield flush()
+
+    return run
+
+
+def _add_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, level, got) from packed counts, part by part."""
+    part, keys, counts = None, [], []
+
+    def close():
+        k, n = _summed(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1].astype(np.int32)), pa.array(n)], names=["id", "level", "got"])
+
+    for batch in batches:
+        for p, k, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if p != part and keys:
+                yield close()
+                keys, counts = [], []
+            part = p
+            keys.append(np.frombuffer(k, np.int64).reshape(-1, 2))
+            counts.append(np.frombuffer(n, np.int64))
+    if keys:
+        yield close()
+
+
+def _entries(ranges: Ranges, words: int, seed: int):
+    """(entry, id) of every document, entries of different blocks kept apart."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, ids = [], []
+            for i, t, g in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, e, _ in ranges.entries(shingle_set(t, words), seed):
+                    out.append(mix(e ^ U(g * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)))
+                    ids.append(np.full(len(e), i, np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], names=["e", "id"])
+
+    return run
+
+
 class Union:
     def __init__(self):
         self.up: dict[int, int] = {}
@@ -210,39 +310,6 @@ class Union:
         return True
 
 
-def _agree(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids that share an entry, as edges to the smallest id of what they hang together with here."""
-    known = Union()
-
-    def close(hashes, ids):
-        h = np.frombuffer(b"".join(hashes), U)
-        d = np.frombuffer(b"".join(ids), np.int64)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        head = d[np.repeat(first, np.diff(np.append(first, len(h))))]
-        twin = d != head
-        if twin.any():
-            for x, y in np.unique(np.stack((d[twin], head[twin]), 1), axis=0).tolist():
-                known.join(x, y)
-
-    part, hashes, ids = None, [], []
-    for b in batches:
-        for p, h, i in zip(*(c.to_pylist() for c in b.columns)):
-            if p != part and hashes:
-                close(hashes, ids)
-                hashes, ids = [], []
-            part = p
-            hashes.append(h)
-            ids.append(i)
-    if hashes:
-        close(hashes, ids)
-    edges = [(x, r) for x in known.up if (r := known.find(x)) != x]
-    for k in range(0, len(edges), 100_000):
-        some = edges[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in some], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
 def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, side: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (a, b) of a block that join two of its components, by DivideSkip. With side, only documents
     of different sides are compared."""
@@ -331,12 +398,14 @@ def _search(num: int, den: int, words: int):
     return run
 
 
-def _blocks(src: DataFrame, scratch: Scratch, ranges: Ranges, words: int, seed: int, grouped: bool = False) -> DataFrame:
-    """node, component over documents that share an entry; src: id, text and, if grouped, block."""
-    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = src.mapInArrow(_entries(ranges, words, seed, parts, grouped), "part int, hashes binary, ids binary")
-    edges = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_agree, "a long, b long")
-    return connected_components(edges, scratch)
+def _blocks(src: DataFrame, scratch: Scratch, ranges: Ranges, words: int, seed: int) -> DataFrame:
+    """node, component over documents (id, text, block) of a block that share an entry."""
+    entries = scratch.put(src.select("id", "text", "block").mapInArrow(_entries(ranges, words, seed), "e long, id long"))
+    heads = scratch.put(entries.groupBy("e").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b <> z").select("e", "b"))
+    edges = entries.join(heads, "e").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    found = connected_components(edges, scratch)
+    scratch.drop(entries, heads)
+    return found
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -358,36 +427,44 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
             rows = []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t, words)
-                rows.append((len(s), *set_key(s)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]], names=["id", "n", "k1", "k2"])
+                need = [(v, k) for v, _, k in ranges.entries(s)] if len(s) else []
+                rows.append((len(s), *set_key(s), [v for v, _ in need], [k for _, k in need]))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.list_(pa.int32())) for c in cols[3:]]], names=["id", "n", "k1", "k2", "levels", "needs"])
 
-    sized = scratch.put(src.mapInArrow(classes, "id long, n long, k1 long, k2 long"))
+    sized = scratch.put(src.mapInArrow(classes, "id long, n long, k1 long, k2 long, levels array<int>, needs array<int>"))
     # the smallest id of equal sets stands for them
-    heads = sized.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("head"))
-    member = scratch.put(sized.join(heads, ["n", "k1", "k2"], "left").select("id", "n", "head"))
+    heads = scratch.put(sized.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("head")))
+    member = scratch.put(sized.join(heads, ["n", "k1", "k2"], "left").select("id", "n", "head", "levels", "needs"))
+    scratch.drop(sized, heads)
     same = member.where("head is not null and head <> id").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    lone = member.where("head = id").groupBy("id").agg(F.max("n").alias("n"))
 
     known = src.where("id is not null")
-    shared = scratch.put(_blocks(known, scratch, ranges, words, 0))
-    # only documents that stand for a class go into a block
-    dealt = scratch.put(shared.withColumnRenamed("node", "id").join(lone, "id").select("id", "n", F.col("component").alias("block")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = known.mapInArrow(_shared(ranges, words, parts), "part int, kind int, a binary, b binary, ids binary")
+    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_shared(parts), "part int, k binary, n binary")
+    counts = scratch.put(found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_add_counts, "id long, level int, got long"))
+    needs = member.where("head = id").select("id", "n", F.explode(F.arrays_zip("levels", "needs")).alias("x")).select("id", "n", F.col("x.levels").alias("level"), F.col("x.needs").alias("need"))
+    lone = scratch.put(needs.join(counts, ["id", "level"]).where("got >= need").groupBy("id").agg(F.max("n").alias("n")))
+    texts = scratch.put(known.join(lone.hint("merge"), "id").select("id", "text", "n"))
+
+    dealt = texts.select("id", "n", F.lit(0).cast("long").alias("block"))
     sizes = lambda d: d.groupBy("block").agg(F.sum("n").alias("weight"), F.count("*").alias("docs")).where("docs > 1")
-    for seed in (1, 2):
-        large = scratch.put(sizes(dealt).where(F.col("weight") > block).select("block"))
+    for seed in (0, 1, 2, 3):
+        large = scratch.put(sizes(dealt).where((F.lit(seed) == 0) | (F.col("weight") > block)).select("block"))
         if large.isEmpty():
             break
-        inside = dealt.join(large, "block", "left_semi")
-        again = _blocks(known.join(inside.select("id", "block").hint("merge"), "id").select("id", "text", "block"), scratch, ranges, words, seed, True)
+        inside = scratch.put(texts.join(dealt.join(large, "block", "left_semi").select("id", "block").hint("merge"), "id"))
+        again = _blocks(inside, scratch, ranges, words, seed)
         fresh = again.withColumnRenamed("node", "id").join(inside.select("id", "n"), "id").select("id", "n", F.xxhash64("component", F.lit(seed)).alias("block"))
         dealt = scratch.put(dealt.join(large, "block", "left_anti").select("id", "n", "block").unionByName(fresh))
+        scratch.drop(inside)
     cut = sizes(dealt).withColumn("k", F.when(F.col("weight") <= block, 1).otherwise(F.ceil(F.col("weight") * 2 / block)).cast("int"))
     cells = dealt.join(cut.select("block", "k"), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     cells = cells.select("id", "block", "part", other.alias("o")).select("id", "block", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part")
     cells = scratch.put(cells)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = known.join(cells.hint("merge"), "id").select("block", "i", "j", "part", "id", "text").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id")
+    rows = texts.join(cells.hint("merge"), "id").select("block", "i", "j", "part", "id", "text").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id")
     links = scratch.put(rows.mapInArrow(_search(num, den, words), "a long, b long"))
     found = connected_components(links.unionByName(same), scratch)
     return (
