@@ -91,12 +91,13 @@ CONFIRM = {
 }
 
 
-def spans_of(text: Column, kind: Kind) -> Column:
-    """array<struct<start,end,kind,value,score>> of the confirmed spans of one kind, by start; positions
-    in characters, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+PLACES = "array<struct<start:int,end:int,value:string>>"
+#: Matches that are placed in one inner fold: arrays grow by copying, so a long text's are put together in pieces.
+PIECE = 256
+
+
+def places_of(found: Column, gaps: Column) -> Column:
+    """array<struct<start,end,value>> from matches and the texts between them."""
 
     def step(acc: Column, i: Column) -> Column:
         value = F.get(found, i)
@@ -104,8 +105,19 @@ def spans_of(text: Column, kind: Kind) -> Column:
         end = start + F.length(value)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
 
-    at = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["out"]
-    some = F.when(F.size(found) > 0, at).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    def piece(acc: Column, k: Column) -> Column:
+        return F.aggregate(
+            F.sequence(k * PIECE, F.least((k + 1) * PIECE, F.size(found)) - 1), F.struct(acc["at"].alias("at"), F.array().cast(PLACES).alias("out"), acc["out"].alias("before")),
+            lambda a, i: F.struct(step(a, i)["at"].alias("at"), step(a, i)["out"].alias("out"), a["before"].alias("before")), lambda a: F.struct(a["at"].alias("at"), F.concat(a["before"], a["out"]).alias("out")),
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("out"))
+    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PIECE).cast("int")), zero, piece)["out"]).otherwise(F.array().cast(PLACES))
+
+
+def spans_of(text: Column, kind: Kind, some: Column) -> Column:
+    """array<struct<start,end,kind,value,score>> of the confirmed spans among places of one kind, by start;
+    positions in characters, end exclusive."""
     sure = F.filter(some, lambda s: CONFIRM[kind.confirm](s["value"]))
 
     def scored(s: Column) -> Column:
@@ -118,8 +130,7 @@ def spans_of(text: Column, kind: Kind) -> Column:
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), s["value"].alias("value"), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
 
     out = F.filter(F.transform(sure, scored), lambda s: s["score"] >= kind.keep) if kind.keep else F.transform(sure, scored)
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string,value:string,score:double>>")
-    return F.when(text.rlike(kind.quick), out).otherwise(empty)
+    return out
 
 
 def pii_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, out_col: str = "spans") -> DataFrame:
@@ -129,11 +140,15 @@ def pii_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     those below their kind's bound. Null and empty texts have none. Rows are independent; an own column
     named out_col is replaced, all others stay.
     """
-    # each kind is a column of its own first: one expression of all would be too large to compile
+    # each step is a column of its own: what a lambda refers to is then computed once for a row
     text = F.coalesce(docs[text_col], F.lit(""))
     df = docs.withColumn("__text", text)
     names = [f"__k{i}" for i, _ in enumerate(kinds)]
-    df = df.withColumns({n: spans_of(F.col("__text"), k) for n, k in zip(names, kinds)})
+    t, none = F.col("__text"), F.array().cast("array<string>")
+    df = df.withColumns({f"__f{i}": F.when(t.rlike(k.quick), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none) for i, k in enumerate(kinds)})
+    df = df.withColumns({f"__g{i}": F.when(F.size(f"__f{i}") > 0, F.split(t, k.pattern, -1)).otherwise(none) for i, k in enumerate(kinds)})
+    df = df.withColumns({f"__p{i}": places_of(F.col(f"__f{i}"), F.col(f"__g{i}")) for i, _ in enumerate(kinds)})
+    df = df.withColumns({n: spans_of(t, k, F.col(f"__p{i}")) for i, (n, k) in enumerate(zip(names, kinds))})
     rank = {k.name: i for i, k in enumerate(kinds)}
     order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
     keyed = F.transform(F.flatten(F.array(*names)), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["score"].alias("score")))
@@ -142,7 +157,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     some = F.lit(False)
     for n in names:
         some = some | (F.size(n) > 0)
-    return df.withColumn(out_col, F.when(some, plain).otherwise(empty)).drop("__text", *names)
+    return df.withColumn(out_col, F.when(some, plain).otherwise(empty)).drop("__text", *names, *[f"__{c}{i}" for c in "fgp" for i, _ in enumerate(kinds)])
 
 
 def joined(spans: Column, base_only: bool) -> Column:
