@@ -125,7 +125,7 @@ def bam_export(spark, sf):
 
 @query("bam_split", RD + " SELECT CAST(floor((row_number() OVER (ORDER BY idx) - 1)/7000) AS BIGINT) AS part, idx FROM rd")
 def bam_split(spark, sf):
-    return A.split_number(reads(spark, sf), 7000, tile=10**9).select("part", "idx")
+    return A.split_number(reads(spark, sf), 7000, tile=10**12).select("part", "idx")
 
 
 @query("bam_best", RD + f" SELECT idx, rank() OVER (PARTITION BY qname ORDER BY {MAPPED} DESC, t_as DESC, t_nm) = 1 AS best FROM rd")

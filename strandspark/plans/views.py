@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _POS = "(l_orderkey*7919+l_partkey*104729+l_linenumber*31)%1000000"
-#: Lines of an order may share their number, so parts and suppliers go into the key.
-_KEY = "((l_orderkey*8+l_linenumber)*20000+l_partkey)*1000+l_suppkey"
+#: Lines of an order may share their number, so parts, suppliers and quantities go into the key.
+_KEY = "(((l_orderkey*8+l_linenumber)*20000+l_partkey)*1000+l_suppkey)*64+CAST(l_quantity AS INT)"
 _SEQ = "translate(md5(CAST(l_orderkey AS STRING)||'-'||CAST(l_linenumber AS STRING)),'0123456789abcdef','ACGTACGTACGTACGT')"
 _QUAL = "translate(md5(CAST(l_partkey AS STRING)||'+'||CAST(l_linenumber AS STRING)),'0123456789abcdef','!#%+05:?ABDEFGHI')"
 
