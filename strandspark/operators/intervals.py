@@ -99,10 +99,15 @@ def nearest(query: DataFrame, reference: DataFrame, maxdist: int = 100_000, matc
     whose name contains the query's.
     """
     q = _numbered(query)
-    size = bin_size or max(BIN, maxdist // 4)
-    pairs = overlap_pairs(q, reference, stranded, True, maxdist, size, ("chrom", "start", "end", "strand", "name"))
-    if match_name:
-        pairs = pairs.where(F.col("t_name").contains(F.col("name")))
+    cols = ("chrom", "start", "end", "strand", "name")
+
+    def within(regions: DataFrame, margin: int) -> DataFrame:
+        found = overlap_pairs(regions, reference, stranded, True, margin, bin_size or max(BIN, margin // 4), cols)
+        return found.where(F.col("t_name").contains(F.col("name"))) if match_name else found
+
+    # what lies close settles most regions, as nothing further can tie with it; the others look further
+    close = within(q, maxdist // 16)
+    pairs = close.unionByName(within(q.join(close.select("__rid").distinct(), "__rid", "left_anti").select(q.columns), maxdist))
     far, side = distance(F.col("start"), F.col("end"), F.col("t_start"), F.col("t_end"))
     back = (F.col("t_strand") == "+") & (side == "down") | (F.col("t_strand") == "-") & (side == "up")
     pairs = pairs.withColumns({"__far": far, "__side": side, "distance": F.when(back, -far).otherwise(far)})
