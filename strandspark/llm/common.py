@@ -41,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables of one query in the shared folder. put() cuts lineage: what was written is read back,
-    and a lost executor costs no recomputation of what led to it."""
+    and a lost executor costs no recomputation of what led to it. As with checkpoints, what the result
+    reads stays in the folder until its owner clears it; drop() removes what no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
