@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cigar as C
 from ..functions import flags as G
 from ..functions.sequence import revcomp
-from .align import mapped
+from .align import mapped, ops
+from .pileup import reference_base
 
 MD = re.compile(r"([0-9]+)|\^([A-Za-z]+)|([A-Za-z])")
 CIGAR = re.compile(r"([0-9]+)([MIDNSHP=X])")
@@ -68,6 +70,16 @@ def variants(reads: DataFrame) -> DataFrame:
     return src.mapInPandas(run, "idx long, chrom string, op string, pos long, bases string")
 
 
+def reference_variants(reads: DataFrame, reference: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """The same rows from comparing aligned bases with the reference instead of MD tags; deletions have no bases."""
+    o = reads.where(mapped()).select("idx", "chrom", "seq", F.explode(C.walk(F.col("pos"), ops())).alias("o")).select("idx", "chrom", "seq", "o.*")
+    spelled = o.where(F.col("op").isin("M", "=", "X")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
+    spelled = spelled.select("idx", "chrom", F.lit("M").alias("op"), (F.col("ref") + F.col("i")).cast("long").alias("pos"), F.upper(F.substring(F.col("seq"), F.col("read") + F.col("i") + 1, F.lit(1))).alias("bases"))
+    odd = reference_base(spelled, reference, chunk).where("bases <> ref").drop("ref")
+    indels = o.where(F.col("op").isin("I", "D")).select("idx", "chrom", "op", F.col("ref").cast("long").alias("pos"), F.when(F.col("op") == "I", F.upper(F.substring(F.col("seq"), F.col("read") + 1, F.col("len")))).otherwise("").alias("bases"))
+    return odd.unionByName(indels)
+
+
 def known_variants(found: DataFrame, dbsnp: DataFrame) -> DataFrame:
     """Rows of found (chrom, op, pos, bases) that dbsnp (chrom, chromStart, strand, observed, clazz) lists at
     the position: mismatches among single or mixed ones, insertions and deletions among theirs, with the

@@ -83,3 +83,12 @@ def test_junctions(spark):
     got = {r.name: r.seq for r in M.junctions(tx, ref, 4, 8, chunk=7).collect()}
     assert got == {"chr1:6-10,20-24": "AAAAGGGG", "chr1:26-30,35-39": "GGGGTTTT", "chr1:6-10,35-39": "AAAATTTT"}
     assert set(r.name for r in M.junctions(tx, ref, 4, 8, known=True, chunk=7).collect()) == {"chr1:6-10,20-24", "chr1:26-30,35-39"}
+
+
+def test_primers(spark):
+    from strandspark.operators.bed import primer_sites
+
+    seq = "T" * 20 + "ACGTACGTACGTAA" + "C" * 30 + "GGATTACAGGATTACA" + "T" * 20
+    ref = chunked_reference(spark.createDataFrame([("c", seq)], "name string, seq string"), 64)
+    p = spark.createDataFrame([("a", "ACGTACGTACGTAA", "TGTAATCCTGTAATCC"), ("b", "ACGTACGTACGTTT", "TGTAATCCTGTAATCC")], "name string, fwd string, rev string")
+    assert table(primer_sites(p, ref, 200, 64), "chrom", "start", "end", "name", "strand") == [("c", 20, 80, "a", "+")]
