@@ -6,7 +6,7 @@ from ..operators import bed as B
 from ..operators import count as N
 from ..operators import genes as M
 from ..operators import variants as V
-from .read_queries import MAPPED, reference
+from .read_queries import BIT, MAPPED, SPAN, reference
 from .registry import query
 from .views import bed, cte, gtf, reads, transcripts
 
@@ -143,7 +143,13 @@ def classify_positions(spark, sf):
     return M.classify(points, M.class_ranges(transcripts(spark, sf))).select("pid", "tag")
 
 
-@query("classify_regions")
+_TAG = "CASE WHEN {b} IS NULL THEN 'intergenic' ELSE (['coding','utr-5','utr-3','other-exon','intron','promoter'])[CAST({b}//2+1 AS BIGINT)]||CASE WHEN {b}%2=1 THEN '-rev' ELSE '' END END"
+_REGION_TAGS = _CLASSES.split(", pt AS")[0].replace("WITH ", cte("rg") + ", ", 1) + f""" , pt AS (SELECT rid, 0 AS n, chrom AS c, strand AS st, s AS p FROM rg UNION ALL SELECT rid, 1, chrom, strand, e-1 FROM rg)
+  , h AS (SELECT rid, n, min(k*2 + CASE WHEN st=strand THEN 0 ELSE 1 END) AS b FROM pt JOIN u ON u.chrom=c AND s <= p AND p < e GROUP BY rid, n)
+  , w AS (SELECT rg.rid, {_TAG.format(b="x.b")} AS a, {_TAG.format(b="y.b")} AS z FROM rg LEFT JOIN h x ON x.rid=rg.rid AND x.n=0 LEFT JOIN h y ON y.rid=rg.rid AND y.n=1) SELECT rid, CASE WHEN a=z THEN a ELSE a||'/'||z END AS tag FROM w"""
+
+
+@query("classify_regions", _REGION_TAGS)
 def classify_regions(spark, sf):
     return M.classify_regions(bed(spark, sf, "rg"), M.class_ranges(transcripts(spark, sf))).select("rid", "tag")
 
@@ -201,9 +207,15 @@ def bed_tofasta(spark, sf):
     return B.to_fasta(bed(spark, sf, "rg").where(F.col("start") < 100_000), reference(spark, sf), min_size=100, chunk=1024)
 
 
-@query("bam_count_genes")
+_GENE_COUNTS = _REGIONS.replace("WITH ", cte("rd") + ", ", 1) + f""" , l AS (SELECT *, pos + {SPAN} AS aend, CASE WHEN {BIT(16)} = {BIT(128)} THEN '+' ELSE '-' END AS fs FROM rd WHERE {MAPPED})
+  , h AS (SELECT DISTINCT gid, rx.chrom, l.idx FROM rx JOIN l ON l.chrom=rx.chrom AND l.fs=rx.strand AND l.pos < rx.b AND rx.a < l.aend), c AS (SELECT gid, chrom, count(*) AS n FROM h GROUP BY gid, chrom)
+  , z AS (SELECT gid, chrom, sum(b-a) AS len FROM rx GROUP BY gid, chrom), tt AS (SELECT sum(n) AS total FROM c)
+  SELECT z.gid||'/'||z.chrom AS region, CAST(len AS BIGINT) AS length, CAST(coalesce(n,0) AS DOUBLE) AS "count", round(coalesce(n,0)/(total/1e6), 6) AS cpm, round(coalesce(n,0)/(len/1000.0)/(total/1e6), 6) AS rpkm FROM z LEFT JOIN c ON c.gid=z.gid AND c.chrom=z.chrom, tt"""
+
+
+@query("bam_count_genes", _GENE_COUNTS)
 def bam_count_genes(spark, sf):
-    return N.region_counts(reads(spark, sf), N.gene_model(M.regions(transcripts(spark, sf))), norm="mapped", fpkm=True)
+    return N.region_counts(reads(spark, sf), N.gene_model(M.regions(transcripts(spark, sf))), norm="mapped", fpkm=True).withColumns({"cpm": F.round("cpm", 6), "rpkm": F.round("rpkm", 6)})
 
 
 @query("bam_count_exons")
