@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct words that a worker remembers before it starts anew; this bounds memory, not results.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 #: Longest word, in characters, that is remembered.
 MEMORY_CHARS = 64
 
@@ -73,11 +72,22 @@ class MergeReplay:
             right.extend(range(at + 1, at + len(w) + 1))
             if w:
                 left[at], right[-1] = -1, -1
-        index: dict[tuple[int, int], list[int]] = defaultdict(list)
+        index: dict[tuple[int, int], list[int]] = {}
+        heap: list[tuple[int, tuple[int, int]]] = []
+        known = self.joined
         for i, j in enumerate(right):
             if j >= 0:
-                index[ids[i], ids[j]].append(i)
-        heap = [(r, pair) for pair in index if (r := self.rank(*pair)) >= 0]
+                pair = (ids[i], ids[j])
+                found = index.get(pair)
+                if found is not None:
+                    found.append(i)
+                    continue
+                r = known.get(pair)
+                if r is None:
+                    r = self.rank(*pair)
+                if r >= 0:
+                    index[pair] = [i]
+                    heap.append((r, pair))
         heapq.heapify(heap)
         while heap:
             r, pair = heapq.heappop(heap)
@@ -85,7 +95,8 @@ class MergeReplay:
             if places is None:
                 continue
             a, b = pair
-            places.sort()  # leftmost first: in a run such as aaa the first two merge
+            if len(places) > 1:
+                places.sort()  # leftmost first: in a run such as aaa the first two merge
             for i in places:
                 j = right[i]
                 if ids[i] != a or j < 0 or ids[j] != b:
@@ -117,7 +128,9 @@ class MergeReplay:
         if found is not None:
             found.append(at)
             return
-        r = self.rank(a, b)
+        r = self.joined.get(pair)
+        if r is None:
+            r = self.rank(a, b)
         if r >= 0:
             index[pair] = [at]
             heapq.heappush(heap, (r, pair))
