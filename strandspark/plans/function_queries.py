@@ -58,8 +58,17 @@ def bam_convertregion(spark, sf):
 @query("repeats_to_fasta", cte("rg") + f""" , b AS (SELECT rid, chrom, s, e, strand, string_agg({REF.replace('pos', 'p')}, '' ORDER BY p) AS q FROM (SELECT *, unnest(range(s, e)) AS p FROM rg WHERE s < 50000 AND rid%3=1) x GROUP BY ALL)
   SELECT 'f1|m'||CAST(rid%21 AS STRING)||'|'||chrom||':'||CAST(s AS STRING)||'-'||CAST(e AS STRING)||'['||strand||']' AS name, regexp_replace(regexp_replace(q, '(.{{50}})', '\\1'||chr(10), 'g'), chr(10)||'$', '') AS seq FROM b""")
 def repeats_to_fasta(spark, sf):
-    rep = bed(spark, sf, "rg").where(F.col("start") < 50_000).select("chrom", "start", "end", "strand", F.concat(F.lit("f"), (F.col("rid") % 3).cast("string")).alias("family"), F.concat(F.lit("m"), (F.col("rid") % 21).cast("string")).alias("member"))
-    return FA.from_repeats(rep, reference(spark, sf), "f1", 1024)
+    return FA.from_repeats(_repeats(bed(spark, sf, "rg").where(F.col("start") < 50_000)), reference(spark, sf), "f1", 1024)
+
+
+@query("repeats_to_fasta_whole")
+def repeats_to_fasta_whole(spark, sf):
+    """All repeats, where repeats_to_fasta follows its SQL and takes a twentieth of the positions."""
+    return FA.from_repeats(_repeats(bed(spark, sf, "rg")), reference(spark, sf), "f1", 1024)
+
+
+def _repeats(b):
+    return b.select("chrom", "start", "end", "strand", F.concat(F.lit("f"), (F.col("rid") % 3).cast("string")).alias("family"), F.concat(F.lit("m"), (F.col("rid") % 21).cast("string")).alias("member"))
 
 
 @query("bam_filter_reference_dbsnp")
@@ -77,6 +86,6 @@ def bam_mapped_total(spark, sf):
 
 @query("primer_sites")
 def primer_sites(spark, sf):
-    ref = reference(spark, sf).where("chrom = 'chr1' and chunk < 40")
-    p = ref.where("chunk % 8 = 0").select(F.concat(F.lit("p"), F.col("chunk").cast("string")).alias("name"), F.substring("seq", 1, 18).alias("fwd"), S.revcomp(F.substring("seq", 100, 18)).alias("rev"))
+    ref = reference(spark, sf)
+    p = ref.where("chunk % 8 = 0").select(F.concat("chrom", F.lit("p"), F.col("chunk").cast("string")).alias("name"), F.substring("seq", 1, 18).alias("fwd"), S.revcomp(F.substring("seq", 100, 18)).alias("rev"))
     return B.primer_sites(p, ref, 120, 1024)

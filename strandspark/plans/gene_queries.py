@@ -196,9 +196,13 @@ def gff_to_gtf(spark, sf):
     return good.select("idx", a("gene_id").alias("gene_id"), a("transcript_id").alias("transcript_id"), "feature")
 
 
+#: Last chunk of a reference that holds all transcripts: genes start below 5,000,000 and end within 1,300 bases.
+GENOME = 4900
+
+
 @query("gtf_junctions")
 def gtf_junctions(spark, sf):
-    return M.junctions(transcripts(spark, sf).where("start < 1000000"), reference(spark, sf), 30, 50, chunk=1024)
+    return M.junctions(transcripts(spark, sf), reference(spark, sf, GENOME), 30, 50, chunk=1024)
 
 
 @query("bed_tofasta", cte("rg") + """ , b AS (SELECT rid, chrom, s, e, strand, string_agg(substr(translate(md5(chrom||'.'||CAST(p//1024 AS STRING)),'0123456789abcdef','ACGTACGTACGTACGT'), CAST((p%1024)%32+1 AS BIGINT), 1), '' ORDER BY p) AS q FROM (SELECT *, unnest(range(s, e)) AS p FROM rg WHERE e-s >= 100 AND s < 100000) x GROUP BY ALL)
@@ -207,6 +211,12 @@ def bed_tofasta(spark, sf):
     return B.to_fasta(bed(spark, sf, "rg").where(F.col("start") < 100_000), reference(spark, sf), min_size=100, chunk=1024)
 
 
+@query("bed_tofasta_whole")
+def bed_tofasta_whole(spark, sf):
+    """All regions, where bed_tofasta follows its SQL and takes a tenth of the positions."""
+    return B.to_fasta(bed(spark, sf, "rg"), reference(spark, sf), min_size=100, chunk=1024)
+
+
 _GENE_COUNTS = _REGIONS.replace("WITH ", cte("rd") + ", ", 1) + f""" , l AS (SELECT *, pos + {SPAN} AS aend, CASE WHEN {BIT(16)} = {BIT(128)} THEN '+' ELSE '-' END AS fs FROM rd WHERE {MAPPED})
   , h AS (SELECT DISTINCT gid, rx.chrom, l.idx FROM rx JOIN l ON l.chrom=rx.chrom AND l.fs=rx.strand AND l.pos < rx.b AND rx.a < l.aend), c AS (SELECT gid, chrom, count(*) AS n FROM h GROUP BY gid, chrom)
   , z AS (SELECT gid, chrom, sum(b-a) AS len FROM rx GROUP BY gid, chrom), tt AS (SELECT sum(n) AS total FROM c)

@@ -283,9 +283,9 @@ def bam_basecall(spark, sf):
     return c.select("chrom", "pos", "count", "consensus", "minor", F.round("ave_mappings", 6).alias("ave_mappings"), "n_a", "n_c", "n_g", "n_t", "deletions", "gaps", "insertions", F.round("plus_share", 6).alias("plus_share"), F.round("entropy", 6).alias("entropy"))
 
 
-def reference(spark, sf):
-    """A made-up reference of ten million bases: the character of each position follows from its chunk."""
-    c = spark.range(1, 6).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(1000))).alias("chunk"))
+def reference(spark, sf, last=1000):
+    """A made-up reference of five chromosomes of last + 1 chunks of 1024 bases: the character of each position follows from its chunk."""
+    c = spark.range(1, 6).select(F.concat(F.lit("chr"), F.col("id").cast("string")).alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("chunk"))
     seq = F.repeat(F.translate(F.md5(F.concat("chrom", F.lit("."), F.col("chunk").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT"), 32)
     return c.select("chrom", F.col("chunk").cast("long").alias("chunk"), seq.alias("seq"))
 
