@@ -160,6 +160,13 @@ def gtf_filter_ucsc(spark, sf):
     return M.to_ucsc(M.to_ensembl(g)).select("idx", "chrom")
 
 
+@query("gtf_filter_ucsc_whole")
+def gtf_filter_ucsc_whole(spark, sf):
+    """All rows, where gtf_filter_ucsc follows its SQL and takes every other one."""
+    g = M.remove_duplicates(M.filter_chrom_text(gtf(spark, sf), "r5"))
+    return M.to_ucsc(M.to_ensembl(g)).select("idx", "chrom")
+
+
 @query("gtf_add_isoform", cte("gx") + """ , m AS (SELECT tid, max(first) AS f FROM (SELECT tid, min(idx) AS first FROM gx GROUP BY tid) x WHERE first%3=1 GROUP BY tid) SELECT gx.idx, CASE WHEN m.f IS NULL THEN 'gene_id "'||gid||'"; transcript_id "'||gx.tid||'";' ELSE 'gene_id "'||gid||'"; transcript_id "'||gx.tid||'"; isoform_id "iso'||CAST(m.f AS STRING)||'";' END AS attributes FROM gx LEFT JOIN m ON m.tid=gx.tid""")
 def gtf_add_isoform(spark, sf):
     g = gtf(spark, sf)

@@ -112,6 +112,12 @@ def bedgraph_to_wiggle(spark, sf):
     return wiggle(region_coverage(bed(spark, sf).where("rid%40=1")))
 
 
+@query("bedgraph_to_wiggle_whole")
+def bedgraph_to_wiggle_whole(spark, sf):
+    """All intervals, where bedgraph_to_wiggle follows its SQL and takes one of 40."""
+    return wiggle(region_coverage(bed(spark, sf)))
+
+
 @query("bedgraph_clean", IV + """ , z AS (SELECT 'chr'||CAST(k AS STRING) AS chrom, 150000*k AS length FROM (VALUES (1),(2),(3)) t(k))
   SELECT iv.chrom, s AS "start", least(e, length) AS "end", score AS depth FROM iv JOIN z ON z.chrom=iv.chrom WHERE s < length""")
 def bedgraph_clean(spark, sf):

@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+from collections import Counter
 
 from strandspark.plans.function_queries import repeats_to_fasta_whole
-from strandspark.plans.gene_queries import bed_tofasta_whole
+from strandspark.plans.gene_queries import bed_tofasta_whole, gtf_filter_ucsc_whole
+from strandspark.plans.interval_queries import bedgraph_to_wiggle_whole
 from strandspark.plans.registry import QUERIES
 from strandspark.plans.views import gtf, view
 
@@ -60,3 +62,24 @@ def test_primer_sites_reach_all_chromosomes(spark, sf):
     for c in range(1, 6):  # each pair's own place: 18 bases from the chunk's start, 18 from its hundredth
         for k in range(0, 1001, 8):
             assert any(n.split(".")[0] == f"chr{c}p{k}" and ch == f"chr{c}" and s == k * 1024 and e == k * 1024 + 117 for n, ch, s, e in got)
+
+
+def test_wiggle_of_all_intervals(spark, sf):
+    turns = {}
+    for r in view(spark, sf, "iv").select("chrom", "s", "e").collect():
+        at = turns.setdefault(r.chrom, Counter())
+        at[r.s] += 1
+        at[r.e] -= 1
+    want = Counter()
+    for chrom, at in turns.items():
+        places, depth = sorted(p for p, d in at.items() if d), 0
+        for s, e in zip(places, places[1:]):
+            depth += at[s]
+            if depth:
+                want.update((chrom, p, depth) for p in range(s, e + 1))
+    assert Counter(tuple(r) for r in bedgraph_to_wiggle_whole(spark, sf).select("chrom", "pos", "value").collect()) == want
+
+
+def test_gtf_filter_ucsc_of_all_rows(spark, sf):
+    want = Counter((r.idx, r.chrom) for r in view(spark, sf, "gx").collect() if "r5" not in r.chrom and "_dup" not in r.tid)
+    assert Counter(tuple(r) for r in gtf_filter_ucsc_whole(spark, sf).select("idx", "chrom").collect()) == want
