@@ -80,9 +80,10 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("SPDX", ("SpdxId",)),
     ("Proprietary", ("AllRights",)),
 )
-#: Longest sentence, in characters, that is matched against known ones; no known one is nearly as long.
-LONGEST = 2000
 BREAK = "\u0001"
+#: Openings of patterns after which anything may stand: the first place they fit is tried and no other, so
+#: that long sentences cost their length. What follows finds the same, since the rest is longest there.
+ONCE = (".*under .*", ".*in no event shall .*", ".*redistribution and use in source and binary forms.*")
 
 
 def sentences(text: Column) -> Column:
@@ -95,13 +96,16 @@ def sentences(text: Column) -> Column:
 def normalised(sentence: Column) -> Column:
     s = F.regexp_replace(F.lower(sentence), "licence", "license")
     s = F.regexp_replace(s, r"[^a-z0-9.,/+-]+", " ")
-    return F.regexp_replace(s, r"^[ .,/*-]+|[ .,/-]+$", "")
+    return F.regexp_replace(s, r"^[ .,/*-]+|(?<![ .,/-])[ .,/-]+$", "")
 
 
 def identifier(norm: Column) -> Column:
     """The first known sentence that the whole of norm fits; Unknown if none."""
     out = None
     for name, pattern in SENTENCES:
+        for o in ONCE:
+            if pattern.startswith(o):
+                pattern = f"(?>.*?{o[2:-2]}).*{pattern[len(o):]}"
         fits = norm.rlike(f"^(?:{pattern})$")
         out = F.when(fits, name) if out is None else out.when(fits, name)
     return out.otherwise("Unknown")
@@ -122,7 +126,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     df = docs.select(docs[id_col].alias("id"), text.alias("t"))
-    telling = F.filter(sentences(F.col("t")), lambda s: (F.length(s) <= LONGEST) & F.lower(s).rlike(TELLING))
+    telling = F.filter(sentences(F.col("t")), lambda s: F.lower(s).rlike(TELLING))
     df = df.select("id", F.when(F.lower("t").rlike(TELLING), telling).otherwise(F.array().cast("array<string>")).alias("found"))
     df = df.select("id", F.transform("found", lambda s: identifier(normalised(s))).alias("ids"))
     seq = F.concat(F.array_join("ids", ","), F.when(F.size("ids") > 0, ",").otherwise(""))
