@@ -33,7 +33,7 @@ STEM, PREFIX = 4, 12
 #: An entry occurs after so many different words in toxic texts, this share of its texts is toxic, and
 #: chance would not bring that about: texts times divergence (in nats) from the share among all texts.
 CONTEXTS, PRECISION, EVIDENCE = 4, 0.9, 10.0
-#: Letters from which a word may be misspelled by one edit; its first letter must be right.
+#: Letters from which an entry may be misspelled by one edit; its first letter must be right or a digit in its place.
 FUZZY = 5
 #: Characters before a hit that are searched for signs of quotation or report.
 WINDOW = 80
@@ -107,13 +107,16 @@ class Levenshtein:
 
 
 def intersect(trie: Trie, w: str, k: int = 1) -> list[str]:
-    """Whole-word entries within distance k of w, by walking the trie and the automaton of w together."""
-    auto, found = Levenshtein(w, k), []
+    """Whole-word entries within distance k of w, and stems within k of w or of a beginning of w that ends
+    in the stem's last letter, by walking the trie and the automaton of w together."""
+    auto, found = Levenshtein(w, k), set()
     todo = [(0, auto.start())]
     while todo:
         at, state = todo.pop()
         if at in trie.word and auto.accepts(state):
-            found.append(trie.word[at])
+            found.add(trie.word[at])
+        if at in trie.stem and (auto.accepts(state) or any(i and w[i - 1] == trie.stem[at][-1] for i, _ in state)):
+            found.add(trie.stem[at])
         for c, to in trie.next[at].items():
             if s := auto.step(state, c):
                 todo.append((to, s))
@@ -161,7 +164,16 @@ class Matcher:
         for w in model.words:
             if len(w) >= FUZZY:
                 self.halves[w[: len(w) // 2]].add(len(w))
-                self.tails[w[0], w[len(w) // 2 :]].add(len(w))
+                for first in (w[0], ""):
+                    self.tails[first, w[len(w) // 2 :]].add(len(w))
+        #: The same for stems, whose second halves have a place and no end: (first letter, first half's length, second half).
+        self.begins, self.middles = set(), set()
+        for w in model.stems:
+            if len(w) >= FUZZY:
+                h = len(w) // 2
+                self.begins.add(w[:h])
+                self.middles |= {(first, h, w[h:]) for first in (w[0], "")}
+        self.begin_size, self.middle_size = {len(b) for b in self.begins}, {(h, len(m)) for _, h, m in self.middles}
         self.size = {len(h) for h in self.halves}, {len(t) for _, t in self.tails}
         self.known: dict[str, int] = {}
 
@@ -173,10 +185,15 @@ class Matcher:
         if n < FUZZY - 1 or w in self.model.innocent:
             return 0
         # one edit leaves the first or the second half of the entry whole
-        near = [k for i in self.size[0] for k in self.halves.get(w[:i], ())] + [k for i in self.size[1] for k in self.tails.get((w[0], w[-i:]), ())]
-        if not any(abs(k - n) <= 1 for k in near):
+        first = "" if w[0].isdigit() else w[0]
+        near = [k for i in self.size[0] for k in self.halves.get(w[:i], ())] + [k for i in self.size[1] for k in self.tails.get((first, w[-i:]), ())]
+        if not any(abs(k - n) <= 1 for k in near) and not self.near_stem(w, first):
             return 0
-        return 2 if any(len(x) >= FUZZY and x[0] == w[0] for x in intersect(self.trie, w)) else 0
+        return 2 if any(len(x) >= FUZZY and first in ("", x[0]) for x in intersect(self.trie, w)) else 0
+
+    def near_stem(self, w: str, first: str) -> bool:
+        """Whether a half of a stem stands where one edit in the other half would leave it."""
+        return any(w[:i] in self.begins for i in self.begin_size) or any((first, h, w[h + d : h + d + m]) in self.middles for h, m in self.middle_size for d in (-1, 0, 1))
 
     def words(self, text: str) -> dict[str, int]:
         """The words of a text that hit, and how."""

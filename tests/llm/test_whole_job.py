@@ -3,7 +3,7 @@
 import random
 import re
 
-from strandspark.llm import licenses
+from strandspark.llm import licenses, pii, toxicity
 
 
 def scan(spark, values):
@@ -25,3 +25,30 @@ def test_licence_patterns_tried_once_fit_the_same(spark):
     want = [next((n for n, p in licenses.SENTENCES if re.fullmatch(p, plain(t))), "Unknown") for t in texts]
     got = scan(spark, texts)
     assert [got[i].sequence for i in range(len(texts))] == want and len(set(want)) > 4
+
+
+def test_misspelled_stems():
+    t = toxicity.Trie([], ["idiot"])
+    assert all(toxicity.intersect(t, w) == ["idiot"] for w in ("idot", "idotic", "idi0ts", "idiiotic", "idiod"))
+    assert all(toxicity.intersect(t, w) == [] for w in ("idiosyncratic", "idol", "riot"))
+    m = toxicity.Model(["moron"], ["idiot", "scum"]).matcher()
+    assert {w: m.kind(w) for w in ("idiotic", "idot", "idotic", "idi0ts", "1diot", "1diots", "m0ron", "0oron", "idiosyncratic", "riot", "moronic")} == {
+        "idiotic": 1, "idot": 2, "idotic": 2, "idi0ts": 2, "1diot": 2, "1diots": 2, "m0ron": 2, "0oron": 2, "idiosyncratic": 0, "riot": 0, "moronic": 0,
+    }
+
+
+def test_quick_looks_for_stems_lose_nothing():
+    rng = random.Random(5)
+    stem = "stupid"
+    m = toxicity.Model([], [stem]).matcher()
+    for _ in range(500):
+        i, c = rng.randrange(1, len(stem)), rng.choice("abz0")
+        w = rng.choice([stem[:i] + stem[i + 1 :], stem[:i] + c + stem[i:], stem[:i] + c + stem[i + 1 :]]) + rng.choice(["", "ity", "s"])
+        assert m.kind(w) == (1 if w.startswith(stem) else 2 if toxicity.intersect(m.trie, w) else 0)
+
+
+def test_long_secret_is_one_span(spark):
+    value = "aB3" * 200
+    df = spark.createDataFrame([(1, f"see token={value} end")], "doc_id long, text string")
+    (s,) = pii.pii_spans(df).first().spans
+    assert (s["start"], s["end"]) == (4, 10 + len(value)) and pii.redact(df).first().text == "see [secret] end"
