@@ -81,6 +81,11 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("AllRights",)),
 )
 BREAK = "\u0001"
+#: A tag and its expression; identifiers are what AND, OR, parentheses and exceptions leave of it.
+ONE = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?\)*"
+TAG = rf"(?i)spdx[ -]licen[sc]e[ -]identifier[ \t]*:?[ \t]*({ONE}(?:[ \t]+(?:and|or|with)[ \t]+{ONE})*)"
+#: In place of the first of SENTENCES: normalising keeps hyphens, and a tag's line need not end the sentence.
+SPDX = r".*spdx[ -]license[ -]identifier [a-z0-9].*"
 #: Openings of patterns after which anything may stand: the first place they fit is tried and no other, so
 #: that long sentences cost their length. What follows finds the same, since the rest is longest there.
 ONCE = (".*under .*", ".*in no event shall .*", ".*redistribution and use in source and binary forms.*")
@@ -88,14 +93,14 @@ ONCE = (".*under .*", ".*in no event shall .*", ".*redistribution and use in sou
 
 def sentences(text: Column) -> Column:
     """Ends of sentences, empty lines, and line ends before a capital letter divide."""
-    cut = F.regexp_replace(text, r"([.!?;])\s+", "$1" + BREAK)
+    cut = F.regexp_replace(text, r"([.!?]|;(?!\s+(?i:either\s+version)))\s+", "$1" + BREAK)
     cut = F.regexp_replace(cut, r"\n\s*([A-Z(\n])", BREAK + "$1")
     return F.split(cut, BREAK)
 
 
 def normalised(sentence: Column) -> Column:
     s = F.regexp_replace(F.lower(sentence), "licence", "license")
-    s = F.regexp_replace(s, r"[^a-z0-9.,/+-]+", " ")
+    s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.,/+-]+", " "), " ,", ",")
     return F.regexp_replace(s, r"^[ .,/*-]+|(?<![ .,/-])[ .,/-]+$", "")
 
 
@@ -103,6 +108,7 @@ def identifier(norm: Column) -> Column:
     """The first known sentence that the whole of norm fits; Unknown if none."""
     out = None
     for name, pattern in SENTENCES:
+        pattern = SPDX if name == "SpdxId" else pattern
         for o in ONCE:
             if pattern.startswith(o):
                 pattern = f"(?>.*?{o[2:-2]}).*{pattern[len(o):]}"
@@ -117,8 +123,8 @@ def rule_pattern(sequence: tuple[str, ...]) -> str:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: the id, licenses (distinct names in order of the rules, joined by
-    commas), sequence (identifiers of telling sentences in text order) and n_unknown, how many of these
+    """One row for each row of docs: the id, licenses (distinct names in order of the rules, then those of
+    SPDX tags in text order, joined by commas), sequence (identifiers of telling sentences in text order) and n_unknown, how many of these
     are no known sentence.
 
     The whole text is read. Null and empty texts, and texts without a telling word, have empty results.
@@ -128,16 +134,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = docs.select(docs[id_col].alias("id"), text.alias("t"))
     telling = F.filter(sentences(F.col("t")), lambda s: F.lower(s).rlike(TELLING))
     df = df.select("id", F.when(F.lower("t").rlike(TELLING), telling).otherwise(F.array().cast("array<string>")).alias("found"))
-    df = df.select("id", F.transform("found", lambda s: identifier(normalised(s))).alias("ids"))
+    tags = F.flatten(F.transform("found", lambda s: F.regexp_extract_all(s, F.lit(TAG), F.lit(1))))
+    ids = F.flatten(F.transform(tags, lambda x: F.split(F.regexp_replace(x, r"(?i)\s+with\s+[^\s()]+", ""), r"[()\s]+")))
+    df = df.select("id", F.transform("found", lambda s: identifier(normalised(s))).alias("ids"), F.filter(ids, lambda x: ~F.lower(x).isin("", "and", "or")).alias("tags"))
     seq = F.concat(F.array_join("ids", ","), F.when(F.size("ids") > 0, ",").otherwise(""))
-    df = df.select("id", "ids", seq.alias("seq"))
+    df = df.select("id", "ids", "tags", seq.alias("seq"))
     left = F.col("seq")
     for k, (_, sequence) in enumerate(RULES):
         left = F.regexp_replace(left, rule_pattern(sequence), f"<{k}>,")
-    df = df.select("id", "ids", "seq", F.when(F.size("ids") > 0, left).otherwise("").alias("left"))
+    df = df.select("id", "ids", "tags", "seq", F.when(F.size("ids") > 0, left).otherwise("").alias("left"))
     names = F.create_map(*[F.lit(x) for k, (n, _) in enumerate(RULES) for x in (k, n)])
     hit = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("left", F.lit("<([0-9]+)>"), F.lit(1)), lambda x: x.cast("int"))))
+    named = F.filter(F.transform(hit, lambda k: names[k]), lambda n: (n != "SPDX") | (F.size("tags") == 0))
     return df.select(
-        F.col("id").alias(id_col), F.array_join(F.array_distinct(F.transform(hit, lambda k: names[k])), ",").alias("licenses"),
+        F.col("id").alias(id_col), F.array_join(F.array_distinct(F.concat(named, "tags")), ",").alias("licenses"),
         F.array_join("ids", ",").alias("sequence"), F.size(F.filter("ids", lambda x: x == "Unknown")).cast("long").alias("n_unknown"),
     )

@@ -52,3 +52,11 @@ def test_long_secret_is_one_span(spark):
     df = spark.createDataFrame([(1, f"see token={value} end")], "doc_id long, text string")
     (s,) = pii.pii_spans(df).first().spans
     assert (s["start"], s["end"]) == (4, 10 + len(value)) and pii.redact(df).first().text == "see [secret] end"
+
+
+def test_usual_wording_of_licences(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this.\n"
+    got = scan(spark, ["# SPDX-License-Identifier: MIT\nimport os", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR Apache-2.0 */", gpl, grant + 'It is provided "AS IS", WITHOUT WARRANTY of any kind.'])
+    assert [got[i].licenses for i in range(4)] == ["MIT", "GPL-2.0-only,Apache-2.0", "GPL-2.0", "MIT"] and got[0].n_unknown == 0
+    assert got[3].sequence == "MitGrant,AsIs"
