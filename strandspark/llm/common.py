@@ -15,7 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the rows of an Arrow batch, unless the session has a smaller bound already."""
+    """Bounds the rows of an Arrow batch, unless the session has a smaller bound already. The setting
+    stays, since plans are made when results are asked for."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

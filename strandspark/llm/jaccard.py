@@ -8,12 +8,16 @@
    task. A document that shares fewer than m - d of its ranges with any others links with nothing and
    is done with; the rest, few, are joined into blocks where they agree on a range.
 3. Within a block, inverted lists from shingle to documents answer for each document which others share
-   T shingles: short lists are merged by a heap, long ones are probed by binary search for what the
-   merge left over. Only links that join two components are reported.
+   T shingles: short lists are merged by a heap that skips ahead, long ones are probed by binary search
+   for what the merge left over. Only links that join two components are reported, and each is checked
+   on the words themselves.
 4. Components of the links.
 
-A block that is too large for a task is cut anew with other ranges, and if it stays too large, dealt
-out as pairs of its parts: memory is bounded, and every pair of documents still meets.
+A block that is too large for a task is cut anew with other ranges. If it stays too large it is dealt
+into parts. Each part is searched by itself, then the least documents of the components so found are
+compared; what then still stands outside a block's largest component is compared with all of the block,
+part by part. Memory is bounded, every pair that could join two components meets, and a large group of
+near copies costs its size, not the square of it.
 """
 
 from __future__ import annotations
@@ -21,41 +25,30 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import UPPER, Scratch
 from .components import connected_components
 
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-BLANK = np.zeros(256, bool)
-BLANK[[32, 9, 10, 11, 12, 13]] = True
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
 U = np.uint64
 #: Shingles that the documents of a block hold at most in one task.
-BLOCK = 4_000_000
-#: Entries that a task collects before it hands them on.
-ENTRIES = 2_000_000
-#: Postings up to which short lists go through the heap; more are merged by sorting.
-HEAP = 2000
-
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse to the powers 0 to n."""
-    if len(_powers[0]) <= n:
-        size = 1 << max(16, (n + 1).bit_length())
-        for k, b in enumerate((BASE, INVERSE)):
-            out = np.full(size, b, U)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+BLOCK = 250_000
+#: Entries that a task collects before it hands them on, and that it unpacks at a time.
+ENTRIES = 400_000
+#: Words whose hashes a worker remembers.
+WORDS = 300_000
+#: Postings up to which short lists go through the heap; more are merged by counting, to the same outcome.
+HEAP = 20_000
+#: Orders by which the documents of a block are laid side by side before the search.
+SWEEPS = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,21 +58,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+class WordHashes(dict):
+    """64 bits of BLAKE2b for each word; short words are remembered."""
+
+    def __missing__(self, w: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        if len(w) <= 64:
+            self[w] = h
+        return h
+
+
+_hashes = WordHashes()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of other than \\x20 and \\t to \\r, A-Z lower-cased."""
+    return (text or "").encode().translate(LOWER).split()
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text; of all its words if they are fewer."""
-    raw = (text or "").encode().translate(LOWER)
-    n = len(raw)
-    if not n:
-        return np.empty(0, U)
-    b = np.frombuffer(raw, np.uint8)
-    edge = np.flatnonzero(np.diff(BLANK[b].view(np.int8), prepend=1, append=1))
-    starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
+    found = words_of(text)
+    if not found:
         return np.empty(0, U)
-    up, down = _power(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum((b.astype(U) + U(1)) * up[:n], out=total[1:])
-    w = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    if len(_hashes) > WORDS:
+        _hashes.clear()
+    w = np.fromiter(map(_hashes.__getitem__, found), U, len(found))
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, U)
     for i in range(k):
@@ -87,6 +91,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(h)
 
 
+def linked(a: str, b: str, words: int, num: int, den: int) -> bool:
+    """Whether two texts link, by the words of their shingles."""
+    x, y = ({tuple(w[i : i + min(words, len(w))]) for i in range(len(w) - min(words, len(w)) + 1)} for w in (words_of(a), words_of(b)))
+    both = len(x & y)
+    return den * both >= num * (len(x) + len(y) - both) > 0
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist())
 
@@ -149,42 +160,38 @@ def _shared(ranges: Ranges, words: int, parts: int):
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
             size = np.diff(np.append(first, len(h)))
             # a document counts once for an entry, and shares it only with another document
-            many = np.zeros(len(h), bool)
-            many[np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size)] = True
+            many = np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size)
+            flag = v[first] | np.where(many[first], np.uint8(128), np.uint8(0))
+            part = ((h[first] >> U(32)) % U(parts)).astype(np.int32)
             rows = []
             if many.any():
-                key, count = np.unique(np.stack((d[many], v[many].astype(np.int64)), 1), axis=0, return_counts=True)
-                where = key[:, 0] % parts
-                for p in np.unique(where).tolist():
-                    k = where == p
-                    rows.append((p, 1, key[k, 0].tobytes(), np.stack((key[k, 1], count[k]), 1).astype(np.int32).tobytes(), b""))
-            flag = v[first] | np.where(many[first], np.uint8(128), np.uint8(0))
+                key, count = _summed([np.stack((d[many], v[many].astype(np.int64)), 1)], [np.ones(int(many.sum()), np.int64)])
+                rows.append((int(part[0]), 1, key[:, 0].tobytes(), np.stack((key[:, 1], count), 1).astype(np.int32).tobytes(), b""))
             h, d = h[first], d[first]
-            part = ((h >> U(40)) % U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            here, cut = np.unique(part[order], return_index=True)
+            cut = np.append(cut, len(order))
             low = h.view(np.uint8).reshape(-1, 8)[:, :5][order]
             d, flag = d[order], flag[order]
-            for p in range(parts):
-                if cut[p] < cut[p + 1]:
-                    k = slice(cut[p], cut[p + 1])
-                    ids, at = np.unique(d[k], return_inverse=True)
-                    rows.append((p, 0, low[k].tobytes(), np.rec.fromarrays((at.astype(np.uint32), flag[k]), dtype=[("i", "<u4"), ("f", "u1")]).tobytes(), ids.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "kind", "a", "b", "ids"])
+            for p, x, y in zip(here.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+                ids, at = np.unique(d[x:y], return_inverse=True)
+                rows.append((p, 0, low[x:y].tobytes(), np.rec.fromarrays((at.astype(np.uint32), flag[x:y]), dtype=[("i", "<u4"), ("f", "u1")]).tobytes(), ids.tobytes()))
+            for k in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 512]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "kind", "a", "b", "ids"])
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = shingle_set(t, words)
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = shingle_set(t.as_py(), words)
                 for level, e, _ in ranges.entries(s) if len(s) else ():
                     hashes.append(e)
                     docs.append(np.full(len(e), i, np.int64))
                     levels.append(np.full(len(e), level, np.uint8))
                     n += len(e)
-            if n > ENTRIES:
-                yield flush()
-                hashes, docs, levels, n = [], [], [], 0
+                if n > ENTRIES:
+                    yield from flush()
+                    hashes, docs, levels, n = [], [], [], 0
         if n:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -198,78 +205,50 @@ def _summed(key: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(n, first)
 
 
-def _count_shared(parts: int):
-    """Entries that a document shares, as far as this task's parts tell: (part, ids and levels, counts),
-    packed by the part that adds a document's counts up."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, part, packs = [], [], None, []
-
-        def close():
-            h = np.concatenate([np.pad(np.frombuffer(a, np.uint8).reshape(-1, 5), ((0, 0), (0, 3))).view("<u8").ravel() for a, _, _ in packs])
-            recs = [np.frombuffer(b, [("i", "<u4"), ("f", "u1")]) for _, b, _ in packs]
-            d = np.concatenate([np.frombuffer(ids, np.int64)[r["i"]] for r, (_, _, ids) in zip(recs, packs)])
-            f = np.concatenate([r["f"] for r in recs])
-            order = np.lexsort((d, h))
-            h, d, f = h[order], d[order], f[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            size = np.diff(np.append(first, len(h)))
-            many = np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size) & (f < 128)
-            if many.any():
-                k, n = _summed([np.stack((d[many], (f[many] & 127).astype(np.int64)), 1)], [np.ones(many.sum(), np.int64)])
-                keys.append(k)
-                counts.append(n)
-
-        def flush():
-            k, n = _summed(keys, counts)
-            where = k[:, 0] % parts
-            order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange(parts + 1))
-            k, n = k[order], n[order]
-            some = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([k[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary()), pa.array([n[cut[p] : cut[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "k", "n"])
-
-        for batch in batches:
-            for p, kind, a, b, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind:
-                    pairs = np.frombuffer(b, np.int32).reshape(-1, 2).astype(np.int64)
-                    keys.append(np.stack((np.frombuffer(a, np.int64), pairs[:, 0]), 1))
-                    counts.append(pairs[:, 1])
-                    continue
-                if p != part and packs:
-                    close()
-                    packs = []
-                part = p
-                packs.append((a, b, ids))
-            if sum(map(len, counts)) > ENTRIES:
-                yield flush()
-                keys, counts = [], []
-        if packs:
-            close()
-        if keys:
-            yield flush()
-
-    return run
-
-
-def _add_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, level, got) from packed counts, part by part."""
-    part, keys, counts = None, [], []
+def _count_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, level, got): entries that a document shares, as far as this task's parts tell, from packed
+    entries sorted by part. One part is unpacked at a time."""
+    keys, counts, part, packs = [], [], None, []
 
     def close():
+        h = np.concatenate([np.pad(np.frombuffer(a, np.uint8).reshape(-1, 5), ((0, 0), (0, 3))).view("<u8").ravel() for a, _, _ in packs])
+        recs = [np.frombuffer(b, [("i", "<u4"), ("f", "u1")]) for _, b, _ in packs]
+        d = np.concatenate([np.frombuffer(ids, np.int64)[r["i"]] for r, (_, _, ids) in zip(recs, packs)])
+        f = np.concatenate([r["f"] for r in recs])
+        order = np.lexsort((d, h))
+        h, d, f = h[order], d[order], f[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        size = np.diff(np.append(first, len(h)))
+        many = np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size) & (f < 128)
+        if many.any():
+            k, n = _summed([np.stack((d[many], (f[many] & 127).astype(np.int64)), 1)], [np.ones(many.sum(), np.int64)])
+            keys.append(k)
+            counts.append(n)
+
+    def flush():
         k, n = _summed(keys, counts)
         return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1].astype(np.int32)), pa.array(n)], names=["id", "level", "got"])
 
     for batch in batches:
-        for p, k, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if p != part and keys:
-                yield close()
-                keys, counts = [], []
+        for p, kind, a, b, ids in zip(*batch.columns):
+            p, a, b = p.as_py(), a.as_py(), b.as_py()
+            if kind.as_py():
+                pairs = np.frombuffer(b, np.int32).reshape(-1, 2).astype(np.int64)
+                keys.append(np.stack((np.frombuffer(a, np.int64), pairs[:, 0]), 1))
+                counts.append(pairs[:, 1])
+                continue
+            if p != part and packs:
+                close()
+                packs.clear()
             part = p
-            keys.append(np.frombuffer(k, np.int64).reshape(-1, 2))
-            counts.append(np.frombuffer(n, np.int64))
+            packs.append((a, b, ids.as_py()))
+        if sum(map(len, counts)) > ENTRIES:
+            yield flush()
+            keys.clear(), counts.clear()
+    if packs:
+        close()
     if keys:
-        yield close()
+        yield flush()
 
 
 def _entries(ranges: Ranges, words: int, seed: int):
@@ -310,15 +289,72 @@ class Union:
         return True
 
 
-def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (a, b) of a block that join two of its components, by DivideSkip. With side, only documents
-    of different sides are compared."""
+def merge_skip(lists: list[list[int]], least: int) -> list[int]:
+    """Numbers that are in `least` of the ascending lists or more: the heads of all lists lie in a heap.
+    Where fewer lists agree on the top, as many more are taken off as make `least` - 1, and these jump
+    to the new top by binary search, since nothing before it can be in enough lists."""
+    heads = [(x[0], k) for k, x in enumerate(lists) if x]
+    at = [0] * len(lists)
+    heapq.heapify(heads)
+    found = []
+    while len(heads) >= least:
+        top = heads[0][0]
+        off = []
+        while heads and heads[0][0] == top:
+            off.append(heapq.heappop(heads)[1])
+        if len(off) >= least:
+            found.append(top)
+            for k in off:
+                at[k] += 1
+        else:
+            while heads and len(off) < least - 1:
+                off.append(heapq.heappop(heads)[1])
+            if not heads:
+                break
+            to = heads[0][0]
+            for k in off:
+                at[k] = bisect_left(lists[k], to, at[k])
+        for k in off:
+            if at[k] < len(lists[k]):
+                heapq.heappush(heads, (lists[k][at[k]], k))
+    return found
+
+
+def t_occurrence_links(ids: list[int], texts: list[str], words: int, num: int, den: int, labels: list[int] | None = None, side: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (a, b) of a block that join two of its components, by DivideSkip. labels: components known
+    before. With side, only documents of different sides are compared. Documents of the largest component
+    are no queries: what links with them finds them."""
+    sets = [shingle_set(t, words) for t in texts]
     order = sorted(range(len(ids)), key=lambda k: (len(sets[k]), ids[k]))
-    ids, sets = [ids[k] for k in order], [sets[k] for k in order]
-    side = [side[k] for k in order] if side else None
-    n = len(ids)
+    ids, sets, texts = [ids[k] for k in order], [sets[k] for k in order], [texts[k] for k in order]
+    side = np.array([side[k] for k in order]) if side else None
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n), sizes)
+    label = np.array([labels[k] for k in order]) if labels else np.array(ids)
+    links: list[tuple[int, int]] = []
+    n = len(ids)
+
+    def join(p: int, q: int) -> None:
+        """After the hashes agree: the words decide."""
+        if linked(texts[p], texts[q], words, num, den):
+            links.append((ids[q], ids[p]))
+            a, b = int(label[p]), int(label[q])
+            label[label == max(a, b)] = min(a, b)
+
+    for sweep in range(SWEEPS):  # near copies stand side by side in some order of their least hashes
+        key = np.array([mix(s ^ U(0x9E3779B97F4A7C15 * (sweep + 1) & 0xFFFFFFFFFFFFFFFF)).min() if len(s) else 0 for s in sets], U)
+        row = np.lexsort((np.arange(n), key))
+        for k in np.flatnonzero((key[row[1:]] == key[row[:-1]]) & (label[row[1:]] != label[row[:-1]])).tolist():
+            p, q = int(row[k]), int(row[k + 1])
+            if label[p] != label[q]:
+                both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                if both and den * both >= num * (len(sets[p]) + len(sets[q]) - both):
+                    join(p, q)
+    names, many = np.unique(label, return_counts=True)
+    if len(names) == 1:
+        return links
+    ask = label != names[np.argmax(many)]
+
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     token = np.concatenate(sets)
     by = np.lexsort((owner, token))
     owner, token = owner[by], token[by]
@@ -326,9 +362,10 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
     df = np.diff(np.append(start, len(token)))
     keep = df > 1
     vocab, start, df = token[start[keep]], start[keep], df[keep]
-    known, links = Union(), []
-    open_ = len(set(ids))
-    for q in range(n):
+    del token, by
+    place = np.repeat(np.arange(len(vocab)), df) * n  # (list, document) as one number: long lists are probed in it
+    postings = place + owner[np.repeat(start, df) + np.arange(len(place)) - np.repeat(np.cumsum(df) - df, df)]
+    for q in np.flatnonzero(ask).tolist():
         size = int(sizes[q])
         at = np.searchsorted(vocab, sets[q])
         at = at[vocab[np.minimum(at, len(vocab) - 1)] == sets[q]] if len(vocab) else at[:0]
@@ -339,55 +376,55 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], num: int, den: in
         lists = at[np.argsort(df[at], kind="stable")]
         long = min(need - 1, int(need / (0.0085 * math.log2(max(2, int(df[lists[-1]]))) + 1)))
         short, rest = lists[: len(lists) - long], lists[len(lists) - long :]
-        lo = int(np.searchsorted(sizes, least))  # smaller ones can't link; larger ones ask themselves
+        lo, hi = int(np.searchsorted(sizes, least)), int(np.searchsorted(sizes, size * den // num, "right"))
         want = need - long
         if int(df[short].sum()) <= HEAP:
-            found, run, last = [], 0, -1
-            for p in heapq.merge(*[owner[start[t] : start[t] + df[t]].tolist() for t in short.tolist()]):
-                run = run + 1 if p == last else 1
-                last = p
-                if run == want and lo <= p < q:
-                    found.append(p)
+            found = np.array(merge_skip([owner[start[t] : start[t] + df[t]].tolist() for t in short.tolist()], want), np.int64)
         else:
-            count = np.bincount(np.concatenate([owner[start[t] : start[t] + df[t]] for t in short.tolist()]), minlength=q)[:q]
-            found = (np.flatnonzero(count[lo:] >= want) + lo).tolist()
-        for p in found:
-            if side and side[p] == side[q] or known.find(ids[p]) == known.find(ids[q]):
-                continue
-            must = -(-num * (size + int(sizes[p])) // (den + num))
-            # what the short lists hold, then long ones by binary search while enough can be reached
-            have = int(np.isin(vocab[short], sets[p], assume_unique=True).sum())
-            if have + len(rest) < must:
-                continue
-            probe = np.searchsorted(sets[p], vocab[rest])
-            have += int((sets[p][np.minimum(probe, len(sets[p]) - 1)] == vocab[rest]).sum())
-            if have >= must and known.join(ids[p], ids[q]):
-                links.append((ids[q], ids[p]))
-                open_ -= 1
-        if open_ == 1:
-            break
+            found = np.flatnonzero(np.bincount(np.concatenate([owner[start[t] : start[t] + df[t]] for t in short.tolist()]), minlength=n) >= want)
+        found = found[(found >= lo) & (found < hi)]
+        found = found[(label[found] != label[q]) & ((found < q) | ~ask[found])]  # two that both ask meet once
+        if side is not None:
+            found = found[side[found] != side[q]]
+        first = True
+        while len(found):  # one of each component, then the rest in pieces
+            one = np.unique(label[found], return_index=True)[1] if first else np.arange(min(len(found), 512))
+            p, first = found[one], False
+            must = -(-num * (size + sizes[p]) // (den + num))
+            have = np.array([np.isin(vocab[short], sets[k], assume_unique=True).sum() for k in p.tolist()])
+            p, must, have = (x[have + len(rest) >= must] for x in (p, must, have))
+            if len(p) and len(rest):
+                probe = (rest[None, :] * n + p[:, None]).ravel()
+                spot = np.minimum(np.searchsorted(postings, probe), len(postings) - 1)
+                have = have + (postings[spot] == probe).reshape(len(p), -1).sum(1)
+            for k in p[have >= must].tolist():
+                if label[k] != label[q]:
+                    join(k, q)
+            found = np.delete(found, one)
+            found = found[label[found] != label[q]]
     return links
 
 
 def _search(num: int, den: int, words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, side = None, [], [], []
+        key, ids, texts, labels, side = None, [], [], [], []
         links: list[tuple[int, int]] = []
 
         def close():
             if len(ids) > 1:
-                links.extend(t_occurrence_links(ids, sets, num, den, side if key[1] != key[2] else None))
+                links.extend(t_occurrence_links(ids, texts, words, num, den, labels, side if key[1] != key[2] else None))
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([e[i] for e in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
-            for block, i, j, part, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+            for block, i, j, part, doc, label, text in zip(*(c.to_pylist() for c in b.columns[:-1]), b.column(6)):
                 if (block, i, j) != key:
                     close()
-                    key, ids, sets, side = (block, i, j), [], [], []
+                    key, ids, texts, labels, side = (block, i, j), [], [], [], []
                 ids.append(doc)
-                sets.append(shingle_set(text, words))
+                texts.append(text.as_py())
+                labels.append(label)
                 side.append(part)
             if len(links) > 10_000:
                 yield out()
@@ -408,49 +445,69 @@ def _blocks(src: DataFrame, scratch: Scratch, ranges: Ranges, words: int, seed:
     return found
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, id: for each distinct key of docs (key) a long that orders like the keys."""
+    return scratch.put(docs.where("key is not null").select("key").distinct().orderBy("key").withColumn("id", F.monotonically_increasing_id()))
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each row of docs: the id, n_shingles, component_id, the smallest id that can be reached
     by links. Two documents link if den * common shingles >= num * all their shingles.
 
     Words are runs of other than blanks (\\x20, \\t to \\r), A-Z lower-cased. With fewer than `words`
     words all of them are one shingle. Null, empty and blank texts have no shingles and link with
-    nothing, so their component is their own id. Shingles are told apart by 64-bit hashes. Rows that
-    repeat an id are one document: links of any of them count, and each comes back. Rows without an id
-    link with nothing and have no component. Other columns of docs are not read.
+    nothing, so their component is their own id. Whole numbers as ids are compared as numbers, ids of
+    any other type that can be sorted in their own order. Shingles are told apart by 64-bit hashes of
+    BLAKE2b word hashes, links are confirmed on the words. Rows that repeat an id are one document: links
+    of any of them count, and each comes back. Rows without an id link with nothing and have no
+    component. An empty table gives an empty result. Other columns of docs are not read.
     """
+    whole = isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     scratch = Scratch(docs.sparkSession, "jaccard")
+    if whole:
+        return _components(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), scratch, words, num, den, block).toDF(id_col, "n_shingles", "component_id")
+    plain = docs.select(docs[id_col].alias("key"), docs[text_col].alias("text"))
+    names = _numbered(plain, scratch)
+    found = _components(plain.join(names, "key", "left").select("id", "text"), scratch, words, num, den, block)
+    got = found.join(names, "id", "left").join(names.select(F.col("key").alias("least"), F.col("id").alias("component_id")), "component_id", "left")
+    return got.select("key", "n_shingles", "least").toDF(id_col, "n_shingles", "component_id")
+
+
+def _components(src: DataFrame, scratch: Scratch, words: int, num: int, den: int, block: int) -> DataFrame:
+    """id, n_shingles, component over src (id: long, text)."""
     ranges = Ranges(num, den)
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
     def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t, words)
-                need = [(v, k) for v, _, k in ranges.entries(s)] if len(s) else []
-                rows.append((len(s), *set_key(s), [v for v, _ in need], [k for _, k in need]))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], *[pa.array(c, pa.list_(pa.int32())) for c in cols[3:]]], names=["id", "n", "k1", "k2", "levels", "needs"])
-
-    sized = scratch.put(src.mapInArrow(classes, "id long, n long, k1 long, k2 long, levels array<int>, needs array<int>"))
+            for t in b.column(1):
+                s = shingle_set(t.as_py(), words)
+                need = [(v, k, len(e)) for v, e, k in ranges.entries(s)] if len(s) else []
+                rows.append((len(s), *set_key(s), sum(m for _, _, m in need), [v for v, _, _ in need], [k for _, k, _ in need]))
+            cols = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], *[pa.array(c, pa.list_(pa.int32())) for c in cols[4:]]], names=["id", "n", "k1", "k2", "entries", "levels", "needs"])
+
+    sized = scratch.put(src.mapInArrow(classes, "id long, n long, k1 long, k2 long, entries long, levels array<int>, needs array<int>"))
     # the smallest id of equal sets stands for them
     heads = scratch.put(sized.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("head")))
     member = scratch.put(sized.join(heads, ["n", "k1", "k2"], "left").select("id", "n", "head", "levels", "needs"))
+    entries = sized.agg(F.sum("entries")).first()[0] or 0
     scratch.drop(sized, heads)
     same = member.where("head is not null and head <> id").select(F.col("id").alias("a"), F.col("head").alias("b"))
 
     known = src.where("id is not null")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = known.mapInArrow(_shared(ranges, words, parts), "part int, kind int, a binary, b binary, ids binary")
-    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_shared(parts), "part int, k binary, n binary")
-    counts = scratch.put(found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_add_counts, "id long, level int, got long"))
+    parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fine = parts * min(4096, -(-2 * entries // (parts * ENTRIES)) or 1)  # so many that the entries of one are few
+    packed = known.mapInArrow(_shared(ranges, words, fine), "part int, kind int, a binary, b binary, ids binary")
+    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_shared, "id long, level int, got long")
+    counts = found.groupBy("id", "level").agg(F.sum("got").alias("got"))
     needs = member.where("head = id").select("id", "n", F.explode(F.arrays_zip("levels", "needs")).alias("x")).select("id", "n", F.col("x.levels").alias("level"), F.col("x.needs").alias("need"))
     lone = scratch.put(needs.join(counts, ["id", "level"]).where("got >= need").groupBy("id").agg(F.max("n").alias("n")))
     texts = scratch.put(known.join(lone.hint("merge"), "id").select("id", "text", "n"))
 
     dealt = texts.select("id", "n", F.lit(0).cast("long").alias("block"))
     sizes = lambda d: d.groupBy("block").agg(F.sum("n").alias("weight"), F.count("*").alias("docs")).where("docs > 1")
-    for seed in (0, 1, 2, 3):
+    for seed in (0, 1):
         large = scratch.put(sizes(dealt).where((F.lit(seed) == 0) | (F.col("weight") > block)).select("block"))
         if large.isEmpty():
             break
@@ -459,15 +516,51 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         fresh = again.withColumnRenamed("node", "id").join(inside.select("id", "n"), "id").select("id", "n", F.xxhash64("component", F.lit(seed)).alias("block"))
         dealt = scratch.put(dealt.join(large, "block", "left_anti").select("id", "n", "block").unionByName(fresh))
         scratch.drop(inside)
-    cut = sizes(dealt).withColumn("k", F.when(F.col("weight") <= block, 1).otherwise(F.ceil(F.col("weight") * 2 / block)).cast("int"))
-    cells = dealt.join(cut.select("block", "k"), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    cells = cells.select("id", "block", "part", other.alias("o")).select("id", "block", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part")
-    cells = scratch.put(cells)
-    rows = texts.join(cells.hint("merge"), "id").select("block", "i", "j", "part", "id", "text").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id")
-    links = scratch.put(rows.mapInArrow(_search(num, den, words), "a long, b long"))
+
+    def search(cells: DataFrame) -> DataFrame:
+        """Links among the documents of each cell (id, label, block, i, j, part)."""
+        rows = texts.join(scratch.put(cells).hint("merge"), "id").select("block", "i", "j", "part", "id", "label", "text")
+        return scratch.put(rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id").mapInArrow(_search(num, den, words), "a long, b long"))
+
+    def cut(weight) -> object:
+        return F.when(weight <= block, 1).otherwise(F.ceil(weight * 2 / block)).cast("int")
+
+    part = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    cuts = scratch.put(sizes(dealt).select("block", cut(F.col("weight")).alias("k")))
+    dealt = scratch.put(dealt.join(cuts, "block").withColumn("part", part("k")))
+    links = search(dealt.select("id", F.col("id").alias("label"), "block", F.col("part").alias("i"), F.col("part").alias("j"), "part"))
+    if not cuts.where("k > 1").isEmpty():
+        links = links.unionByName(_beyond(dealt.where("k > 1"), links, search, cut, part, scratch))
     found = connected_components(links.unionByName(same), scratch)
-    return (
-        member.join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "head", "id").alias("component_id"))
-    )
+    return member.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "head", "id")).alias("component_id"))
+
+
+def _beyond(dealt: DataFrame, links: DataFrame, search, cut, part, scratch: Scratch) -> DataFrame:
+    """Links between the parts of large blocks (id, n, block, part, k), given those within parts."""
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        found = connected_components(edges, scratch)
+        return scratch.put(dealt.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", "block", "part", "k", F.coalesce("component", "id").alias("label")))
+
+    links = links.join(dealt.select(F.col("id").alias("a")), "a", "left_semi")
+    one = labelled(links)
+    # the least documents of the components are compared, where a task can hold them
+    least = scratch.put(one.where("label = id"))
+    few = least.groupBy("block").agg(F.sum("n").alias("w")).where(cut(F.col("w")) == 1).select("block")
+    zero = F.lit(0)
+    more = search(least.join(few, "block", "left_semi").select("id", "label", "block", zero.alias("i"), zero.alias("j"), zero.alias("part")))
+    known = labelled(links.unionByName(more))
+    most = known.groupBy("block", "label").agg(F.count("*").alias("docs")).groupBy("block").agg(F.max_by("label", F.struct("docs", -F.col("label"))).alias("most"))
+    known = scratch.put(known.join(most, "block"))
+    outside = known.where("label <> most")
+    weight = scratch.put(outside.groupBy("block").agg(cut(F.sum("n")).alias("s")))
+    outside = scratch.put(outside.join(weight, "block").withColumn("own", part("s")))
+    # outside with the largest component, part by part; parts of it are numbered from s on
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    asking = outside.withColumn("o", other).select("id", "label", "block", F.col("own").alias("i"), (F.col("s") + F.col("o")).alias("j"), F.lit(0).alias("part"))
+    asked = known.where("label = most").join(weight, "block").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    asked = asked.select("id", "label", "block", F.col("o").alias("i"), (F.col("s") + F.col("part")).alias("j"), F.lit(1).alias("part"))
+    # outside with outside
+    both = outside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    both = both.select("id", "label", "block", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), F.col("own").alias("part"))
+    return more.unionByName(search(asking.unionByName(asked).unionByName(both)))

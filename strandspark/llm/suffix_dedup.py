@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .jaccard import U, _power, mix
+from .jaccard import U, mix
+
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 
 MATCH, SEED = 400, 128
 #: Different surroundings of a seed that are sorted in one task at most; beyond, windows are counted.
@@ -37,6 +40,19 @@ CROWD = 50_000
 #: Depth in bytes from which ties go to blind tries, and bytes of a quicksort symbol.
 SHALLOW, SYMBOL = 32, 8
 
+_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 to n."""
+    if len(_powers[0]) <= n:
+        size = 1 << max(16, (n + 1).bit_length())
+        for k, b in enumerate((BASE, INVERSE)):
+            out = np.full(size, b, U)
+            out[0] = 1
+            _powers[k] = np.multiply.accumulate(out)
+    return _powers[0], _powers[1]
+
 
 def anchors(raw: bytes, match: int = MATCH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all windows of `match` bytes, ascending, and hashes of their seeds."""
