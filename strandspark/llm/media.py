@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,6 +20,10 @@ SAMPLE, CHUNK, GOP = 192, 64, 16
 RATE = 48_000
 
 
+#: Samples that a header without media data may claim for a track whose sizes are no table.
+HEADER_SAMPLES = 1 << 22
+
+
 @dataclass
 class Track:
     track_id: int = 0
@@ -31,32 +36,57 @@ class Track:
     sizes: tuple = (0, 0, ())
     chunks: tuple = ()
     sync: tuple | None = None
-
-    def ranges(self) -> list[tuple[int, int, int]]:
-        """(sample number from 1, offset, bytes) of each keyframe, from the tables alone. Without a sync
-        table every sample is a keyframe."""
-        same, count, each = self.sizes
-        want = None if self.sync is None else set(self.sync)
-        out, n = [], 0
+    #: End of the file and bytes in it, where it has media data; else None.
+    end: int | None = None
+    #: (sample number within the fragments, offset, bytes) of their keyframes, their samples and their duration.
+    fragments: list = field(default_factory=list)
+    fragment_samples: int = 0
+    fragment_duration: int = 0
+
+    def pieces(self) -> Iterator[tuple[int, int, int]]:
+        """(first sample number from 1, samples, offset) of each chunk, while there are samples."""
+        n, count = 0, self.sizes[1]
         for k, (first, per) in enumerate(self.stsc):
             last = self.stsc[k + 1][0] - 1 if k + 1 < len(self.stsc) else len(self.chunks)
-            for c in range(first, last + 1):
-                if c > len(self.chunks):
-                    return out
-                at = self.chunks[c - 1]
-                for _ in range(per):
-                    if n >= count:
-                        return out
-                    size = same or each[n]
-                    n += 1
-                    if want is None or n in want:
-                        out.append((n, at, size))
-                    at += size
-        return out
+            for c in range(max(first, 1), min(last, len(self.chunks)) + 1) if per else ():
+                if n >= count:
+                    return
+                yield n + 1, min(per, count - n), self.chunks[c - 1]
+                n += per
+
+    def ranges(self, every: bool = False) -> list[tuple[int, int, int]]:
+        """(sample number from 1, offset, bytes) of each keyframe, or of each sample, from the tables alone.
+        Without a sync table every sample is a keyframe. Tables that claim more bytes than the file has, or
+        a sample beyond its end, break off there; those of a header alone, at HEADER_SAMPLES."""
+        same, _, each = self.sizes
+        sync = None if every or self.sync is None else sorted(set(self.sync))
+        out, room = [], HEADER_SAMPLES if self.end is None else self.end
+        for first, n, at in self.pieces():
+            if same:
+                if sync is None:
+                    n = min(n, max(0, room if self.end is None else min(room, self.end - at) // same))
+                    out.extend((first + i, at + i * same, same) for i in range(n))
+                    room -= n if self.end is None else n * same
+                    if room <= 0:
+                        break
+                else:
+                    keys = sync[bisect_left(sync, first) : bisect_left(sync, first + n)]
+                    places = [(k, at + (k - first) * same, same) for k in keys]
+                    out.extend(x for x in places if self.end is None or x[1] + same <= self.end)
+                continue
+            keys = None if sync is None else set(sync[bisect_left(sync, first) : bisect_left(sync, first + n)])
+            for k in range(first, first + n):
+                if k > len(each):
+                    break
+                size = each[k - 1]
+                if keys is None or k in keys:
+                    out.append((k, at, size))
+                at += size
+        before = self.sizes[1]
+        return out if every else out + [(before + k, o, s) for k, o, s in self.fragments]
 
     def samples(self) -> list[tuple[int, int]]:
-        every = Track(stsc=self.stsc, sizes=self.sizes, chunks=self.chunks)
-        return [(o, s) for _, o, s in every.ranges()]
+        return [(o, s) for _, o, s in self.ranges(every=True)]
 
 
 def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -80,57 +110,140 @@ def boxes(data: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]
 
 
 def parse(data: bytes) -> list[Track]:
-    """Tracks of a container. Bytes that are no container have none; a table that breaks off leaves
-    its track out."""
+    """Tracks of a container, boxes nested to any depth. Bytes that are no container have none; a table
+    that breaks off ends the walk, and tracks without chunks or fragments are then left out."""
     tracks: list[Track] = []
-
-    def walk(lo: int, hi: int, track: Track | None) -> None:
-        for kind, a, b in boxes(data, lo, hi):
+    defaults: dict[int, tuple[int, int, int]] = {}  # of fragments by track: duration, size and flags of a sample
+    media = False
+    todo: list[tuple[Iterator, Track | None, Fragment | None]] = [(boxes(data, 0, len(data)), None, None)]
+    try:
+        while todo:
+            level, track, piece = todo[-1]
+            got = next(level, None)
+            if got is None:
+                todo.pop()
+                continue
+            kind, a, b = got
             if kind == b"trak":
-                walk(a, b, got := Track())
-                tracks.append(got)
+                tracks.append(Track())
+                todo.append((boxes(data, a, b), tracks[-1], None))
+            elif kind == b"moof":
+                todo.append((boxes(data, a, b), None, Fragment(a - 8)))
+            elif kind == b"traf" and piece is not None:
+                piece.track, piece.at = None, None
+                todo.append((boxes(data, a, b), None, piece))
             elif kind in CONTAINERS:
-                walk(a, b, track)
+                todo.append((boxes(data, a, b), track, piece))
+            elif kind == b"mdat":
+                media = True
+            elif kind == b"trex":
+                number, _, *rest = struct.unpack_from(">5I", data, a + 4)
+                defaults[number] = tuple(rest)
+            elif piece is not None and kind in (b"tfhd", b"trun"):
+                (piece.head if kind == b"tfhd" else piece.run)(data, a, tracks, defaults)
             elif track is not None:
-                leaf(kind, a, b, track)
-
-    def leaf(kind: bytes, a: int, b: int, t: Track) -> None:
-        u = lambda fmt, at: struct.unpack_from(">" + fmt, data, at)
-        long = data[a] == 1 if a < b else False
-        if kind == b"tkhd":
-            t.track_id = u("I", a + (20 if long else 12))[0]
-        elif kind == b"mdhd":
-            t.timescale, t.duration = u("IQ", a + 20) if long else u("II", a + 12)
-        elif kind == b"hdlr":
-            t.handler = data[a + 8 : a + 12].decode("latin-1")
-        elif kind == b"stsd":
-            t.codec = data[a + 12 : a + 16].decode("latin-1")
-        elif kind == b"stts":
-            t.stts = [u("II", a + 8 + 8 * i) for i in range(u("I", a + 4)[0])]
-        elif kind == b"stsc":
-            t.stsc = [u("II", a + 8 + 12 * i) for i in range(u("I", a + 4)[0])]
-        elif kind == b"stsz":
-            same, n = u("II", a + 4)
-            t.sizes = (same, n, () if same else u(f"{n}I", a + 12))
-        elif kind == b"stz2":
-            bits, n = data[a + 7], u("I", a + 8)[0]
-            raw = data[a + 12 : b]
-            each = [x for c in raw for x in (c >> 4, c & 15)][:n] if bits == 4 else list(raw[:n]) if bits == 8 else list(u(f"{n}H", a + 12))
-            t.sizes = (0, n, tuple(each))
-        elif kind == b"stco":
-            t.chunks = u(f"{u('I', a + 4)[0]}I", a + 8)
-        elif kind == b"co64":
-            t.chunks = u(f"{u('I', a + 4)[0]}Q", a + 8)
-        elif kind == b"stss":
-            t.sync = u(f"{u('I', a + 4)[0]}I", a + 8)
-
-    try:
-        walk(0, len(data), None)
+                _leaf(data, kind, a, b, track)
     except (struct.error, IndexError):
-        return [t for t in tracks if t.chunks]
+        tracks = [t for t in tracks if t.chunks or t.fragments]
+    for t in tracks:
+        t.end = len(data) if media else None
+        if not t.duration:
+            t.duration = t.fragment_duration
     return tracks
 
 
+def _leaf(data: bytes, kind: bytes, a: int, b: int, t: Track) -> None:
+    """Reads a box of a track."""
+    u = lambda fmt, at: struct.unpack_from(">" + fmt, data, at)
+    long = data[a] == 1 if a < b else False
+    if kind == b"tkhd":
+        t.track_id = u("I", a + (20 if long else 12))[0]
+    elif kind == b"mdhd":
+        t.timescale, t.duration = u("IQ", a + 20) if long else u("II", a + 12)
+    elif kind == b"hdlr":
+        t.handler = data[a + 8 : a + 12].decode("latin-1")
+    elif kind == b"stsd":
+        t.codec = data[a + 12 : a + 16].decode("latin-1")
+    elif kind == b"stts":
+        t.stts = [u("II", a + 8 + 8 * i) for i in range(u("I", a + 4)[0])]
+    elif kind == b"stsc":
+        t.stsc = [u("II", a + 8 + 12 * i) for i in range(u("I", a + 4)[0])]
+    elif kind == b"stsz":
+        same, n = u("II", a + 4)
+        t.sizes = (same, n, () if same else u(f"{n}I", a + 12))
+    elif kind == b"stz2":
+        bits, n = data[a + 7], u("I", a + 8)[0]
+        raw = data[a + 12 : b]
+        each = [x for c in raw for x in (c >> 4, c & 15)][:n] if bits == 4 else list(raw[:n]) if bits == 8 else list(u(f"{n}H", a + 12))
+        t.sizes = (0, n, tuple(each))
+    elif kind == b"stco":
+        t.chunks = u(f"{u('I', a + 4)[0]}I", a + 8)
+    elif kind == b"co64":
+        t.chunks = u(f"{u('I', a + 4)[0]}Q", a + 8)
+    elif kind == b"stss":
+        t.sync = u(f"{u('I', a + 4)[0]}I", a + 8)
+
+
+#: Flag of a sample that is no keyframe.
+DEPENDS = 0x10000
+
+
+class Fragment:
+    """State of a moof box: the track its runs belong to and where the next run's samples lie."""
+
+    def __init__(self, start: int):
+        self.start, self.track, self.at, self.end = start, None, None, None
+        self.base, self.defaults = start, (0, 0, 0)
+
+    def head(self, data: bytes, a: int, tracks: list[Track], defaults: dict) -> None:
+        flags, number = struct.unpack_from(">II", data, a)
+        flags &= 0xFFFFFF
+        self.track = next((t for t in tracks if t.track_id == number), None)
+        a += 8
+        # without a base of its own, or one at this box, samples follow on those of the fragment's last track
+        self.base = self.start if flags & 0x20000 or self.end is None else self.end
+        if flags & 1:
+            self.base, a = struct.unpack_from(">Q", data, a)[0], a + 8
+        a += 4 if flags & 2 else 0
+        own = list(defaults.get(number, (0, 0, 0)))
+        for k, bit in enumerate((8, 16, 32)):
+            if flags & bit:
+                own[k], a = struct.unpack_from(">I", data, a)[0], a + 4
+        self.defaults = tuple(own)
+
+    def run(self, data: bytes, a: int, tracks: list[Track], defaults: dict) -> None:
+        """Samples that lie beyond the end of the file, or have no bytes and no entry, are none."""
+        flags, n = struct.unpack_from(">II", data, a)
+        flags &= 0xFFFFFF
+        a += 8
+        at = self.base if self.at is None else self.at
+        if flags & 1:
+            at, a = self.base + struct.unpack_from(">i", data, a)[0], a + 4
+        first = None
+        if flags & 4:
+            first, a = struct.unpack_from(">I", data, a)[0], a + 4
+        each = [flags & bit for bit in (0x100, 0x200, 0x400, 0x800)]
+        t = self.track or Track()
+        for k in range(n):
+            duration, size, mark = self.defaults
+            if any(each):
+                entry = iter(struct.unpack_from(f">{sum(map(bool, each))}I", data, a))
+                a += 4 * sum(map(bool, each))
+                duration, size, mark = next(entry) if each[0] else duration, next(entry) if each[1] else size, next(entry) if each[2] else mark
+            elif not size:
+                break
+            if at + size > len(data):
+                break
+            if k == 0 and first is not None:
+                mark = first
+            t.fragment_samples += 1
+            t.fragment_duration += duration
+            if not mark & DEPENDS:
+                t.fragments.append((t.fragment_samples, at, size))
+            at += size
+        self.at = self.end = at
+
+
 def _box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     return struct.pack(">I4s", len(body) + 8, kind) + body
@@ -194,8 +307,9 @@ INDEX = "array<struct<track_id:bigint,handler:string,codec:string,timescale:bigi
 def media_index(df: DataFrame, bytes_col: str = "media", out_col: str = "tracks") -> DataFrame:
     """Adds one struct for each track of the container in bytes_col: codec, timescale, duration, number
     of samples and the byte range of each keyframe, from the sample tables; payload bytes are not
-    decoded. A null, empty or foreign value has an empty array. Fragmented files have the tracks of
-    their moov box. All other columns are kept, but for one named out_col, which is replaced."""
+    decoded. A null, empty or foreign value has an empty array. Samples of fragments (moof boxes) are
+    numbered after those of the moov box. All other columns are kept, but for one named out_col, which is
+    replaced. No nesting of boxes and no table costs more than the file's size."""
     from pyspark.sql import functions as F
     from pyspark.sql.pandas.functions import arrow_udf
 
@@ -218,7 +332,7 @@ def media_index(df: DataFrame, bytes_col: str = "media", out_col: str = "tracks"
 
 def tracks_row(t: Track) -> dict:
     return {
-        "track_id": t.track_id, "handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "samples": t.sizes[1],
+        "track_id": t.track_id, "handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "samples": t.sizes[1] + t.fragment_samples,
         "keyframes": [{"sample": n, "offset": o, "bytes": s} for n, o, s in t.ranges()],
     }
 
