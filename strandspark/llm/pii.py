@@ -24,7 +24,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ OM TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,}+"
@@ -115,14 +120,32 @@ def places_of(found: Column, gaps: Column) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PIECE).cast("int")), zero, piece)["out"]).otherwise(F.array().cast(PLACES))
 
 
-def spans_of(text: Column, kind: Kind, some: Column) -> Column:
+#: Characters of the pieces that a long text is cut into: what stands at a place is then looked up in its
+#: piece, where a substring of the whole text would count characters from the start each time.
+STRIDE = 1024
+
+
+def strides(text: Column) -> Column:
+    """The pieces of a text; none of one that is short."""
+    return F.when(F.octet_length(text) > 4 * STRIDE, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRIDE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def cut(text: Column, pieces: Column, start: Column, n: Column) -> Column:
+    """n characters from start on."""
+    k = F.floor(start / STRIDE).cast("int")
+    near = F.substring(F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit(""))), start - k * STRIDE + 1, n)
+    return F.when((F.size(pieces) == 0) | (n > STRIDE), F.substring(text, start + 1, n)).otherwise(near)
+
+
+def spans_of(text: Column, pieces: Column, kind: Kind, some: Column) -> Column:
     """array<struct<start,end,kind,value,score>> of the confirmed spans among places of one kind, by start;
     positions in characters, end exclusive."""
     sure = F.filter(some, lambda s: CONFIRM[kind.confirm](s["value"]))
 
     def scored(s: Column) -> Column:
         score = F.lit(kind.score)
-        around = F.lower(F.concat(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(CONTEXT))))
+        lo = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        around = F.lower(F.concat(cut(text, pieces, lo, F.least(s["start"], F.lit(CONTEXT))), F.lit(" "), cut(text, pieces, s["end"], F.lit(CONTEXT))))
         if kind.near:
             score = score + F.when(around.rlike(rf"\b({kind.near})"), SHIFT).otherwise(0.0)
         if kind.far:
@@ -138,17 +161,19 @@ def pii_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
 
     Base kinds (email, ip, card, phone) keep every confirmed span whatever its score; the others drop
     those below their kind's bound. Null and empty texts have none. Rows are independent; an own column
-    named out_col is replaced, all others stay.
+    named out_col is replaced, all others stay whatever their names. An empty table gives an empty result.
     """
-    # each step is a column of its own: what a lambda refers to is then computed once for a row
-    text = F.coalesce(docs[text_col], F.lit(""))
-    df = docs.withColumn("__text", text)
+    # each step is a column of its own: what a lambda refers to is then computed once for a row. Columns of
+    # docs travel in a struct, so none of theirs is taken for one of these
+    left = [c for c in docs.columns if c != out_col]
+    df = docs.select(F.struct(*left).alias("__row") if left else F.lit(None).alias("__row"), F.coalesce(docs[text_col], F.lit("")).alias("__text"))
     names = [f"__k{i}" for i, _ in enumerate(kinds)]
     t, none = F.col("__text"), F.array().cast("array<string>")
+    df = df.withColumn("__s", strides(t))
     df = df.withColumns({f"__f{i}": F.when(t.rlike(k.quick), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none) for i, k in enumerate(kinds)})
     df = df.withColumns({f"__g{i}": F.when(F.size(f"__f{i}") > 0, F.split(t, k.pattern, -1)).otherwise(none) for i, k in enumerate(kinds)})
     df = df.withColumns({f"__p{i}": places_of(F.col(f"__f{i}"), F.col(f"__g{i}")) for i, _ in enumerate(kinds)})
-    df = df.withColumns({n: spans_of(t, k, F.col(f"__p{i}")) for i, (n, k) in enumerate(zip(names, kinds))})
+    df = df.withColumns({n: spans_of(t, F.col("__s"), k, F.col(f"__p{i}")) for i, (n, k) in enumerate(zip(names, kinds))})
     rank = {k.name: i for i, k in enumerate(kinds)}
     order = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
     keyed = F.transform(F.flatten(F.array(*names)), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), s["score"].alias("score")))
@@ -157,7 +182,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
     some = F.lit(False)
     for n in names:
         some = some | (F.size(n) > 0)
-    return df.withColumn(out_col, F.when(some, plain).otherwise(empty)).drop("__text", *names, *[f"__{c}{i}" for c in "fgp" for i, _ in enumerate(kinds)])
+    return df.select(F.col("__row.*"), F.when(some, plain).otherwise(empty).alias(out_col))
 
 
 def joined(spans: Column, base_only: bool) -> Column:
@@ -169,16 +194,29 @@ def joined(spans: Column, base_only: bool) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """docs with each span of text_col replaced by its kind in brackets, such as [email]. Overlapping
-    spans go as one, named after the first. A null text stays null."""
-    found = pii_spans(docs, text_col, kinds, "__spans")
-    text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        inside = s["start"] < a["at"]
-        put = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(put).alias("out"))
-
-    end = F.aggregate("__spans", zero, step)
-    new = F.when(F.size("__spans") == 0, text).otherwise(F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, new).drop("__spans")
+    spans go as one, named after the first. A null text stays null, an empty or very long one is treated as
+    any other, repeated rows come back as often, an empty table is empty, and other columns stay as they
+    are whatever their names."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), docs[text_col].alias("t"))
+    found = pii_spans(row, "t", kinds, "found").withColumn("pieces", F.when(F.size("found") > 0, strides(F.col("t"))).otherwise(F.array().cast("array<string>")))
+    zero = F.array().cast("array<int>")
+
+    def ends(acc: Column, i: Column) -> Column:
+        """The greatest end so far, for each span; as in places_of, in pieces."""
+        return F.struct(F.greatest(acc["at"], F.get("found", i)["end"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def piece(acc: Column, k: Column) -> Column:
+        return F.aggregate(
+            F.sequence(k * PIECE, F.least((k + 1) * PIECE, F.size("found")) - 1), F.struct(acc["at"].alias("at"), zero.alias("out"), acc["out"].alias("before")),
+            lambda a, i: F.struct(ends(a, i)["at"].alias("at"), ends(a, i)["out"].alias("out"), a["before"].alias("before")), lambda a: F.struct(a["at"].alias("at"), F.concat(a["before"], a["out"]).alias("out")),
+        )
+
+    first = F.struct(F.lit(0).alias("at"), zero.alias("out"))
+    found = found.withColumn("to", F.when(F.size("found") > 0, F.aggregate(F.sequence(F.lit(0), F.floor((F.size("found") - 1) / PIECE).cast("int")), first, piece)).otherwise(first))
+
+    def put(s: Column, i: Column) -> Column:
+        at = F.get(F.col("to.out"), i)
+        return F.when(s["start"] < at, "").otherwise(F.concat(cut(F.col("t"), F.col("pieces"), at, s["start"] - at), F.lit("["), s["kind"], F.lit("]")))
+
+    new = F.when(F.size("found") == 0, F.col("t")).otherwise(F.concat(F.array_join(F.transform("found", put), ""), F.substring("t", F.col("to.at") + 1, F.length("t"))))
+    return found.withColumn("new", new).select(*[F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
