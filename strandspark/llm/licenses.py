@@ -1,7 +1,9 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
 A text is cut into sentences, those with a telling word are normalised and mapped to identifiers of
-known licence sentences, and the sequence of identifiers is matched against licence rules in their
+known licence sentences: the first pattern that stands anywhere in a sentence counts, so what a sentence
+says before and after it doesn't matter. An identifier carries the version that the sentence names and a
+plus if later ones are allowed. The sequence of identifiers is matched against licence rules in their
 order; what a rule has matched is used up. Everything happens within the row, without a shuffle.
 """
 
@@ -11,90 +13,137 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words without which a sentence is none of a licence.
-TELLING = r"licen[sc]|copyright|permission|permitted|redistribut|warrant|spdx|public domain|all rights reserved|free software|general public|liab|merchantab"
+TELLING = r"licen[sc]|copyright|permission|permitted|redistribut|warrant|spdx|public domain|all rights reserved|free software|general public|liab|merchantab|\bcc[ -]?(?:by|0)\b|creative commons|no rights reserved|\b[al]?gpl|\bwtfpl\b|without warrant|unencumbered"
 
-# Fixed values: (identifier, pattern of the whole normalised sentence), the first that fits counts.
+_V = r"(?:version |v\.? ?|[ -])?([0-9](?:\.[0-9])?)"
+_GNU = r"general public licenses?(?: [al]?gpl)?(?:,? (?:as published by the free software foundation,? )?(?:either )?(?:" + _V + r"\b)?)?"
+
+# Fixed values: (identifier, pattern within the normalised sentence), the first that stands in it counts. A
+# group of a pattern is the version.
 SENTENCES: tuple[tuple[str, str], ...] = (
-    ("SpdxId", r".*spdx license identifier [a-z0-9.+ -]+"),
-    ("ApacheV2", r".*(licensed|released|distributed|available) under the (terms of the )?apache license,? (version )?2(\.0)?( the license)?( you may not use this file except in compliance with the license)?"),
-    ("ApacheUse", r".*you may not use this file except in compliance with the license"),
-    ("ApacheCopy", r"you may obtain a copy of the license at.*"),
-    ("ApacheAsIs", r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis.*"),
-    ("ApacheSee", r"see the license for the specific language governing permissions and limitations under the license"),
-    ("AgplV3", r".*(under|terms of) (the terms of )?the gnu affero general public license,? (as published by the free software foundation,? )?(either )?(version 3|v3).*"),
-    ("LgplAny", r".*(under|terms of) (the terms of )?the gnu (lesser|library) general public license.*"),
-    ("GplV3", r".*(under|terms of) (the terms of )?the gnu general public license,? (as published by the free software foundation,? )?(either )?(version 3|v3).*"),
-    ("GplV2", r".*(under|terms of) (the terms of )?the gnu general public license,? (as published by the free software foundation,? )?(either )?(version 2|v2).*"),
-    ("GplNoWarranty", r".*distributed in the hope that it will be useful.*"),
-    ("GplReceived", r"you should have received a copy of the gnu .*general public license.*"),
-    ("CcByNcSa", r".*under .*(cc by-nc-sa|attribution-noncommercial-sharealike)( 4\.0)?( international)?.*"),
-    ("CcByNcNd", r".*under .*(cc by-nc-nd|attribution-noncommercial-noderiv[a-z]*)( 4\.0)?( international)?.*"),
-    ("CcByNc", r".*under .*(cc by-nc|attribution-noncommercial)( 4\.0)?( international)?.*"),
-    ("CcBySa", r".*under .*(cc by-sa|attribution-sharealike)( 4\.0)?( international)?.*"),
-    ("CcByNd", r".*under .*(cc by-nd|attribution-noderiv[a-z]*)( 4\.0)?( international)?.*"),
-    ("CcBy", r".*under .*(cc by|creative commons attribution)( 4\.0)?( international)?.*"),
-    ("Cc0", r".*(cc0|no rights reserved).*"),
-    ("PublicDomain", r".*(released|placed|dedicated|is) (in)?to? ?(in )?the public domain.*"),
-    ("MitNamed", r".*(licensed|released|distributed|available|provided) under (the )?(terms of the )?mit license( see license.*)?"),
-    ("MitGrant", r".*permission is hereby granted,? free of charge,? to any person obtaining a copy.*"),
-    ("MitNotice", r".*the above copyright notice and this permission notice shall be included in all copies.*"),
-    ("BsdNamed", r".*under (the )?(terms of the )?(([234]-clause |new |simplified |modified )?bsd)( [234]-clause)?([- ]style)? license.*"),
-    ("BsdRedistribute", r".*redistribution and use in source and binary forms.*are permitted.*"),
-    ("BsdSource", r".*redistributions of source code must retain the above copyright notice.*"),
-    ("BsdBinary", r".*redistributions in binary form must reproduce the above copyright notice.*"),
-    ("BsdName", r".*may be used to endorse or promote products derived from this software without specific prior written permission.*"),
-    ("IscGrant", r".*permission to use,? copy,? modify,? and/?o?r? ?distribute this software for any purpose.*"),
-    ("MplV2", r".*(subject to the terms of|under) the mozilla public license,? (v(ersion)?\.? ?)?2(\.0)?.*"),
-    ("EplV2", r".*under the (terms of the )?eclipse public license.*"),
-    ("Unlicense", r".*this is free and unencumbered software released into the public domain.*"),
-    ("AsIs", r".*provided as is,? (and )?without (any )?(express or implied )?warrant.*"),
-    ("NoLiability", r".*in no event shall .* be liable.*"),
-    ("AllRights", r".*all rights reserved"),
-    ("Copyright", r".*copyright (c )?[0-9]{4}.*"),
+    ("SpdxId", r"spdx[ -]license[ -]identifier [a-z0-9]"),
+    ("ApacheAsIs", r"software distributed under the license is distributed on an as is basis"),
+    ("ApacheCopy", r"you may obtain a copy of the license at"),
+    ("ApacheSee", r"see the license for the specific language governing permissions"),
+    ("Apache", r"apache(?: software)? license[ ,]*" + _V + r"\b"),
+    ("Apache", r"apache-([0-9]\.[0-9])\b"),
+    ("ApacheUse", r"you may not use this file except in compliance with the license"),
+    ("ApacheTerms", r"terms and conditions for use, reproduction, and distribution"),
+    ("Apache", r"(?:under|terms of) the apache(?: software)? license"),
+    ("GplReceived", r"you should have received a copy of the gnu .*general public license"),
+    ("GplNoWarranty", r"distributed in the hope that it will be useful"),
+    ("Agpl", r"(?:under|terms of|gnu) (?:the )?(?:gnu )?affero " + _GNU),
+    ("Lgpl", r"(?:under|terms of|gnu) (?:the )?(?:gnu )?(?:lesser|library) " + _GNU),
+    ("Gpl", r"(?:under|terms of|gnu) (?:the )?(?:gnu )?" + _GNU),
+    ("Agpl", r"(?:under|terms of) (?:the )?(?:gnu )?agpl" + _V + r"\b"),
+    ("Lgpl", r"(?:under|terms of) (?:the )?(?:gnu )?lgpl" + _V + r"\b"),
+    ("Gpl", r"(?:under|terms of) (?:the )?(?:gnu )?gpl" + _V + r"\b"),
+    ("CcByNcSa", r"(?:cc[ -]by-nc-sa|attribution-noncommercial-sharealike)(?:[ -]([0-9]\.[0-9]))?"),
+    ("CcByNcNd", r"(?:cc[ -]by-nc-nd|attribution-noncommercial-noderiv[a-z]*)(?:[ -]([0-9]\.[0-9]))?"),
+    ("CcByNc", r"(?:cc[ -]by-nc|attribution-noncommercial)(?:[ -]([0-9]\.[0-9]))?"),
+    ("CcBySa", r"(?:cc[ -]by-sa|attribution-sharealike)(?:[ -]([0-9]\.[0-9]))?"),
+    ("CcByNd", r"(?:cc[ -]by-nd|attribution-noderiv[a-z]*)(?:[ -]([0-9]\.[0-9]))?"),
+    ("CcBy", r"(?:\bcc[ -]by|creative commons attribution)(?: license)?(?:[ -]([0-9]\.[0-9]))?"),
+    ("Cc0", r"\bcc0\b|no rights reserved|creative commons zero"),
+    ("Unlicense", r"free and unencumbered software released into the public domain"),
+    ("Unlicense", r"(?:under|terms of) the unlicense\b"),
+    ("Mpl", r"mozilla public license[ ,]*(?:" + _V + r"\b)?"),
+    ("Epl", r"eclipse public license[ ,-]*(?:" + _V + r"\b)?"),
+    ("Eupl", r"european union public licen[sc]e[ ,]*(?:" + _V + r"\b)?"),
+    ("Cddl", r"common development and distribution license[ ,]*(?:\(cddl\) ?)?(?:" + _V + r"\b)?"),
+    ("Artistic", r"artistic license[ ,]*(?:" + _V + r"\b)?"),
+    ("Ofl", r"sil open font license[ ,]*(?:" + _V + r"\b)?"),
+    ("Bsl", r"boost software license[ ,-]*(?:" + _V + r"\b)?"),
+    ("Wtfpl", r"do what the f[a-z*]+ you want to public license|\bwtfpl\b"),
+    ("Python", r"(?:psf|python software foundation) license"),
+    ("BslGrant", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("MitGrant", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
+    ("MitNotice", r"above copyright notice and this permission notice shall be included in all copies"),
+    ("IscGrant", r"permission to use,? copy,? modify,? and/?o?r? ?distribute this software (?:and its documentation )?for any purpose.*appear in all copies"),
+    ("ZeroGrant", r"permission to use,? copy,? modify,? and/?o?r? ?distribute this software (?:and its documentation )?for any purpose"),
+    ("ZlibGrant", r"permission is granted to anyone to use this software for any purpose"),
+    ("ZlibOrigin", r"the origin of this software must not be misrepresented"),
+    ("ZlibAltered", r"altered source versions must be plainly marked"),
+    ("ZlibNotice", r"this notice may not be removed or altered from any source distribution"),
+    ("Mit", r"(?:^|(?:under|by|terms of|provided|released|the) (?:an? |the )?(?:terms of the )?)(?:mit|expat)(?:[ /-]x11)?(?:[- ]style)? license"),
+    ("Isc", r"(?:under|terms of) (?:an? |the )?(?:terms of the )?isc license"),
+    ("Zlib", r"(?:under|terms of) (?:an? |the )?(?:terms of the )?zlib(?:/libpng)? license"),
+    ("Bsd3", r"(?:bsd[ -]3[ -]clause|(?:3-clause|new|modified|revised) bsd|bsd-new)"),
+    ("Bsd2", r"(?:bsd[ -]2[ -]clause|(?:2-clause|simplified|freebsd) bsd|bsd-simplified)"),
+    ("Bsd", r"(?:under|terms of) (?:an? |the )?(?:terms of the )?(?:(?:original|4-clause) )?bsd(?:[- ]style)? license"),
+    ("BsdRedistribute", r"redistribution and use in source and binary forms.*are permitted"),
+    ("BsdSource", r"redistributions of source code must retain the above copyright notice"),
+    ("BsdBinary", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("BsdName", r"be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BsdAdvertising", r"all advertising materials mentioning features or use of this software must display"),
+    ("PublicDomain", r"(?:released|placed|dedicated|is|are) (?:into |in |to |under )?the public domain"),
+    ("AsIs", r"provided (?:by the copyright holders and contributors )?as[ -]is,? (?:and )?(?:without|any express)"),
+    ("NoLiability", r"in no event (?:shall|will) .* be (?:held )?liable"),
+    ("AllRights", r"all rights reserved"),
+    ("Copyright", r"copyright (?:\(?c\)? ?)?[0-9]{4}"),
 )
 
 # Fixed values: (licence, sequence of identifiers), matched in this order. A name in parentheses may be missing.
+# The first identifier's version stands for the star; a plus stands for -or-later.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("Apache-2.0", ("ApacheV2", "(ApacheUse)", "(ApacheCopy)", "(ApacheAsIs)", "(ApacheSee)")),
-    ("AGPL-3.0", ("AgplV3", "(GplNoWarranty)", "(GplReceived)")),
-    ("LGPL", ("LgplAny", "(GplNoWarranty)", "(GplReceived)")),
-    ("GPL-3.0", ("GplV3", "(GplNoWarranty)", "(GplReceived)")),
-    ("GPL-2.0", ("GplV2", "(GplNoWarranty)", "(GplReceived)")),
-    ("CC-BY-NC-SA-4.0", ("CcByNcSa",)),
-    ("CC-BY-NC-ND-4.0", ("CcByNcNd",)),
-    ("CC-BY-NC-4.0", ("CcByNc",)),
-    ("CC-BY-SA-4.0", ("CcBySa",)),
-    ("CC-BY-ND-4.0", ("CcByNd",)),
-    ("CC-BY-4.0", ("CcBy",)),
+    ("Apache-*", ("Apache", "(ApacheUse)", "(ApacheTerms)", "(ApacheCopy)", "(ApacheAsIs)", "(ApacheSee)")),
+    ("Apache-2.0", ("ApacheUse", "ApacheCopy", "(ApacheAsIs)", "(ApacheSee)")),
+    ("AGPL-*", ("Agpl", "(GplNoWarranty)", "(GplReceived)")),
+    ("LGPL-*", ("Lgpl", "(GplNoWarranty)", "(GplReceived)")),
+    ("GPL-*", ("Gpl", "(GplNoWarranty)", "(GplReceived)")),
+    ("CC-BY-NC-SA-*", ("CcByNcSa",)),
+    ("CC-BY-NC-ND-*", ("CcByNcNd",)),
+    ("CC-BY-NC-*", ("CcByNc",)),
+    ("CC-BY-SA-*", ("CcBySa",)),
+    ("CC-BY-ND-*", ("CcByNd",)),
+    ("CC-BY-*", ("CcBy",)),
     ("CC0-1.0", ("Cc0",)),
+    ("BSD-4-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary", "BsdAdvertising", "(BsdName)", "(AsIs)", "(NoLiability)")),
     ("BSD-3-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary", "BsdName", "(AsIs)", "(NoLiability)")),
     ("BSD-2-Clause", ("BsdRedistribute", "BsdSource", "BsdBinary", "(AsIs)", "(NoLiability)")),
-    ("MIT", ("MitGrant", "(MitNotice)", "(AsIs)", "(NoLiability)")),
-    ("MIT", ("MitNamed", "(MitNotice)", "(AsIs)")),
-    ("BSD", ("BsdNamed",)),
-    ("ISC", ("IscGrant", "(AsIs)", "(NoLiability)")),
-    ("MPL-2.0", ("MplV2",)),
-    ("EPL", ("EplV2",)),
-    ("Unlicense", ("Unlicense",)),
+    ("MIT", ("(Mit)", "(Copyright)", "MitGrant", "(MitNotice)", "(AsIs)", "(NoLiability)")),
+    ("MIT", ("Mit", "(MitNotice)", "(AsIs)")),
+    ("BSD-3-Clause", ("Bsd3",)),
+    ("BSD-2-Clause", ("Bsd2",)),
+    ("BSD", ("Bsd",)),
+    ("ISC", ("(Isc)", "IscGrant", "(AsIs)", "(NoLiability)")),
+    ("ISC", ("Isc",)),
+    ("0BSD", ("ZeroGrant", "(AsIs)", "(NoLiability)")),
+    ("Zlib", ("(Zlib)", "(AsIs)", "(NoLiability)", "ZlibGrant", "(ZlibOrigin)", "(ZlibAltered)", "(ZlibNotice)")),
+    ("Zlib", ("Zlib",)),
+    ("MPL-*", ("Mpl",)),
+    ("EPL-*", ("Epl",)),
+    ("EUPL-*", ("Eupl",)),
+    ("CDDL-*", ("Cddl",)),
+    ("Artistic-*", ("Artistic",)),
+    ("OFL-*", ("Ofl",)),
+    ("BSL-1.0", ("(Bsl)", "BslGrant", "(AsIs)", "(NoLiability)")),
+    ("BSL-*", ("Bsl",)),
+    ("WTFPL", ("Wtfpl",)),
+    ("PSF-2.0", ("Python",)),
+    ("Unlicense", ("Unlicense", "(AsIs)", "(NoLiability)")),
     ("Public-Domain", ("PublicDomain",)),
     ("SPDX", ("SpdxId",)),
     ("Proprietary", ("AllRights",)),
 )
+#: Words that allow later versions.
+LATER = r"any later version|or later|or newer|[0-9]\+"
 BREAK = "\u0001"
 #: A tag and its expression; identifiers are what AND, OR, parentheses and exceptions leave of it.
 ONE = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?\)*"
 TAG = rf"(?i)spdx[ -]licen[sc]e[ -]identifier[ \t]*:?[ \t]*({ONE}(?:[ \t]+(?:and|or|with)[ \t]+{ONE})*)"
-#: In place of the first of SENTENCES: normalising keeps hyphens, and a tag's line need not end the sentence.
-SPDX = r".*spdx[ -]license[ -]identifier [a-z0-9].*"
-#: Openings of patterns after which anything may stand: the first place they fit is tried and no other, so
-#: that long sentences cost their length. What follows finds the same, since the rest is longest there.
-ONCE = (".*under .*", ".*in no event shall .*", ".*redistribution and use in source and binary forms.*")
+
+
+#: Words that a wrapped line may end in: what follows belongs to its sentence.
+WRAPPED = "the|of|under|by|or|and|an|a|gnu|to|in|this|that|with|for|either|is|are"
 
 
 def sentences(text: Column) -> Column:
-    """Ends of sentences, empty lines, and line ends before a capital letter divide."""
-    cut = F.regexp_replace(text, r"([.!?]|;(?!\s+(?i:either\s+version)))\s+", "$1" + BREAK)
-    cut = F.regexp_replace(cut, r"\n\s*([A-Z(\n])", BREAK + "$1")
+    """Ends of sentences, empty lines, and line ends before a capital letter divide; not after "v.", nor
+    where a notice goes on."""
+    cut = F.regexp_replace(text, r"((?<!\b[vV])[.]|[!?]|;(?!\s+(?i:either\s+version)))\s+", "$1" + BREAK)
+    cut = F.regexp_replace(cut, r"\n[ \t\r]*\n\s*", BREAK)
+    cut = F.regexp_replace(cut, rf"(?<!\b(?i:{WRAPPED})[ \t]{{0,9}})\n[ \t]*(?!\(at your option)([A-Z(])", BREAK + "$1")
     return F.split(cut, BREAK)
 
 
@@ -105,30 +154,49 @@ def normalised(sentence: Column) -> Column:
 
 
 def identifier(norm: Column) -> Column:
-    """The first known sentence that the whole of norm fits; Unknown if none."""
+    """The first known sentence that stands in norm, its version and plus if it has them; Unknown if none."""
     out = None
     for name, pattern in SENTENCES:
-        pattern = SPDX if name == "SpdxId" else pattern
-        for o in ONCE:
-            if pattern.startswith(o):
-                pattern = f"(?>.*?{o[2:-2]}).*{pattern[len(o):]}"
-        fits = norm.rlike(f"^(?:{pattern})$")
-        out = F.when(fits, name) if out is None else out.when(fits, name)
+        if ".*" in pattern:  # the first place that the opening fits is tried and no other, so long sentences cost
+            opening, rest = pattern.split(".*")  # their length; what is left to look in is longest there
+            pattern = f"^(?>.*?{opening}).*{rest}"
+        known = F.lit(name)
+        if "([0-9]" in pattern:
+            version = F.regexp_replace(F.regexp_extract(norm, pattern, 1), "^([0-9])$", "$1.0")
+            known = F.concat(F.lit(name), version, F.when((version != "") & norm.rlike(LATER), "+").otherwise(""))
+        fits = norm.rlike(pattern)
+        out = F.when(fits, known) if out is None else out.when(fits, known)
     return out.otherwise("Unknown")
 
 
 def rule_pattern(sequence: tuple[str, ...]) -> str:
-    """Identifiers in a row, each ending in a comma; unknown sentences may stand between."""
-    return "(?<![A-Za-z0-9])" + "(?:Unknown,)*".join(f"(?:{s[1:-1]},)?" if s[0] == "(" else f"{s}," for s in sequence)
+    """Identifiers in a row, each ending in a comma; unknown sentences may stand between. Group 1 is the
+    version of the first."""
+    parts = []
+    for k, s in enumerate(sequence):
+        name = f"{s.strip('()')}{'([0-9.]*[+]?)' if k == 0 else '[0-9.]*[+]?'},"
+        parts.append(f"(?:{name}(?:Unknown,)*)?" if s[0] == "(" else f"{name}(?:Unknown,)*")
+    parts[-1] = parts[-1].replace("(?:Unknown,)*", "")
+    return "(?<![A-Za-z0-9.+])" + "".join(parts)
+
+
+def license_name(k: Column, version: Column) -> Column:
+    """The name of rule k with its version."""
+    names = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(RULES) for x in (str(i), n)])
+    later, number = version.endswith("+"), F.regexp_replace(version, "[+]", "")
+    full = F.regexp_replace(names[k], "[*]", number)
+    full = F.when(names[k].endswith("*") & (number == ""), F.regexp_replace(names[k], "-[*]", "")).otherwise(full)
+    return F.concat(full, F.when(names[k].endswith("*") & later & names[k].rlike("GPL"), "-or-later").otherwise(""))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, licenses (distinct names in order of the rules, then those of
-    SPDX tags in text order, joined by commas), sequence (identifiers of telling sentences in text order) and n_unknown, how many of these
-    are no known sentence.
+    SPDX tags in text order, joined by commas), sequence (identifiers of telling sentences in text order)
+    and n_unknown, how many of these are no known sentence.
 
     The whole text is read. Null and empty texts, and texts without a telling word, have empty results.
-    Rows are independent; repeated rows and null ids come back as they are; other columns are not read.
+    Rows are independent; repeated rows and null ids come back as they are, an empty table is empty; other
+    columns are not read.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     df = docs.select(docs[id_col].alias("id"), text.alias("t"))
@@ -141,11 +209,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = df.select("id", "ids", "tags", seq.alias("seq"))
     left = F.col("seq")
     for k, (_, sequence) in enumerate(RULES):
-        left = F.regexp_replace(left, rule_pattern(sequence), f"<{k}>,")
-    df = df.select("id", "ids", "tags", "seq", F.when(F.size("ids") > 0, left).otherwise("").alias("left"))
-    names = F.create_map(*[F.lit(x) for k, (n, _) in enumerate(RULES) for x in (k, n)])
-    hit = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("left", F.lit("<([0-9]+)>"), F.lit(1)), lambda x: x.cast("int"))))
-    named = F.filter(F.transform(hit, lambda k: names[k]), lambda n: (n != "SPDX") | (F.size("tags") == 0))
+        left = F.regexp_replace(left, rule_pattern(sequence), f"<{k}:$1>,")
+    df = df.select("id", "ids", "tags", F.when(F.size("ids") > 0, left).otherwise("").alias("left"))
+    hit = F.array_sort(F.transform(F.regexp_extract_all("left", F.lit("<([0-9]+:[0-9.+]*)>"), F.lit(1)), lambda x: F.struct(F.split(x, ":")[0].cast("int").alias("k"), F.split(x, ":")[1].alias("v"))))
+    named = F.filter(F.transform(hit, lambda h: license_name(h["k"].cast("string"), h["v"])), lambda n: (n != "SPDX") | (F.size("tags") == 0))
     return df.select(
         F.col("id").alias(id_col), F.array_join(F.array_distinct(F.concat(named, "tags")), ",").alias("licenses"),
         F.array_join("ids", ",").alias("sequence"), F.size(F.filter("ids", lambda x: x == "Unknown")).cast("long").alias("n_unknown"),

@@ -18,11 +18,12 @@ def test_licence_in_a_long_sentence(spark):
 
 
 def test_licence_patterns_tried_once_fit_the_same(spark):
+    """Rules with a gap take the first place of their opening; that finds what trying all places finds."""
     rng = random.Random(3)
-    bits = ["under ", "the ", "cc by-nc-sa ", "cc by ", "attribution-sharealike ", "in no event shall ", " be liable ", "redistribution and use in source and binary forms", "are permitted ", "license ", "x "]
+    bits = ["in no event shall ", "in no event will ", " be liable ", "redistribution and use in source and binary forms", "are permitted ", "license ", "x ", "permission to use, copy, modify, and distribute this software for any purpose ", "appear in all copies "]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) + " license" for _ in range(300)]
-    plain = lambda t: re.sub(r"^[ .,/*-]+|[ .,/-]+$", "", re.sub(r"[^a-z0-9.,/+-]+", " ", t.lower().replace("licence", "license")))
-    want = [next((n for n, p in licenses.SENTENCES if re.fullmatch(p, plain(t))), "Unknown") for t in texts]
+    plain = lambda t: re.sub(r"^[ .,/*-]+|[ .,/-]+$", "", re.sub(r"[^a-z0-9.,/+-]+", " ", t.lower()))
+    want = [next((n for n, p in licenses.SENTENCES if re.search(p, plain(t))), "Unknown") for t in texts]
     got = scan(spark, texts)
     assert [got[i].sequence for i in range(len(texts))] == want and len(set(want)) > 4
 
@@ -58,5 +59,22 @@ def test_usual_wording_of_licences(spark):
     gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."
     grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this.\n"
     got = scan(spark, ["# SPDX-License-Identifier: MIT\nimport os", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR Apache-2.0 */", gpl, grant + 'It is provided "AS IS", WITHOUT WARRANTY of any kind.'])
-    assert [got[i].licenses for i in range(4)] == ["MIT", "GPL-2.0-only,Apache-2.0", "GPL-2.0", "MIT"] and got[0].n_unknown == 0
+    assert [got[i].licenses for i in range(4)] == ["MIT", "GPL-2.0-only,Apache-2.0", "GPL-2.0-or-later", "MIT"] and got[0].n_unknown == 0
     assert got[3].sequence == "MitGrant,AsIs"
+
+
+def test_licences_within_sentences(spark):
+    """What stands before and after a known sentence, versions, and notices without the word licence."""
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice.\n"
+    name = "3. Neither the name of the copyright holder may be used to endorse or promote products derived from this software without specific prior written permission."
+    zlib = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages. Permission is granted to anyone to use this software for any purpose. The origin of this software must not be misrepresented."
+    cases = [
+        ("licensed under the Apache License, Version 2.0 and nothing else", "Apache-2.0"), ("Released under the MIT license word word", "MIT"), ("All of it is under CC BY 3.0 terms", "CC-BY-3.0"), ("Shared under CC BY-NC-SA.", "CC-BY-NC-SA"),
+        ("All rights reserved by the author", "Proprietary"), ("Code under GPLv3 or later", "GPL-3.0-or-later"), (lgpl, "LGPL-2.1-or-later"), ("under the terms of the GNU General Public License.", "GPL"), (isc, "ISC"), (isc.partition(", provided")[0] + ".", "0BSD"),
+        (bsd, "BSD-2-Clause"), (bsd + name, "BSD-3-Clause"), (zlib, "Zlib"), ("This is in the public domain.", "Public-Domain"), ("under the Mozilla Public License, v. 2.0", "MPL-2.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL"), ("The MIT License (MIT)", "MIT"), ("BSD 3-Clause License", "BSD-3-Clause"), ("It is under the CC0.", "CC0-1.0"), ("She has a driving licence", ""),
+    ]
+    got = scan(spark, [t for t, _ in cases])
+    assert [got[i].licenses for i in range(len(cases))] == [n for _, n in cases]
