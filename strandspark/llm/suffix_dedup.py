@@ -3,7 +3,9 @@
 Not every suffix needs sorting. In each window of `match` bytes the substring of `seed` bytes with the
 least hash (the leftmost of these) is its anchor; equal windows have equal anchors in the same place.
 So a window that repeats is found among anchors that share their seed: only suffixes that begin at such
-anchors are sorted, and the strings before them likewise, read backwards.
+anchors are sorted, and the strings before them likewise, read backwards. Windows for anchors are shorter
+than `match`, `passage` bytes: shorter repeats are found as well, and passages of many words are told by
+them, since fifty words of many a language take less than 400 bytes.
 
 1. Anchors of every document, with a digest of the bytes around them that any window through the
    anchor can reach. Anchors whose seed stands alone are done with.
@@ -34,7 +36,9 @@ from .jaccard import U, mix
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
-MATCH, SEED = 400, 128
+MATCH, SEED = 400, 96
+#: Bytes of the shortest repeats that make up passages, and words that a passage has more than.
+PASSAGE, WORDS = 256, 50
 #: Different surroundings of a seed that are sorted in one task at most; beyond, windows are counted.
 CROWD = 50_000
 #: Depth in bytes from which ties go to blind tries, and bytes of a quicksort symbol.
@@ -221,10 +225,11 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: int = SEED, crowd: int = CROWD) -> DataFrame:
-    """(d, tk, start, end) of bytes that lie in a repeated string; src: d, tk (together a document), text."""
-    reach = match - seed
-    long = src.where(F.octet_length("text") >= match)
+def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: int = SEED, crowd: int = CROWD, least: int = PASSAGE) -> DataFrame:
+    """(d, tk, start, end, long) of bytes that lie in a repeated string of `least` bytes or more, long: of
+    `match` bytes or more; src: d, tk (together a document), text."""
+    reach, least = match - seed, min(least, match)
+    long = src.where(F.octet_length("text") >= least)
 
     def survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sh", "h1", "h2", "d", "tk", "pos", "l", "r"]
@@ -232,7 +237,7 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
             cols: list[list] = [[] for _ in names]
             for d, tk, text in zip(*(c.to_pylist() for c in b.columns)):
                 raw = text.encode()
-                at, h = anchors(raw, match, seed)
+                at, h = anchors(raw, least, seed)
                 m = len(at)
                 l, r = np.minimum(at, reach), np.minimum(len(raw) - at, match)
                 digest = b"".join([hashlib.blake2b(raw[p - x : p + y], digest_size=16).digest() for p, x, y in zip(at.tolist(), l.tolist(), r.tolist())])
@@ -248,8 +253,8 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
     same = scratch.put(seen.join(again, "sh", "left_semi"))
     scratch.drop(seen)
     classes = scratch.put(same.groupBy("sh", "h1", "h2", "l", "r").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("d", "tk", "pos")]))
-    whole = same.join(classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= match)).select("sh", "h1", "h2"), ["sh", "h1", "h2"], "left_semi")
-    covered = [whole.select("d", "tk", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))]
+    whole = same.join(classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= least)).select("sh", "h1", "h2"), ["sh", "h1", "h2"], "left_semi")
+    covered = [whole.select("d", "tk", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"), (F.col("l") + F.col("r") >= match).alias("long"))]
 
     groups = classes.groupBy("sh").agg(F.count("*").alias("kinds")).where("kinds > 1")
     ask = classes.join(groups, "sh").select("d", "tk", F.struct("sh", "pos", "l", "r", "n", "kinds").alias("a"))
@@ -277,14 +282,15 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
             if len(rows) < 2:
                 return
             places = list(rows.items())
-            found = repeats([v[1][: v[0]][::-1] for _, v in places], [v[1][v[0] :] for _, v in places], match)
+            found = repeats([v[1][: v[0]][::-1] for _, v in places], [v[1][v[0] :] for _, v in places], least)
             for ((d, tk, pos), v), got in zip(places, found):
                 if v[2] == 1:
-                    out.extend((d, tk, a, b) for a, b in _union([(pos - x, pos + y) for x, y in got]))
+                    for long_, own in ((True, [g for g in got if sum(g) >= match]), (False, [g for g in got if sum(g) < match])):
+                        out.extend((d, tk, a, b, long_) for a, b in _union([(pos - x, pos + y) for x, y in own]))
 
         def flush():
-            cols = list(zip(*out)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "tk", "start", "end"])
+            cols = list(zip(*out)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.bool_(),))], names=["d", "tk", "start", "end", "long"])
 
         for b in batches:
             for sh, d, tk, pos, l, n, bytes_ in zip(*(c.to_pylist() for c in b.columns)):
@@ -299,7 +305,7 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
         yield flush()
 
     few = around.where(F.col("kinds") <= crowd).select("sh", "d", "tk", "pos", "l", "n", "around")
-    covered.append(few.repartition(parts, "sh").sortWithinPartitions("sh").mapInArrow(sort, "d long, tk long, start long, end long"))
+    covered.append(few.repartition(parts, "sh").sortWithinPartitions("sh").mapInArrow(sort, "d long, tk long, start long, end long, long boolean"))
 
     if not groups.where(F.col("kinds") > crowd).isEmpty():
 
@@ -307,61 +313,64 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
             for b in batches:
                 rows = []
                 for sh, d, tk, pos, l, n, bytes_ in zip(*(c.to_pylist() for c in b.columns)):
-                    for s in range(len(bytes_) - match + 1):
-                        if s <= l and s + match >= l + seed:
-                            one, two = np.frombuffer(hashlib.blake2b(bytes_[s : s + match], digest_size=16).digest(), np.int64).tolist()
-                            rows.append((sh, l - s, one, two, d, tk, pos - l + s, n))
-                cols = list(zip(*rows)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sh", "off", "w1", "w2", "d", "tk", "start", "n"])
+                    for size in {match, least}:
+                        for s in range(max(0, l + seed - size), min(l, len(bytes_) - size) + 1):
+                            one, two = np.frombuffer(hashlib.blake2b(bytes_[s : s + size], digest_size=16).digest(), np.int64).tolist()
+                            rows.append((sh, l - s, size, one, two, d, tk, pos - l + s, n))
+                cols = list(zip(*rows)) or [[]] * 9
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sh", "off", "size", "w1", "w2", "d", "tk", "start", "n"])
 
         many = around.where(F.col("kinds") > crowd).select("sh", "d", "tk", "pos", "l", "n", "around").dropDuplicates(["sh", "d", "tk", "pos"])
-        seen = scratch.put(many.mapInArrow(windows, "sh long, off long, w1 long, w2 long, d long, tk long, start long, n long"))
+        seen = scratch.put(many.mapInArrow(windows, "sh long, off long, size long, w1 long, w2 long, d long, tk long, start long, n long"))
         # a window lies around several anchors; in the place of one of them it counts once
-        window = ["sh", "off", "w1", "w2"]
+        window = ["sh", "off", "size", "w1", "w2"]
         often = seen.groupBy(*window).agg(F.sum("n").alias("total")).where("total > 1").select(*window)
-        covered.append(seen.join(often, window, "left_semi").select("d", "tk", "start", (F.col("start") + match).alias("end")))
+        covered.append(seen.join(often, window, "left_semi").select("d", "tk", "start", (F.col("start") + F.col("size")).alias("end"), (F.col("size") == match).alias("long")))
     spans = covered[0]
     for c in covered[1:]:
         spans = spans.unionByName(c)
     return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, seed: int = SEED, crowd: int = CROWD, keep_bytes: bool = False) -> DataFrame:
-    """One row for each row of docs: the id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes
-    what is left, as kept (binary), and the removed spans, as spans (array<struct<start,end>>).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, seed: int = SEED, crowd: int = CROWD, keep_bytes: bool = False, passage: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """One row for each row of docs: the id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, and with
+    keep_bytes what is left, as kept (binary), and the removed spans, as spans (array<struct<start,end>>).
 
     Each byte goes that is covered by a string of `match` bytes which also starts anywhere else in the
-    table, the same document included; overlaps count, and strings are judged on the input. Texts are
-    UTF-8; null counts as empty; matches never cross documents. Texts shorter than `match` lose nothing.
-    Repeated rows repeat each other, so all of their strings of that length go. A null id is an id like
-    any other here. An empty table gives an empty result. Other columns of docs are not read.
+    table, the same document included; overlaps count, and strings are judged on the input. n_passages
+    counts the maximal runs of more than `words` words that are covered by strings of `passage` bytes (or
+    `match`, if that is less) which also start anywhere else; of these, only what is covered by `match`
+    bytes goes. Texts are UTF-8; null counts as empty; matches never cross documents. Texts shorter than
+    `match` lose nothing. Repeated rows repeat each other, so all of their strings of that length go. A null
+    id is an id like any other here. An empty table gives an empty result. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     text = F.coalesce(docs[text_col], F.lit(""))
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(docs[id_col].alias("id"), text.alias("text")).select("id", F.xxhash64("id").alias("d"), F.xxhash64("id", "text").alias("tk"), "text")
-    spans = repeated_spans(src.select("d", "tk", "text"), scratch, match, seed, crowd)
-    per = scratch.put(spans.groupBy("d", "tk").agg(F.collect_set(F.struct("start", "end")).alias("found")))
+    spans = repeated_spans(src.select("d", "tk", "text"), scratch, match, seed, crowd, passage)
+    per = scratch.put(spans.groupBy("d", "tk").agg(F.collect_set(F.struct("start", "end", "long")).alias("found")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = text.encode()
-                gone = _union([(s["start"], s["end"]) for s in found or ()])
+                gone = _union([(s["start"], s["end"]) for s in found or () if s["long"]])
+                runs = _union([(s["start"], s["end"]) for s in found or ()])
                 kept, at = [], 0
                 for x, y in gone:
                     kept.append(raw[at:x])
                     at = y
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                rows.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left if keep_bytes else None, [{"start": x, "end": y} for x, y in gone] if keep_bytes else None))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                rows.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), sum(len(raw[x:y].split()) > words for x, y in runs), left if keep_bytes else None, [{"start": x, "end": y} for x, y in gone] if keep_bytes else None))
+            cols = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept", "spans"])
 
     out = src.join(per.hint("merge"), ["d", "tk"], "left").select("id", "text", "found").mapInArrow(
-        cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:bigint,end:bigint>>"
+        cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, kept binary, spans array<struct<start:bigint,end:bigint>>"
     )
     out = out.withColumnRenamed("id", id_col)
     return out if keep_bytes else out.drop("kept", "spans")
