@@ -26,19 +26,19 @@ END = "$"
 
 #: Labelled rows of either class that the model is fitted on, at most; taken in the order of a hash of their ids.
 TRAIN_ROWS = 12_000
-#: Entries of the lexicon at most, and how candidates of them are kept small on the driver.
-LEXICON, CANDIDATES = 500, 20_000
-#: Letters of the shortest stem, and of the longest prefix counted.
+#: Letters of the shortest and the longest stem; longer words are entries as a whole.
 STEM, PREFIX = 4, 12
 #: An entry occurs after so many different words in toxic texts, this share of its texts is toxic, and
-#: chance would not bring that about: texts times divergence (in nats) from the share among all texts.
-CONTEXTS, PRECISION, EVIDENCE = 4, 0.9, 10.0
+#: chance would not bring that about for any of those that are tried: texts times divergence (in nats) from
+#: the share among all texts, less the logarithm of how many are tried. Copies of a text have a word after
+#: the same words, so no more texts count than there are different words before.
+CONTEXTS, PRECISION, EVIDENCE = 4, 0.9, 3.0
+#: Different words before, up to which they are told apart well by the bits of their hashes.
+TOLD = 32
 #: Letters from which an entry may be misspelled by one edit; its first letter must be right or a digit in its place.
 FUZZY = 5
 #: Characters before a hit that are searched for signs of quotation or report.
 WINDOW = 80
-#: Texts without a hit never count as toxic, whatever the share of toxic ones among labelled texts.
-MOST_BIAS = -1.0
 #: Words that report what others say.
 REPORT = re.compile(r"\b(?:called|calls|calling|said|says|saying|quote|quotes|quoted|quoting|wrote|writes|cited|cites|the (?:word|term|insult|slur)s?|so-called|reported|reports|alleged|allegedly)\b[^.!?\n]*$", re.I)
 PAIRS = (("\"", "\""), ("“", "”"), ("«", "»"), ("„", "“"))
@@ -226,12 +226,14 @@ class Matcher:
 
 
 def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic) of at most `rows` labelled rows of either class outside the held-out fold."""
+    """(text, toxic) of at most `rows` labelled rows of either class outside the held-out fold, and the
+    number of all such rows of the class (of_class), by which they are weighed."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != 0)
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(rows) for t in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    both = picked[0].unionByName(picked[1]).join(F.broadcast(known.groupBy("toxic").agg(F.count("*").alias("of_class"))), "toxic")  # two rows
+    return docs.select("doc_id", "text").join(F.broadcast(both), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "of_class")
 
 
 def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +256,7 @@ def _prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = {""}
             prev = ""
             for w in WORD.findall((text or "").lower()):
-                full = w[:64] + END
+                full = w + END
                 new = full not in seen
                 if new or toxic:
                     bit = 1 << (hash_word(prev) % 63)
@@ -278,27 +280,33 @@ def hash_word(w: str) -> int:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Lexicon and weights from labelled rows outside the held-out fold. Only counts of texts and the
-    features of the bounded training rows reach the driver."""
+    """Lexicon and weights from labelled rows outside the held-out fold. Every entry that passes the tests is
+    in the lexicon. Only counts of texts and the features of the bounded training rows reach the driver:
+    entries that pass are no more than those rows can bear out, as each needs evidence of its own.
+
+    Labels that are null or of no document, and labelled texts that are null or empty, bear nothing out; of
+    labels that repeat an id the largest counts. Without labels the lexicon is empty and scores are low."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     train = scratch.put(_training(docs, labels, rows))
     counts = train.mapInArrow(_prefixes, "entry string, pos long, neg long, before long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_count(F.bit_or("before")).alias("contexts"))
     share = F.col("pos") / (F.col("pos") + F.col("neg") + 0.2)
-    counts = scratch.put(counts.where((F.col("contexts") >= CONTEXTS) & (share >= PRECISION) | (F.col("entry") == "")))
+    counts = scratch.put(counts.where((F.col("contexts") >= CONTEXTS) | (F.col("entry") == "")))
     texts = counts.where("entry = ''").select("pos", "neg").first()
     rate = (texts.pos + 1) / (texts.pos + texts.neg + 2) if texts else 0.5
-    evidence = F.col("pos") * F.log(share / rate) + (F.col("neg") + 0.2) * F.log((1 - share) / (1 - rate))
-    good = counts.where((F.col("entry") != "") & (evidence >= EVIDENCE))
-    found = {r.entry: r.pos for r in good.orderBy(F.desc("pos"), "entry").limit(CANDIDATES).collect()}
+    told = F.when(F.col("contexts") < TOLD, F.least("pos", "contexts")).otherwise(F.col("pos"))
+    evidence = told * F.log(share / rate) + (F.col("neg") + 0.2) * F.log((1 - share) / (1 - rate))
+    good = counts.where((F.col("entry") != "") & (share >= PRECISION) & (evidence >= EVIDENCE + math.log(max(1, counts.count() - 1))))
+    found = {r.entry: r.pos for r in good.orderBy(F.desc("pos"), "entry").collect()}
     longest: dict[str, int] = defaultdict(int)  # support of the best extension of each beginning
     for e, n in found.items():
         for i in range(STEM, len(e)):
             longest[e[:i]] = max(longest[e[:i]], n)
     closed = [e for e in found if longest[e] < 0.9 * found[e]]
-    words, stems = [], []
+    words, stems, begun = [], [], set()
     for e in sorted(closed, key=lambda e: (-found[e], e)):
-        if len(words) + len(stems) < LEXICON and not any(e.startswith(s) for s in stems):
+        if not any(e[:n] in begun for n in range(STEM, min(len(e), PREFIX) + 1)):
             (words if e.endswith(END) else stems).append(e.rstrip(END))
+            begun |= set() if e.endswith(END) else {e}
     model = Model(words, stems)
     rows_of = _features(train, model).collect()
     seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -306,13 +314,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         for w in r.variants:
             seen[w][r.toxic] += 1
     model.innocent = frozenset(w for w, (n, p) in seen.items() if n > p)
-    x, y = [], []
+    x, y, of = [], [], []
     for r in rows_of:
         fuzzy = sum(n for w, n in zip(r.variants, r.counts) if w not in model.innocent)
         x.append((math.log1p(r.abusive), math.log1p(r.quoted), math.log1p(fuzzy)))
         y.append(r.toxic)
+        of.append(r.of_class)
     if y:
-        model.weights, model.bias = fit(np.array(x), np.array(y, float))
+        # rows of a class count as many as the labels have, so the bias is that of all labelled rows
+        share = np.array(of, float) / np.maximum(1, np.bincount(y, minlength=2)[y])
+        model.weights, model.bias = fit(np.array(x), np.array(y, float), share / share.mean())
     return model
 
 
@@ -321,7 +332,7 @@ def _features(train: DataFrame, model: Model) -> DataFrame:
         match = model.matcher()
         for b in batches:
             out = []
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, toxic, of_class in zip(*(c.to_pylist() for c in b.columns)):
                 low = (text or "").lower()
                 found = match.words(low)
                 a = q = 0
@@ -333,30 +344,31 @@ def _features(train: DataFrame, model: Model) -> DataFrame:
                         elif k == 1:
                             a += 1
                         else:
-                            var[m[0][:64]] += 1
-                out.append((toxic, a, q, list(var), list(var.values())))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())))], names=["toxic", "abusive", "quoted", "variants", "counts"])
+                            var[m[0]] += 1
+                out.append((toxic, a, q, list(var), list(var.values()), of_class))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int64()))], names=["toxic", "abusive", "quoted", "variants", "counts", "of_class"])
 
-    return train.mapInArrow(run, "toxic int, abusive int, quoted int, variants array<string>, counts array<int>")
+    return train.mapInArrow(run, "toxic int, abusive int, quoted int, variants array<string>, counts array<int>, of_class long")
 
 
-def fit(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = (3.0, 0.4, 1.5), strength: float = 2.0) -> tuple[tuple[float, ...], float]:
-    """Logistic regression by Newton's method, weights drawn to the prior and never below zero, the bias
-    never above MOST_BIAS."""
+def fit(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None, prior: tuple[float, ...] = (3.0, 0.4, 1.5), strength: float = 2.0) -> tuple[tuple[float, ...], float]:
+    """Logistic regression by Newton's method over rows of the given weights; coefficients drawn to the
+    prior and never below zero."""
     a = np.column_stack([x, np.ones(len(x))])
+    each = np.ones(len(x)) if each is None else each
     mean = np.array([*prior, -3.0])
     w = mean.copy()
     ridge = np.array([strength] * x.shape[1] + [0.1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        grad = a.T @ (p - y) + ridge * (w - mean)
-        hess = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+        grad = a.T @ ((p - y) * each) + ridge * (w - mean)
+        hess = (a * (p * (1 - p) * each)[:, None]).T @ a + np.diag(ridge)
         step = np.linalg.solve(hess, grad)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(max(0.0, float(v)) for v in w[:-1]), min(float(w[-1]), MOST_BIAS)
+    return tuple(max(0.0, float(v)) for v in w[:-1]), float(w[-1])
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,8 +376,8 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     abusive, quoted, misspelled.
 
     The whole text is read; null and empty texts have no hits and the score of that. Nothing but the
-    text enters the score. Rows are independent, repeated rows and null ids come back as they are, and
-    other columns of docs are not read.
+    text enters the score. Rows are independent, repeated rows and null ids come back as they are, an empty
+    table is empty, and other columns of docs are not read.
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = dict(src.dtypes)["id"]
