@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one query in the shared folder. put() cuts lineage: what was written is read back,
     and a lost executor costs no recomputation of what led to it. As with checkpoints, what the result
-    reads stays in the folder until its owner clears it; drop() removes what no later step reads."""
+    reads stays in the folder until its owner clears it: drop() removes what no later step reads, and
+    released() all that was written within it, once results are stored elsewhere."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        for scope in getattr(_scopes, "open", ()):
+            scope.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -57,12 +63,34 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that no later step reads."""
-        jvm = self.spark._jvm
         for t in tables:
             for path in {f.rpartition("/")[0] for f in t.inputFiles()}:
                 if "/" + self.root.rpartition("/")[2] + "/" in path:
-                    p = jvm.org.apache.hadoop.fs.Path(path)
-                    p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                    self._delete(path)
+
+    def release(self) -> None:
+        """Removes all of its tables."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_scopes = threading.local()
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes the tables of every Scratch that this thread makes within."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append(mine := [])
+    try:
+        yield
+    finally:
+        scopes.pop()
+        for s in mine:
+            s.release()
 
 
 def ascii_lower(c: Column) -> Column:

@@ -39,6 +39,7 @@ from .components import connected_components
 
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 U = np.uint64
+BASE = 0x9E3779B97F4A7C15
 #: Shingles that the documents of a block hold at most in one task.
 BLOCK = 250_000
 #: Entries that a task collects before it hands them on, and that it unpacks at a time.
@@ -87,8 +88,8 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, U)
     for i in range(k):
-        h = mix(h * U(0x2545F4914F6CDD1D) + w[i : len(w) - k + 1 + i])
-    return np.unique(h)
+        h = h * U(0x2545F4914F6CDD1D) + w[i : len(w) - k + 1 + i]
+    return np.unique(mix(h))
 
 
 def linked(a: str, b: str, words: int, num: int, den: int) -> bool:
@@ -155,12 +156,9 @@ def _shared(ranges: Ranges, words: int, parts: int):
 
         def flush():
             h, d, v = np.concatenate(hashes), np.concatenate(docs), np.concatenate(levels)
-            order = np.lexsort((d, h))
+            order = np.argsort(h)
             h, d, v = h[order], d[order], v[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            size = np.diff(np.append(first, len(h)))
-            # a document counts once for an entry, and shares it only with another document
-            many = np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size)
+            first, size, many = _many(h, d)
             flag = v[first] | np.where(many[first], np.uint8(128), np.uint8(0))
             part = ((h[first] >> U(32)) % U(parts)).astype(np.int32)
             rows = []
@@ -196,6 +194,14 @@ def _shared(ranges: Ranges, words: int, parts: int):
     return run
 
 
+def _many(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted entries: where each begins, how often it is there, and for each place whether documents
+    share it. An entry that one document has twice is not shared."""
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    size = np.diff(np.append(first, len(h)))
+    return first, size, np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), size)
+
+
 def _summed(key: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (id, level) rows and the sums of their counts."""
     k, n = np.concatenate(key), np.concatenate(count)
@@ -205,9 +211,18 @@ def _summed(key: list[np.ndarray], count: list[np.ndarray]) -> tuple[np.ndarray,
     return k[first], np.add.reduceat(n, first)
 
 
-def _count_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, level, got): entries that a document shares, as far as this task's parts tell, from packed
-    entries sorted by part. One part is unpacked at a time."""
+def _count_shared(parts: int):
+    """Entries that a document shares, as far as this task's parts tell, from packed entries sorted by part:
+    (part, ids and levels, counts), packed by the part that adds a document's counts up. One part is
+    unpacked at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _counted(batches, parts)
+
+    return run
+
+
+def _counted(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     keys, counts, part, packs = [], [], None, []
 
     def close():
@@ -215,11 +230,9 @@ def _count_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         recs = [np.frombuffer(b, [("i", "<u4"), ("f", "u1")]) for _, b, _ in packs]
         d = np.concatenate([np.frombuffer(ids, np.int64)[r["i"]] for r, (_, _, ids) in zip(recs, packs)])
         f = np.concatenate([r["f"] for r in recs])
-        order = np.lexsort((d, h))
+        order = np.argsort(h)
         h, d, f = h[order], d[order], f[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(first, len(h)))
-        many = np.repeat(d[first] != d[np.append(first[1:], len(h)) - 1], size) & (f < 128)
+        many = _many(h, d)[2] & (f < 128)
         if many.any():
             k, n = _summed([np.stack((d[many], (f[many] & 127).astype(np.int64)), 1)], [np.ones(many.sum(), np.int64)])
             keys.append(k)
@@ -227,7 +240,16 @@ def _count_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def flush():
         k, n = _summed(keys, counts)
-        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1].astype(np.int32)), pa.array(n)], names=["id", "level", "got"])
+        where = ((k[:, 0].view(U) * U(BASE)) >> U(32)) % U(parts)
+        order = np.argsort(where, kind="stable")
+        some, cut = np.unique(where[order], return_index=True)
+        cut = np.append(cut, len(order))
+        k, n = k[order], n[order]
+        for x in range(0, len(some), 512):
+            own = range(x, min(x + 512, len(some)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some[x : x + 512].astype(np.int32)), pa.array([k[cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary()), pa.array([n[cut[i] : cut[i + 1]].astype(np.int32).tobytes() for i in own], pa.binary())], names=["part", "k", "n"]
+            )
 
     for batch in batches:
         for p, kind, a, b, ids in zip(*batch.columns):
@@ -243,12 +265,35 @@ def _count_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             part = p
             packs.append((a, b, ids.as_py()))
         if sum(map(len, counts)) > ENTRIES:
-            yield flush()
+            yield from flush()
             keys.clear(), counts.clear()
     if packs:
         close()
     if keys:
-        yield flush()
+        yield from flush()
+
+
+def _add_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, level, got) from packed counts, part by part."""
+    part, keys, counts = None, [], []
+
+    def close():
+        k, n = _summed(keys, counts)
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1].astype(np.int32)), pa.array(n)], names=["id", "level", "got"])
+
+    for batch in batches:
+        for p, k, n in zip(*batch.columns):
+            if (p := p.as_py()) != part and keys:
+                yield close()
+                keys.clear(), counts.clear()
+            part = p
+            keys.append(np.frombuffer(k.as_py(), np.int64).reshape(-1, 2))
+            counts.append(np.frombuffer(n.as_py(), np.int32).astype(np.int64))
+            if sum(map(len, counts)) > ENTRIES:  # what the tasks counted, summed early
+                k, n = _summed(keys, counts)
+                keys[:], counts[:] = [k], [n]
+    if keys:
+        yield close()
 
 
 def _entries(ranges: Ranges, words: int, seed: int):
@@ -289,8 +334,8 @@ class Union:
         return True
 
 
-def merge_skip(lists: list[list[int]], least: int) -> list[int]:
-    """Numbers that are in `least` of the ascending lists or more: the heads of all lists lie in a heap.
+def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
+    """Numbers that are in `least` of the ascending lists or more, and in how many: the heads of all lists lie in a heap.
     Where fewer lists agree on the top, as many more are taken off as make `least` - 1, and these jump
     to the new top by binary search, since nothing before it can be in enough lists."""
     heads = [(x[0], k) for k, x in enumerate(lists) if x]
@@ -303,7 +348,7 @@ def merge_skip(lists: list[list[int]], least: int) -> list[int]:
         while heads and heads[0][0] == top:
             off.append(heapq.heappop(heads)[1])
         if len(off) >= least:
-            found.append(top)
+            found.append((top, len(off)))
             for k in off:
                 at[k] += 1
         else:
@@ -378,30 +423,29 @@ def t_occurrence_links(ids: list[int], texts: list[str], words: int, num: int, d
         short, rest = lists[: len(lists) - long], lists[len(lists) - long :]
         lo, hi = int(np.searchsorted(sizes, least)), int(np.searchsorted(sizes, size * den // num, "right"))
         want = need - long
+        listed = lambda some: np.concatenate([owner[start[t] : start[t] + df[t]] for t in some.tolist()])
         if int(df[short].sum()) <= HEAP:
-            found = np.array(merge_skip([owner[start[t] : start[t] + df[t]].tolist() for t in short.tolist()], want), np.int64)
+            got = np.array(merge_skip([owner[start[t] : start[t] + df[t]].tolist() for t in short.tolist()], want), np.int64).reshape(-1, 2)
+            found, have = got[:, 0], got[:, 1]
         else:
-            found = np.flatnonzero(np.bincount(np.concatenate([owner[start[t] : start[t] + df[t]] for t in short.tolist()]), minlength=n) >= want)
-        found = found[(found >= lo) & (found < hi)]
-        found = found[(label[found] != label[q]) & ((found < q) | ~ask[found])]  # two that both ask meet once
+            have = np.bincount(listed(short), minlength=n)
+            found = np.flatnonzero(have >= want)
+            have = have[found]
+        ok = (found >= lo) & (found < hi) & (label[found] != label[q]) & ((found < q) | ~ask[found])  # two that both ask meet once
+        ok &= have + len(rest) >= -(-num * (size + sizes[found]) // (den + num))
         if side is not None:
-            found = found[side[found] != side[q]]
-        first = True
-        while len(found):  # one of each component, then the rest in pieces
-            one = np.unique(label[found], return_index=True)[1] if first else np.arange(min(len(found), 512))
-            p, first = found[one], False
-            must = -(-num * (size + sizes[p]) // (den + num))
-            have = np.array([np.isin(vocab[short], sets[k], assume_unique=True).sum() for k in p.tolist()])
-            p, must, have = (x[have + len(rest) >= must] for x in (p, must, have))
-            if len(p) and len(rest):
-                probe = (rest[None, :] * n + p[:, None]).ravel()
+            ok &= side[found] != side[q]
+        found, have = found[ok], have[ok]
+        if len(found) and len(rest):  # long lists: probed by binary search, or run through where that is less
+            if len(found) * len(rest) <= int(df[rest].sum()):
+                probe = (rest[None, :] * n + found[:, None]).ravel()
                 spot = np.minimum(np.searchsorted(postings, probe), len(postings) - 1)
-                have = have + (postings[spot] == probe).reshape(len(p), -1).sum(1)
-            for k in p[have >= must].tolist():
-                if label[k] != label[q]:
-                    join(k, q)
-            found = np.delete(found, one)
-            found = found[label[found] != label[q]]
+                have = have + (postings[spot] == probe).reshape(len(found), -1).sum(1)
+            else:
+                have = have + np.bincount(listed(rest), minlength=n)[found]
+        for k in found[have >= -(-num * (size + sizes[found]) // (den + num))].tolist():
+            if label[k] != label[q]:
+                join(k, q)
     return links
 
 
@@ -499,8 +543,8 @@ def _components(src: DataFrame, scratch: Scratch, words: int, num: int, den: int
     parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fine = parts * min(4096, -(-2 * entries // (parts * ENTRIES)) or 1)  # so many that the entries of one are few
     packed = known.mapInArrow(_shared(ranges, words, fine), "part int, kind int, a binary, b binary, ids binary")
-    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_shared, "id long, level int, got long")
-    counts = found.groupBy("id", "level").agg(F.sum("got").alias("got"))
+    found = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count_shared(fine), "part int, k binary, n binary")
+    counts = found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_add_counts, "id long, level int, got long")
     needs = member.where("head = id").select("id", "n", F.explode(F.arrays_zip("levels", "needs")).alias("x")).select("id", "n", F.col("x.levels").alias("level"), F.col("x.needs").alias("need"))
     lone = scratch.put(needs.join(counts, ["id", "level"]).where("got >= need").groupBy("id").agg(F.max("n").alias("n")))
     texts = scratch.put(known.join(lone.hint("merge"), "id").select("id", "text", "n"))

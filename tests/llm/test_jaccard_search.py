@@ -41,7 +41,7 @@ def test_merge_skip():
     for _ in range(300):
         lists = [sorted(rng.sample(range(30), rng.randrange(12))) for _ in range(rng.randint(1, 8))]
         least = rng.randint(1, 8)
-        want = [v for v in range(30) if sum(v in x for x in lists) >= least]
+        want = [(v, n) for v in range(30) if (n := sum(v in x for x in lists)) >= least]
         assert jaccard.merge_skip(lists, least) == want
 
 
