@@ -175,7 +175,7 @@ def not_in_list(reads: DataFrame, names: DataFrame) -> DataFrame:
 
 def exclude_bed(reads: DataFrame, bed: DataFrame, stranded: bool = True, bin_size: int = BIN) -> DataFrame:
     """Mapped reads that touch no region. Unmapped reads fail."""
-    return not_overlapping(with_ends(reads), bed, stranded, True, bin_size).select(reads.columns)
+    return not_overlapping(with_ends(reads), bed, stranded, True).select(reads.columns)
 
 
 def include_bed(reads: DataFrame, bed: DataFrame, stranded: bool = True, bin_size: int = BIN) -> DataFrame:
@@ -472,6 +472,32 @@ def read_stats(reads: DataFrame) -> DataFrame:
     )
 
 
+def report(reads: DataFrame, ranges: DataFrame | None = None, region: str | None = None, delimiter: str | None = None, tags: tuple[str, ...] = (), first_only: bool = True) -> DataFrame:
+    """section, key and n of one file's report: reads (total, mapped, unmapped), flags by bit, references
+    (up to the delimiter), classes of gene regions where ranges (genes.class_ranges) are given, and values of
+    tags, MAPQ and LENGTH. region: only reads that overlap chrom:start-end. first_only: of pairs only the
+    first read; classes go by that whatever is asked for. All sections are counted in one pass."""
+    from .genes import classify
+
+    r = reads
+    if region is not None:
+        chrom, start, end = parse_region(region)
+        r = r.where(mapped() & (F.col("chrom") == chrom) & (F.col("pos") < end) & (C.end_of(F.col("pos"), ops()) > start))
+    first = ~G.has(G.PAIRED) | G.has(G.READ1)
+    r = once_per_read(r.where(first) if first_only else r)
+    entry = lambda section, key, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(section).alias("section"), key.cast("string").alias("key")))
+    ref = F.split("chrom", "\\" + delimiter).getItem(0) if delimiter else F.col("chrom")
+    values = {t: F.col("mapq") if t == "MAPQ" else F.length("seq") if t == "LENGTH" else G.tag(t) for t in tags}
+    entries = [entry("reads", F.lit("total")), entry("reads", F.when(mapped(), "mapped").otherwise("unmapped")), entry("reference", ref, mapped())]
+    entries += [entry("flag", F.lit(str(b)), G.has(b)) for b in G.LABELS] + [entry(t, v, mapped() & v.isNotNull()) for t, v in values.items()]
+    if ranges is not None:
+        points = r.withColumns({"strand": G.strand(), "spliced": F.coalesce(F.col("cigar"), F.lit("")).contains("N")})
+        r = classify(points, ranges)
+        entries.append(entry("class", F.col("tag"), mapped() & first))
+    each = r.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("x"))
+    return each.groupBy(F.col("x.section").alias("section"), F.col("x.key").alias("key")).agg(F.count("*").alias("n"))
+
+
 def reference_counts(reads: DataFrame, delimiter: str | None = None) -> DataFrame:
     ref = F.split("chrom", "\\" + delimiter).getItem(0) if delimiter else F.col("chrom")
     return once_per_read(reads).where(mapped()).groupBy(ref.alias("ref")).agg(F.count("*").alias("n"))
@@ -494,11 +520,13 @@ def tag_distribution(reads: DataFrame, tag: str, fill: bool = True, ascending: b
 
 # --- coordinates of concatenated fragments ---------------------------------------------------------
 
-def convert_regions(reads: DataFrame, overlap: int = 4, keep_unmapped: bool = True) -> DataFrame:
+def convert_regions(reads: DataFrame, overlap: int = 4, keep_unmapped: bool = True, sizes: DataFrame | None = None, validate_only: bool = False) -> DataFrame:
     """Reads mapped to references named chrom:start-end,start-end... placed on chrom, with N operations
     between fragments. Mappings whose gaps have less than `overlap` bases on either side are dropped; NH,
     IH and HI are set to what is left of each name. A name of which nothing is left comes back once,
-    unmapped, with the reason in ZR, if keep_unmapped."""
+    unmapped, with the reason in ZR, if keep_unmapped. An overlap of 0 converts without a check, and drops
+    nothing. validate_only: reads stay where they are, and only what the check says of them counts. sizes
+    (chrom, length): a chromosome that it has not is an error."""
     name = F.col("chrom")
     frags = F.transform(F.split(F.regexp_extract(name, ":(.*)$", 1), ","), lambda p: F.struct(F.split(p, "-").getItem(0).try_cast("int").alias("s"), F.split(p, "-").getItem(1).try_cast("int").alias("e")))
     m = reads.where(mapped() & name.contains(":")).withColumns({"__f": frags, "__o": ops()})
@@ -528,8 +556,16 @@ def convert_regions(reads: DataFrame, overlap: int = 4, keep_unmapped: bool = Tr
 
     new = C.clean(F.aggregate("__pieces", start, join)["out"])
     m = m.withColumns({"__new": new, "__at": first["s"] + F.col("pos") - first["off"]})
-    m = m.withColumn("__v", C.junction_valid(F.col("__new"), overlap))
-    m = m.withColumns({"chrom": F.regexp_extract("chrom", "^([^:]*):", 1), "pos": F.col("__at"), "cigar": C.to_string(F.col("__new")), "__ok": F.col("__v.valid"), "__why": F.col("__v.reason")})
+    checked = C.junction_valid(F.col("__new"), overlap)
+    m = m.withColumn("__v", checked if overlap else F.struct(F.lit(True).alias("valid"), F.lit("").alias("reason")))
+    m = m.withColumns({"__ok": F.col("__v.valid"), "__why": F.col("__v.reason")})
+    if not validate_only:
+        m = m.withColumns({"chrom": F.regexp_extract("chrom", "^([^:]*):", 1), "pos": F.col("__at"), "cigar": C.to_string(F.col("__new"))})
+        if sizes is not None:
+            m = m.join(sizes.select("chrom", F.lit(True).alias("__there")), "chrom", "left")
+            m = m.withColumn("chrom", F.when(F.col("__there"), F.col("chrom")).otherwise(F.raise_error(F.concat(F.lit("no such chromosome: "), "chrom")).cast("string")))
+    if not overlap:
+        return m.select(reads.columns)
     w = Window.partitionBy("qname")
     m = m.withColumn("__n", F.count_if("__ok").over(w)).withColumn("__i", F.row_number().over(w.orderBy(F.desc("__ok"), "idx")))
     good = m.where("__ok")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Default bin of range joins and tile of scans, in bases.
 BIN, TILE = 1000, 1_000_000
+#: Tile of sweeps that look for one neighbour.
+SWEEP = 1 << 17
 
 
 def with_bins(df: DataFrame, start: Column, end: Column, size: int, col: str = "bin") -> DataFrame:
@@ -45,28 +47,45 @@ def _numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("__rid", F.monotonically_increasing_id())
 
 
-def overlapping(query: DataFrame, target: DataFrame, stranded: bool = True, exact: bool = False, closed: bool = True, bin_size: int = BIN) -> DataFrame:
+def furthest(query: DataFrame, target: DataFrame, keys: list[str], at: Column, t_at: Column, value: Column, closed: bool, name: str, tile: int = SWEEP) -> DataFrame:
+    """query with name: the greatest value of targets of the same keys whose t_at is before `at` (or equal, if
+    closed); null without one, or where a key is null. One sweep: targets of one place are merged first,
+    queries and targets are sorted together within tiles, and maxima are carried across tiles."""
+    k = [f"__{c}" for c in keys]
+    known = F.lit(True)
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    row = F.struct(*query.columns)
+    q = query.where(known).select(*[F.col(c).alias(n) for c, n in zip(keys, k)], at.cast("long").alias("__at"), F.lit(int(closed)).alias("__kind"), F.lit(None).cast("long").alias("__v"), row.alias("__row"))
+    t = target.where(known).groupBy(*[F.col(c).alias(n) for c, n in zip(keys, k)], t_at.cast("long").alias("__at")).agg(F.max(value.cast("long")).alias("__v"))
+    t = t.select(*k, "__at", F.lit(int(not closed)).alias("__kind"), "__v", F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
+    both = q.unionByName(t).withColumn("__tile", F.floor(F.col("__at") / tile))
+    w = Window.partitionBy(*k, "__tile").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = carry(both, k, "__tile", F.max("__v"), F.max, "__carry").withColumn("__m", F.greatest(F.max("__v").over(w), F.col("__carry")))
+    found = swept.where("__row is not null").select("__row.*", F.col("__m").alias(name))
+    return found.unionByName(query.where(~known).withColumn(name, F.lit(None).cast("long")))
+
+
+def _reached(query: DataFrame, target: DataFrame, stranded: bool, closed: bool) -> tuple[DataFrame, Column]:
+    """query with __over, and whether a target overlaps: of those that begin in time, one reaches far enough."""
+    keys = ["chrom"] + ["strand"] * stranded
+    df = furthest(query, target, keys, F.col("end"), F.col("start"), F.col("end"), closed, "__over")
+    return df, F.coalesce(F.col("__over") >= F.col("start") if closed else F.col("__over") > F.col("start"), F.lit(False))
+
+
+def overlapping(query: DataFrame, target: DataFrame, stranded: bool = True, exact: bool = False, closed: bool = True) -> DataFrame:
     """Rows of query that overlap a target, each once. exact: that equal one in coordinates (and strand)."""
     if exact:
         keys = ["chrom", "start", "end"] + ["strand"] * stranded
         return query.join(target.select(*keys).distinct(), keys, "left_semi").select(query.columns)
-    return overlap_pairs(_numbered(query), target, stranded, closed, 0, bin_size, ()).dropDuplicates(["__rid"]).drop("__rid")
+    df, hit = _reached(query, target, stranded, closed)
+    return df.where(hit).select(query.columns)
 
 
-def not_overlapping(query: DataFrame, target: DataFrame, stranded: bool = True, closed: bool = True, bin_size: int = BIN) -> DataFrame:
+def not_overlapping(query: DataFrame, target: DataFrame, stranded: bool = True, closed: bool = True) -> DataFrame:
     """Rows of query that overlap no target. Rows without a chromosome are kept."""
-    q = _numbered(query).withColumn("__chrom", F.coalesce("chrom", F.lit("")))
-    size = bin_size
-    t = target.select(F.col("chrom").alias("t_chrom"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), *([F.col("strand").alias("t_strand")] if stranded else []))
-    exploded = with_bins(q.where("chrom is not null"), F.col("start"), F.col("end"), size, "__bin")
-    t = with_bins(t, F.col("t_start"), F.col("t_end"), size, "t_bin")
-    on = (F.col("chrom") == F.col("t_chrom")) & (F.col("__bin") == F.col("t_bin"))
-    on = on & ((F.col("start") <= F.col("t_end")) & (F.col("t_start") <= F.col("end")) if closed else (F.col("start") < F.col("t_end")) & (F.col("t_start") < F.col("end")))
-    if stranded:
-        on = on & (F.col("strand") == F.col("t_strand"))
-    flagged = exploded.join(t.select(*t.columns, F.lit(1).alias("__hit")), on, "left")
-    free = flagged.groupBy("__rid", *query.columns).agg(F.max("__hit").alias("__hit")).where("__hit is null").select(query.columns)
-    return free.unionByName(query.where("chrom is null"))
+    df, hit = _reached(query, target, stranded, closed)
+    return df.where(~hit).select(query.columns)
 
 
 def count_overlaps(reference: DataFrame, samples: dict[str, DataFrame], stranded: bool = True, bin_size: int = BIN) -> DataFrame:
@@ -90,6 +109,26 @@ def distance(start: Column, end: Column, t_start: Column, t_end: Column) -> tupl
     return F.when(touch, 0).when(t_end < start, start - t_end).otherwise(t_start - end).cast("long"), F.when(touch, "").when(t_end < start, "up").otherwise("down")
 
 
+def _neighbours(q: DataFrame, reference: DataFrame, maxdist: int, stranded: bool, bin_size: int, cols: tuple[str, ...]) -> DataFrame:
+    """Pairs of q with the reference regions that overlap, or where none does, that are least far off on
+    either side. Sweeps find the last end before and the first start after; regions are then looked up."""
+    keys = ["chrom"] + ["strand"] * stranded
+    df, hit = _reached(q, reference, stranded, True)
+    touching = overlap_pairs(df.where(hit).select(q.columns), reference, stranded, True, 0, bin_size, cols)
+    rest = df.where(~hit).select(q.columns)
+    rest = furthest(rest, reference, keys, F.col("start"), F.col("end"), F.col("end"), False, "__up")
+    rest = furthest(rest, reference, keys, -F.col("end"), -F.col("start"), -F.col("start"), False, "__down")
+    up, down = F.col("start") - F.col("__up"), -F.col("__down") - F.col("end")
+    rest = rest.withColumn("__far", F.least(up, down)).where(F.col("__far") <= maxdist)
+    ends = F.array(F.when(up == F.col("__far"), F.struct(F.lit("up").alias("side"), F.col("__up").alias("at"))), F.when(down == F.col("__far"), F.struct(F.lit("down").alias("side"), (-F.col("__down")).alias("at"))))
+    look = rest.withColumn("__end", F.explode(F.filter(ends, lambda x: x.isNotNull()))).select(*q.columns, F.col("__end.side").alias("__side"), F.col("__end.at").alias("__at"))
+    t = reference.select(*[F.col(c).alias(f"t_{c}") for c in cols], F.explode(F.array(F.struct(F.lit("up").alias("side"), F.col("end").cast("long").alias("at")), F.struct(F.lit("down").alias("side"), F.col("start").cast("long").alias("at")))).alias("__t"))
+    on = (F.col("chrom") == F.col("t_chrom")) & (F.col("__side") == F.col("__t.side")) & (F.col("__at") == F.col("__t.at"))
+    if stranded:
+        on = on & (F.col("strand") == F.col("t_strand"))
+    return touching.unionByName(look.join(t, on).select(touching.columns))
+
+
 def nearest(query: DataFrame, reference: DataFrame, maxdist: int = 100_000, match_name: bool = False, stranded: bool = True, bin_size: int | None = None) -> DataFrame:
     """Nearest reference regions of each query region within maxdist: query columns, nearest and distance.
 
@@ -100,14 +139,11 @@ def nearest(query: DataFrame, reference: DataFrame, maxdist: int = 100_000, matc
     """
     q = _numbered(query)
     cols = ("chrom", "start", "end", "strand", "name")
-
-    def within(regions: DataFrame, margin: int) -> DataFrame:
-        found = overlap_pairs(regions, reference, stranded, True, margin, bin_size or max(BIN, margin // 4), cols)
-        return found.where(F.col("t_name").contains(F.col("name"))) if match_name else found
-
-    # what lies close settles most regions, as nothing further can tie with it; the others look further
-    close = within(q, maxdist // 16)
-    pairs = close.unionByName(within(q.join(close.select("__rid").distinct(), "__rid", "left_anti").select(q.columns), maxdist))
+    if match_name:  # the next one may have another name, so all within reach are looked at
+        found = overlap_pairs(q, reference, stranded, True, maxdist, bin_size or max(BIN, maxdist // 4), cols)
+        pairs = found.where(F.col("t_name").contains(F.col("name")))
+    else:
+        pairs = _neighbours(q, reference, maxdist, stranded, bin_size or BIN, cols)
     far, side = distance(F.col("start"), F.col("end"), F.col("t_start"), F.col("t_end"))
     back = (F.col("t_strand") == "+") & (side == "down") | (F.col("t_strand") == "-") & (side == "up")
     pairs = pairs.withColumns({"__far": far, "__side": side, "distance": F.when(back, -far).otherwise(far)})
