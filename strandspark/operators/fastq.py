@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from ..functions import sequence as Q
 
@@ -90,26 +94,37 @@ def filter_prefix(reads: DataFrame, size: int) -> DataFrame:
 
 def adapter_start(seq: Column, adapter: str, share: float, least: int) -> Column:
     """Length of the 3' end that matches the beginning of an adapter: from `least` on the ends are tried by
-    length; the best is kept until one after a match is no better. N in the adapter matches anything."""
-    a = adapter.upper()
-    known = F.array(*[F.lit(c) for c in a])
-    letters = F.split(F.upper(seq), "")
-    n = F.length(seq)
-
-    def score(i: Column) -> Column:
-        m = F.least(i, F.lit(len(a)))
-        hits = F.zip_with(F.slice(letters, n - i + 1, m), F.slice(known, F.lit(1), m), lambda s, t: F.when((s == t) | (t == "N"), 1).otherwise(0))
-        return F.struct(i.alias("i"), F.aggregate(hits, F.lit(0), lambda x, y: x + y).alias("n"), m.alias("m"))
-
-    tries = F.when(n >= least, F.transform(F.sequence(F.lit(least), F.greatest(n, F.lit(least))), score)).otherwise(F.array().cast("array<struct<i:int,n:int,m:int>>"))
-    zero = F.struct(F.lit(0).alias("best"), F.lit(0).alias("i"), F.lit(False).alias("done"))
-
-    def step(acc: Column, t: Column) -> Column:
-        good = (t["n"] >= t["m"] * share) & (t["n"] >= acc["best"])
-        take = ~acc["done"] & good
-        return F.struct(F.when(take, t["n"]).otherwise(acc["best"]).alias("best"), F.when(take, t["i"]).otherwise(acc["i"]).alias("i"), (acc["done"] | (~good & (acc["best"] > 0))).alias("done"))
-
-    return F.aggregate(tries, zero, step, lambda acc: F.when(acc["best"] > 0, acc["i"]).otherwise(0))
+    length; the best is kept until one after a match is no better. N in the adapter matches anything.
+    Reads of one length are compared together, base by base of the adapter, in Arrow batches."""
+    code = np.frombuffer(adapter.upper().encode("latin-1"), np.uint8)
+    free = code == ord("N")
+
+    def starts(texts: list[str], n: int) -> np.ndarray:
+        bases = np.frombuffer("".join(texts).upper().encode("latin-1", "replace"), np.uint8).reshape(len(texts), n)
+        best, at = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32)
+        done = np.zeros(len(texts), bool)
+        for i in range(least, n + 1):
+            m = min(i, len(code))
+            hits = ((bases[:, n - i : n - i + m] == code[:m]) | free[:m]).sum(1)
+            good = (hits >= m * share) & (hits >= best)
+            take = good & ~done
+            done |= ~good & (best > 0)
+            best[take], at[take] = hits[take], i
+        return np.where(best > 0, at, 0)
+
+    def find(col: pa.Array) -> pa.Array:
+        texts = col.to_pylist()
+        by = defaultdict(list)
+        for k, t in enumerate(texts):
+            by[-1 if t is None else len(t)].append(k)
+        out = np.zeros(len(texts), np.int32)
+        for n, own in by.items():
+            if n >= least:
+                out[own] = starts([texts[k] for k in own], n)
+        return pa.array(out, mask=np.array([t is None for t in texts], bool))
+
+    find.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return arrow_udf(find, "int")(seq)
 
 
 def filter_adapter(reads: DataFrame, adapter: str, share: float = 0.8, least: int = 4) -> DataFrame:

@@ -62,7 +62,14 @@ def fastq_filter_prefix(spark, sf):
     return both(Q.filter_prefix(fastq(spark, sf), 3)).drop("name")
 
 
-@query("fastq_filter_adapter")
+_ADAPTER = FQ + """ , t AS (SELECT idx, name, comment, seq, qual, list_transform(range(4, length(seq)+1), lambda i: {'i': i, 'm': least(i, 8), 'n': len(list_filter(range(1, least(i, 8)+1), lambda k: substr('ACGTNACG', k, 1) IN ('N', substr(seq, length(seq)-i+k, 1)))), 'best': 0::BIGINT, 'at': 0::BIGINT, 'done': false}) AS l FROM fq)
+  , z AS (SELECT idx, name, comment, seq, qual, list_reduce(list_prepend({'i': 0::BIGINT, 'm': 0::BIGINT, 'n': 0::BIGINT, 'best': 0::BIGINT, 'at': 0::BIGINT, 'done': false}, l), lambda a, x: {'i': x.i, 'm': x.m, 'n': x.n,
+      'best': CASE WHEN NOT a.done AND x.n >= x.m*0.8 AND x.n >= a.best THEN x.n ELSE a.best END, 'at': CASE WHEN NOT a.done AND x.n >= x.m*0.8 AND x.n >= a.best THEN x.i ELSE a.at END,
+      'done': a.done OR (NOT (x.n >= x.m*0.8 AND x.n >= a.best) AND a.best > 0)}) AS r FROM t), c AS (SELECT idx, name, comment, seq, qual, CASE WHEN r.best > 0 THEN r.at ELSE 0 END AS i FROM z)
+  SELECT idx, name, comment||CASE WHEN i > 0 THEN ' #trim' ELSE '' END AS comment, substr(seq, 1, length(seq)-i) AS seq, substr(qual, 1, length(qual)-i) AS qual FROM c WHERE i = 0 OR length(qual) > i"""
+
+
+@query("fastq_filter_adapter", _ADAPTER)
 def fastq_filter_adapter(spark, sf):
     return both(Q.filter_adapter(fastq(spark, sf), "ACGTNACG", 0.8, 4))
 
