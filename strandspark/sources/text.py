@@ -13,7 +13,12 @@ from ..schemas import DBSNP_COLUMNS, QSEQ_COLUMNS
 
 def numbered_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFrame:
     """value and idx, the line's number over all files. Blocks of files count their lines on their own; a
-    table of one row for each block says how many come before. Compressed text is one block."""
+    table of one row for each block says how many come before. Compressed text is one block, but for paths
+    that end in .bgz: those are read in splits, and idx grows with the lines without counting them."""
+    if isinstance(path, str) and path.endswith(".bgz"):
+        from .bam import read_bgz
+
+        return read_bgz(spark, path, line_sep)
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
     lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).withColumn("m", F.monotonically_increasing_id())
     # ids of a block's lines follow each other, so the smallest one is all that must be known
