@@ -69,3 +69,16 @@ def thousands(n: Column) -> Column:
 def wrapped(seq: Column, width: int = 50) -> Column:
     """Line breaks after every `width` characters, none at the end."""
     return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
+
+
+def typed(values: Column, names: list[str]) -> dict[str, Column]:
+    """Columns from an array of texts by names that tell their types: #name a whole number, @name a list of
+    texts, @#name a list of whole numbers; lists are divided by commas, one of which may stand at the end.
+    Null where the array ends early."""
+    out = {}
+    for i, name in enumerate(names):
+        v = F.get(values, F.lit(i))
+        many, number = name.startswith("@"), name.lstrip("@").startswith("#")
+        parts = F.split(F.regexp_replace(v, ",+$", ""), ",")
+        out[name.lstrip("@").removeprefix("#")] = F.transform(parts, lambda x: x.cast("long")) if many and number else parts if many else v.cast("long") if number else v
+    return out

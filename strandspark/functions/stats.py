@@ -137,3 +137,15 @@ def confidence(n: Column, x: Column, alleles: int) -> Column:
         return pd.DataFrame({"low": out[:, 0], "high": out[:, 1]})
 
     return interval(n, x)
+
+
+def median_of_counts(counts, keys: list[str], value: str = "value", n: str = "n"):
+    """keys with median of whole numbers that have counts: where two share the middle, half their sum,
+    rounded down; 0 without any."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys)
+    df = counts.withColumns({"__c": F.sum(n).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__t": F.sum(n).over(w)})
+    low = F.min(F.when(F.col("__c") * 2 >= F.col("__t"), F.when(F.col(n) > 0, F.col(value))))
+    high = F.min(F.when(F.col("__c") * 2 > F.col("__t"), F.when(F.col(n) > 0, F.col(value))))
+    return df.groupBy(*keys).agg(F.coalesce(F.floor((low + high) / 2), F.lit(0)).cast("long").alias("median"))

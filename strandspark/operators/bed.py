@@ -71,6 +71,20 @@ def stats(bed: DataFrame) -> DataFrame:
     return bed.agg(F.count("*").alias("regions"), F.sum(n).alias("bases"), F.avg(n).alias("mean_size"))
 
 
+def report(bed: DataFrame, ranges: DataFrame | None = None, names: bool = False) -> DataFrame:
+    """section, key and n: regions and bases, regions by reference, by name if asked for, and by class of
+    gene region where ranges (genes.class_ranges) are given."""
+    from .genes import classify_regions
+
+    size = (F.col("end") - F.col("start")).cast("long")
+    entry = lambda section, key, n=F.lit(1).cast("long"): F.struct(F.lit(section).alias("section"), key.alias("key"), n.alias("n"))  # noqa: E731, B008
+    entries = [entry("total", F.lit("regions")), entry("total", F.lit("bases"), size), entry("reference", F.col("chrom"))] + ([entry("name", F.col("name"))] if names else [])
+    if ranges is not None:
+        bed = classify_regions(bed, ranges)
+        entries.append(entry("class", F.col("tag")))
+    return bed.select(F.explode(F.array(*entries)).alias("x")).groupBy("x.section", "x.key").agg(F.sum("x.n").alias("n"))
+
+
 def counts_by(bed: DataFrame, column: str = "chrom") -> DataFrame:
     """Regions for each value of a column, in natural order."""
     return bed.groupBy(column).agg(F.count("*").alias("n")).orderBy(natural_key(F.col(column)))

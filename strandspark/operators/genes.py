@@ -212,42 +212,42 @@ def find_genes(tx: DataFrame, chrom: str, start: int, end: int | None = None, st
 def junctions(tx: DataFrame, reference: DataFrame, fragment: int = 46, min_size: int = 50, max_exons: int = 5, known: bool = False, scramble: bool = False, retain_introns: bool = False, chunk: int = 1 << 16) -> DataFrame:
     """Sequences across junctions of a gene's exons: name (chrom:start-end,start-end...) and seq.
 
-    Each ordered pair of disjoint exons (or, if known, of neighbours in a transcript) gives the last
-    `fragment` bases of one and the first of the other; exons that are too short are extended by what
-    follows, up to max_exons, until min_size is reached. scramble: exons in reverse order, too.
-    retain_introns: exons with the intron after them.
+    The last `fragment` bases of an exon are followed by the first of any exon after it. As long as that is
+    shorter than min_size, and of fewer than max_exons exons, the first bases of each exon further on follow
+    as well; what stays too short is left out. An exon must begin after the piece before it ends. known:
+    only neighbours in a transcript. scramble: the exons follow on themselves once more, in any place.
+    retain_introns (without known): also each exon's end with the intron after it, and each start but a
+    gene's first with the intron before it.
     """
     from .pileup import fetch_sequence
 
-    ex = tx.select("gid", "chrom", F.explode("exons").alias("x")).select("gid", "chrom", F.col("x.start").alias("s"), F.col("x.end").alias("e")).distinct()
+    ex = tx.select("gid", "chrom", F.explode("exons").alias("x")).groupBy("gid", "chrom").agg(F.array_sort(F.collect_set(F.struct(F.col("x.start").alias("s"), F.col("x.end").alias("e")))).alias("x"))  # a gene's exons
+    span = lambda s, e: F.array(F.struct(s.cast("long").alias("start"), e.cast("long").alias("end")))
+    size = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    last = span(F.greatest("s", F.col("e") - fragment), F.col("e"))
+    first = span(F.col("s2"), F.least("e2", F.col("s2") + fragment))
+    after = F.lit(True) if scramble else F.col("s2") > F.element_at("parts", -1)["end"]
     if known:
-        pairs = tx.select("gid", "chrom", F.explode(F.transform(introns_of(), lambda i: i)).alias("i"), "exons")
-        pairs = pairs.select("gid", "chrom", F.filter("exons", lambda x: x["end"] == F.col("i.start"))[0].alias("a"), F.filter("exons", lambda x: x["start"] == F.col("i.end"))[0].alias("b")).distinct()
-        pairs = pairs.select("gid", "chrom", F.col("a.start").alias("s"), F.col("a.end").alias("e"), F.col("b.start").alias("s2"), F.col("b.end").alias("e2"))
+        n = F.size("exons")
+        pairs = tx.where(n > 1).select("chrom", F.explode(F.zip_with(F.slice("exons", F.lit(1), n - 1), F.slice("exons", F.lit(2), n - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p"))
+        pairs = pairs.select("chrom", F.col("p.x.start").alias("s"), F.col("p.x.end").alias("e"), F.col("p.y.start").alias("s2"), F.col("p.y.end").alias("e2")).distinct()
+        done = pairs.withColumn("parts", last).where(after).select("chrom", F.concat("parts", first).alias("parts"))
     else:
-        b = ex.select("gid", "chrom", F.col("s").alias("s2"), F.col("e").alias("e2"))
-        pairs = ex.join(b, ["gid", "chrom"]).where("e < s2")
-        if scramble:
-            pairs = pairs.unionByName(ex.join(b, ["gid", "chrom"]).where("e2 < s"))
-    steps = pairs.select("gid", "chrom", F.col("s").alias("fs"), F.col("e").alias("fe"), F.col("s2").alias("ns"), F.col("e2").alias("ne")).distinct()
-    head = F.struct(F.greatest("fs", F.col("fe") - fragment).alias("start"), F.col("fe").alias("end"))
-    tail = F.struct(F.col("ns").alias("start"), F.least("ne", F.col("ns") + fragment).alias("end"))
-    size = lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    open_ = steps.select("gid", "chrom", F.array(head, tail).alias("parts"), F.col("ns").alias("ls"), F.col("ne").alias("le"))
-    done = None
-    for k in range(2, max_exons + 1):
-        short = (size(F.col("parts")) < min_size) & (F.col("le") - F.col("ls") < fragment)
-        full = open_.where(~short) if k < max_exons else open_
-        done = full if done is None else done.unionByName(full)
-        if k < max_exons:
-            nxt = steps.select("gid", "chrom", F.col("fs").alias("ls"), F.col("fe").alias("le"), "ns", "ne")
-            open_ = open_.where(short).join(nxt, ["gid", "chrom", "ls", "le"]).select("gid", "chrom", F.concat("parts", F.array(F.struct(F.col("ns").alias("start"), F.least("ne", F.col("ns") + fragment).alias("end")))).alias("parts"), F.col("ns").alias("ls"), F.col("ne").alias("le"))
-    out = done.select("chrom", "parts")
-    if retain_introns:
-        i = tx.select("chrom", F.explode(introns_of()).alias("i")).select("chrom", F.array(F.struct((F.col("i.start") - fragment).alias("start"), (F.col("i.start") + fragment).alias("end"))).alias("parts"))
-        out = out.unionByName(i.unionByName(tx.select("chrom", F.explode(introns_of()).alias("i")).select("chrom", F.array(F.struct((F.col("i.end") - fragment).alias("start"), (F.col("i.end") + fragment).alias("end"))).alias("parts"))))
+        each = ex.select("gid", "chrom", F.posexplode(F.concat("x", "x") if scramble else F.col("x")).alias("i", "x")).select("gid", "chrom", "i", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+        following = each.select("gid", "chrom", F.col("i").alias("j"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+        open_, done = each.select("gid", "chrom", "i", last.alias("parts")), None
+        for k in range(2, max_exons + 1):
+            grown = open_.join(following, ["gid", "chrom"]).where((F.col("j") > F.col("i")) & after).select("gid", "chrom", F.col("j").alias("i"), F.concat("parts", first).alias("parts"))
+            full = grown.where(size(F.col("parts")) >= min_size).select("chrom", "parts")
+            done = full if done is None else done.unionByName(full)
+            open_ = grown.where(size(F.col("parts")) < min_size)
+    out = done.where(size(F.col("parts")) >= min_size)
+    if retain_introns and not known:
+        ends = ex.select("chrom", F.posexplode("x").alias("i", "x")).select("chrom", "i", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+        out = out.unionByName(ends.select("chrom", F.concat(last, span(F.col("e"), F.col("e") + fragment)).alias("parts")))
+        out = out.unionByName(ends.where("i > 0").select("chrom", F.concat(span(F.greatest(F.col("s") - fragment, F.lit(0)), F.col("s")), span(F.col("s"), F.least("e", F.col("s") + fragment))).alias("parts")))
     name = F.concat(F.col("chrom"), F.lit(":"), F.array_join(F.transform("parts", lambda p: F.concat(p["start"].cast("string"), F.lit("-"), p["end"].cast("string"))), ","))
-    out = out.where(size(F.col("parts")) >= min_size).withColumn("name", name).dropDuplicates(["name"])
+    out = out.join(reference.select("chrom").distinct(), "chrom", "left_semi").withColumn("name", name).dropDuplicates(["name"])
     bits = out.select("name", "chrom", F.posexplode("parts").alias("k", "p")).select("name", "chrom", "k", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
     seqs = fetch_sequence(bits, reference, chunk)
     return seqs.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "seq"))), lambda x: x["seq"]), "").alias("seq"))
@@ -366,6 +366,18 @@ def to_ensembl(gtf: DataFrame) -> DataFrame:
     return gtf.where(F.col("chrom").isin(*[f"chr{c}" for c in NUCLEAR], "chrM")).withColumn("chrom", F.when(F.col("chrom") == "chrM", "MT").otherwise(F.substring("chrom", 4, 100)))
 
 
+def duplicate_counts(gtf: DataFrame) -> DataFrame:
+    """One row, kept and dropped: rows that remove_duplicates keeps and drops."""
+    dup = F.coalesce(F.try_element_at("attrs", F.lit("transcript_id")).contains("_dup"), F.lit(False))
+    return gtf.agg(F.count_if(~dup).alias("kept"), F.count_if(dup).alias("dropped"))
+
+
+def in_region_order(found: DataFrame, first: str = "first", bin_size: int = 10_000) -> DataFrame:
+    """Genes (chrom, start and `first`, the place of a gene's first row) as an index by bins walks them: by
+    chromosome and bin, within a bin in the order of the file."""
+    return found.orderBy("chrom", F.floor(F.col("start") / bin_size), first)
+
+
 def remove_duplicates(gtf: DataFrame) -> DataFrame:
     """Rows whose transcript_id has no _dup."""
     return gtf.where(~F.coalesce(F.try_element_at("attrs", F.lit("transcript_id")).contains("_dup"), F.lit(False)))

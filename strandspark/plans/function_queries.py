@@ -10,9 +10,9 @@ from ..operators import bed as B
 from ..operators import count as N
 from ..operators import fasta as FA
 from ..operators import variants as V
-from .read_queries import MAPPED, REF, reference
+from .read_queries import MAPPED, reference
 from .registry import query
-from .views import bed, cte, fastq, reads
+from .views import bed, cte, fastq, reads, spelled
 
 FQ = cte("fq")
 
@@ -55,15 +55,10 @@ def bam_convertregion(spark, sf):
     return A.convert_regions(r).select("idx", "chrom", "pos", "cigar", G.tag("NH").alias("nh"))
 
 
-@query("repeats_to_fasta", cte("rg") + f""" , b AS (SELECT rid, chrom, s, e, strand, string_agg({REF.replace('pos', 'p')}, '' ORDER BY p) AS q FROM (SELECT *, unnest(range(s, e)) AS p FROM rg WHERE s < 50000 AND rid%3=1) x GROUP BY ALL)
-  SELECT 'f1|m'||CAST(rid%21 AS STRING)||'|'||chrom||':'||CAST(s AS STRING)||'-'||CAST(e AS STRING)||'['||strand||']' AS name, regexp_replace(regexp_replace(q, '(.{{50}})', '\\1'||chr(10), 'g'), chr(10)||'$', '') AS seq FROM b""")
+@query("repeats_to_fasta", cte("rg") + ", b AS (" + spelled("(SELECT * FROM rg WHERE rid%3=1) z", "rid, chrom, s, e, strand") + """)
+  SELECT 'f1|m'||CAST(rid%21 AS STRING)||'|'||chrom||':'||CAST(s AS STRING)||'-'||CAST(e AS STRING)||'['||strand||']' AS name, regexp_replace(regexp_replace(q, '(.{50})', '\\1'||chr(10), 'g'), chr(10)||'$', '') AS seq FROM b""")
 def repeats_to_fasta(spark, sf):
-    return FA.from_repeats(_repeats(bed(spark, sf, "rg").where(F.col("start") < 50_000)), reference(spark, sf), "f1", 1024)
-
-
-@query("repeats_to_fasta_whole")
-def repeats_to_fasta_whole(spark, sf):
-    """All repeats, where repeats_to_fasta follows its SQL and takes a twentieth of the positions."""
+    """Family f1, which a third of the regions are of."""
     return FA.from_repeats(_repeats(bed(spark, sf, "rg")), reference(spark, sf), "f1", 1024)
 
 
@@ -84,8 +79,17 @@ def bam_mapped_total(spark, sf):
     return N.mapped_total(reads(spark, sf))
 
 
-@query("primer_sites")
+_PRIMERS = """WITH ref AS (SELECT 'chr'||CAST(c AS STRING) AS chrom, k, repeat(translate(md5('chr'||CAST(c AS STRING)||'.'||CAST(k AS STRING)),'0123456789abcdef','ACGTACGTACGTACGT'), 32) AS q FROM range(1, 6) a(c), range(0, 201) b(k))
+  , wide AS (SELECT chrom, k, q, q||substr(coalesce(lead(q) OVER (PARTITION BY chrom ORDER BY k), ''), 1, 64) AS w FROM ref)
+  , p AS (SELECT chrom||'p'||CAST(k AS STRING) AS name, substr(q, 1, 18) AS f, substr(q, 100, 18) AS r FROM ref), here AS (SELECT chrom, k*1024+i-1 AS pos, substr(w, i, 18) AS h FROM (SELECT chrom, k, w, unnest(range(1, 1025)) AS i FROM wide) x WHERE length(substr(w, i, 18)) = 18)
+  , probe AS (SELECT name, 'f' AS z, f AS h FROM p UNION ALL SELECT name, 'r', r FROM p UNION ALL SELECT name, 'R', reverse(translate(r,'ACGT','TGCA')) FROM p UNION ALL SELECT name, 'F', reverse(translate(f,'ACGT','TGCA')) FROM p)
+  , s AS (SELECT name, z, chrom, pos FROM here JOIN probe USING (h))
+  , m AS (SELECT a.chrom, a.pos AS s, b.pos + 18 AS e, a.name, CASE WHEN a.z='f' THEN '+' ELSE '-' END AS strand FROM s a JOIN s b ON b.name=a.name AND b.chrom=a.chrom AND (a.z='f' AND b.z='r' OR a.z='R' AND b.z='F') AND b.pos >= a.pos AND b.pos + 18 - a.pos <= 120)
+  , n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY chrom, s, e, strand) - 1 AS i FROM m) SELECT chrom, s AS "start", e AS "end", CASE WHEN i > 0 THEN name||'.'||CAST(i AS STRING) ELSE name END AS name, strand FROM n"""
+
+
+@query("primer_sites", _PRIMERS)
 def primer_sites(spark, sf):
-    ref = reference(spark, sf)
-    p = ref.where("chunk % 8 = 0").select(F.concat("chrom", F.lit("p"), F.col("chunk").cast("string")).alias("name"), F.substring("seq", 1, 18).alias("fwd"), S.revcomp(F.substring("seq", 100, 18)).alias("rev"))
+    ref = reference(spark, sf, 200)
+    p = ref.select(F.concat("chrom", F.lit("p"), F.col("chunk").cast("string")).alias("name"), F.substring("seq", 1, 18).alias("fwd"), S.revcomp(F.substring("seq", 100, 18)).alias("rev"))
     return B.primer_sites(p, ref, 120, 1024)

@@ -8,7 +8,7 @@ from ..operators import genes as M
 from ..operators import variants as V
 from .read_queries import BIT, MAPPED, SPAN, reference
 from .registry import query
-from .views import bed, cte, gtf, reads, transcripts
+from .views import bed, cte, gtf, reads, spelled, transcripts, view
 
 #: Transcripts by hand: exons and coding parts as distinct spans, codons at the ends of the coding part.
 TX = cte("gx") + """ , ex AS (SELECT DISTINCT gid, chrom, tid, strand, s, e FROM gx WHERE feature='exon'), cd AS (SELECT DISTINCT gid, chrom, tid, s, e FROM gx WHERE feature='CDS')
@@ -154,17 +154,17 @@ def classify_regions(spark, sf):
     return M.classify_regions(bed(spark, sf, "rg"), M.class_ranges(transcripts(spark, sf))).select("rid", "tag")
 
 
-@query("gtf_filter_ucsc", cte("gx") + " SELECT idx, 'chr'||substr(chrom, 4) AS chrom FROM gx WHERE chrom NOT LIKE '%r5%' AND tid NOT LIKE '%_dup%' AND idx%2=0")
+@query("gtf_filter_ucsc", cte("gx") + " SELECT idx, CASE chrom WHEN 'chr3' THEN 'chrM' ELSE chrom END AS chrom FROM gx WHERE chrom NOT IN ('chr4', 'chr5') AND idx%7 <> 0")
 def gtf_filter_ucsc(spark, sf):
-    g = M.remove_duplicates(M.filter_chrom_text(gtf(spark, sf).where("idx%2=0"), "r5"))
-    return M.to_ucsc(M.to_ensembl(g)).select("idx", "chrom")
+    """Names as Ensembl has them, one of them of no chromosome; a seventh of the rows are of copies."""
+    g = gtf(spark, sf).withColumn("attrs", F.expr("case when idx%7 = 0 then map_concat(map_filter(attrs, (k, v) -> k <> 'transcript_id'), map('transcript_id', concat(attrs['transcript_id'], '_dup1'))) else attrs end"))
+    named = M.filter_chrom_text(g, "r5").withColumn("chrom", F.expr("case chrom when 'chr3' then 'MT' when 'chr4' then '4_random' else substr(chrom, 4) end"))
+    return M.to_ucsc(M.remove_duplicates(named)).select("idx", "chrom")
 
 
-@query("gtf_filter_ucsc_whole")
-def gtf_filter_ucsc_whole(spark, sf):
-    """All rows, where gtf_filter_ucsc follows its SQL and takes every other one."""
-    g = M.remove_duplicates(M.filter_chrom_text(gtf(spark, sf), "r5"))
-    return M.to_ucsc(M.to_ensembl(g)).select("idx", "chrom")
+@query("gtf_to_ensembl", cte("gx") + " SELECT idx, CASE chrom WHEN 'chr3' THEN 'MT' ELSE substr(chrom, 4) END AS chrom FROM gx")
+def gtf_to_ensembl(spark, sf):
+    return M.to_ensembl(gtf(spark, sf).withColumn("chrom", F.expr("case chrom when 'chr3' then 'chrM' else chrom end"))).select("idx", "chrom")
 
 
 @query("gtf_add_isoform", cte("gx") + """ , m AS (SELECT tid, max(first) AS f FROM (SELECT tid, min(idx) AS first FROM gx GROUP BY tid) x WHERE first%3=1 GROUP BY tid) SELECT gx.idx, CASE WHEN m.f IS NULL THEN 'gene_id "'||gid||'"; transcript_id "'||gx.tid||'";' ELSE 'gene_id "'||gid||'"; transcript_id "'||gx.tid||'"; isoform_id "iso'||CAST(m.f AS STRING)||'";' END AS attributes FROM gx LEFT JOIN m ON m.tid=gx.tid""")
@@ -207,20 +207,22 @@ def gff_to_gtf(spark, sf):
 GENOME = 4900
 
 
-@query("gtf_junctions")
+_JUNCTIONS = cte("gx") + """ , ex AS (SELECT DISTINCT gid, chrom, s, e FROM gx WHERE feature='exon')
+  , jn AS (SELECT DISTINCT x.chrom, greatest(x.s, x.e-30) AS a, x.e AS b, y.s AS c, least(y.e, y.s+30) AS d FROM ex x JOIN ex y ON y.gid=x.gid AND y.chrom=x.chrom AND y.s > x.e)
+  , sa AS (""" + spelled("(SELECT DISTINCT chrom, a, b FROM jn) z", "chrom, a, b", "a", "b", GENOME) + """), sc AS (""" + spelled("(SELECT DISTINCT chrom, c, d FROM jn) z", "chrom, c, d", "c", "d", GENOME) + """)
+  SELECT jn.chrom||':'||CAST(jn.a AS STRING)||'-'||CAST(jn.b AS STRING)||','||CAST(jn.c AS STRING)||'-'||CAST(jn.d AS STRING) AS name, sa.q||sc.q AS seq
+  FROM jn JOIN sa ON sa.chrom=jn.chrom AND sa.a=jn.a AND sa.b=jn.b JOIN sc ON sc.chrom=jn.chrom AND sc.c=jn.c AND sc.d=jn.d"""
+
+
+@query("gtf_junctions", _JUNCTIONS)
 def gtf_junctions(spark, sf):
+    """Exons have 60 bases or more, so two pieces of 30 are enough for each junction."""
     return M.junctions(transcripts(spark, sf), reference(spark, sf, GENOME), 30, 50, chunk=1024)
 
 
-@query("bed_tofasta", cte("rg") + """ , b AS (SELECT rid, chrom, s, e, strand, string_agg(substr(translate(md5(chrom||'.'||CAST(p//1024 AS STRING)),'0123456789abcdef','ACGTACGTACGTACGT'), CAST((p%1024)%32+1 AS BIGINT), 1), '' ORDER BY p) AS q FROM (SELECT *, unnest(range(s, e)) AS p FROM rg WHERE e-s >= 100 AND s < 100000) x GROUP BY ALL)
+@query("bed_tofasta", cte("rg") + ", b AS (" + spelled("(SELECT * FROM rg WHERE e-s >= 100) z", "rid, chrom, s, e, strand") + """)
   SELECT chrom||':'||CAST(s AS STRING)||'-'||CAST(e AS STRING)||'['||strand||']' AS name, CASE WHEN strand='-' THEN reverse(translate(q,'ACGT','TGCA')) ELSE q END AS seq FROM b""")
 def bed_tofasta(spark, sf):
-    return B.to_fasta(bed(spark, sf, "rg").where(F.col("start") < 100_000), reference(spark, sf), min_size=100, chunk=1024)
-
-
-@query("bed_tofasta_whole")
-def bed_tofasta_whole(spark, sf):
-    """All regions, where bed_tofasta follows its SQL and takes a tenth of the positions."""
     return B.to_fasta(bed(spark, sf, "rg"), reference(spark, sf), min_size=100, chunk=1024)
 
 
@@ -235,14 +237,45 @@ def bam_count_genes(spark, sf):
     return N.region_counts(reads(spark, sf), N.gene_model(M.regions(transcripts(spark, sf))), norm="mapped", fpkm=True).withColumns({"cpm": F.round("cpm", 6), "rpkm": F.round("rpkm", 6)})
 
 
-@query("bam_count_exons")
+_EXONS = _REGIONS.replace("WITH ", cte("rd") + ", ", 1) + f""" , l AS (SELECT qname, chrom, pos, pos + {SPAN} AS aend, cigar, CASE WHEN {BIT(16)} = {BIT(128)} THEN '+' ELSE '-' END AS fs FROM rd WHERE {MAPPED})
+  , pc AS (SELECT l.*, pos + x AS s, pos + y AS e FROM l JOIN (VALUES ('32M',0,32),('12M300N20M',0,12),('12M300N20M',312,332),('5S27M',0,27),('10M2I20M',0,30),('15M3D17M',0,35),('4S10M120N10M80N8M',0,10),('4S10M120N10M80N8M',130,140),('4S10M120N10M80N8M',220,228)) v(c,x,y) ON cigar=c)
+  , tc AS (SELECT DISTINCT gid, rx.chrom, i, qname FROM rx JOIN pc ON pc.chrom=rx.chrom AND pc.fs=rx.strand AND pc.s < rx.b AND rx.a < pc.e), ov AS (SELECT DISTINCT gid, rx.chrom, i, qname FROM rx JOIN l ON l.chrom=rx.chrom AND l.fs=rx.strand AND l.pos < rx.b AND rx.a < l.aend)
+  , inc AS (SELECT gid, chrom, i, count(*) AS n FROM tc GROUP BY ALL), exc AS (SELECT gid, chrom, i, count(*) AS n FROM (SELECT * FROM ov EXCEPT SELECT * FROM tc) x GROUP BY ALL), ge AS (SELECT gid, count(DISTINCT qname) AS n FROM tc GROUP BY gid)
+  , al AS (SELECT rx.*, coalesce(inc.n, 0) AS inclusion, coalesce(exc.n, 0) AS exclusion, coalesce(ge.n, 0) AS gene_reads FROM rx LEFT JOIN inc ON inc.gid=rx.gid AND inc.chrom=rx.chrom AND inc.i=rx.i LEFT JOIN exc ON exc.gid=rx.gid AND exc.chrom=rx.chrom AND exc.i=rx.i LEFT JOIN ge ON ge.gid=rx.gid)
+  SELECT gid, CAST(i AS BIGINT) AS i, chrom, a AS "start", b AS "end", strand, const, inclusion, exclusion, gene_reads, round(CASE WHEN inclusion+exclusion=0 THEN 0.0 ELSE inclusion/(inclusion+exclusion) END, 6) AS incl_pct, round(CASE WHEN inclusion+exclusion=0 THEN 0.0 ELSE exclusion/(inclusion+exclusion) END, 6) AS excl_pct,
+    CASE WHEN NOT const THEN round(CASE WHEN gene_reads-inclusion-exclusion=0 THEN 0.0 ELSE (inclusion-exclusion)/(gene_reads-inclusion-exclusion) END, 6) + 0.0 END AS alt_index FROM al"""
+
+
+@query("bam_count_exons", _EXONS)
 def bam_count_exons(spark, sf):
-    return N.exon_inclusion(reads(spark, sf), M.regions(transcripts(spark, sf)))
+    got = N.exon_inclusion(reads(spark, sf), M.regions(transcripts(spark, sf)))
+    return got.withColumns({"i": F.col("i").cast("long"), **{c: F.round(c, 6) + 0.0 for c in ("incl_pct", "excl_pct", "alt_index")}})
+
+
+#: A mismatch at one of the first ten aligned bases, then what each CIGAR string has: by hand, as reads' MD tags would say.
+_MD = "CASE cigar WHEN '32M' THEN CAST(m AS STRING)||'N'||CAST(31-m AS STRING) WHEN '12M300N20M' THEN CAST(m AS STRING)||'N'||CAST(31-m AS STRING) WHEN '5S27M' THEN CAST(m AS STRING)||'N'||CAST(26-m AS STRING) WHEN '10M2I20M' THEN CAST(m AS STRING)||'N'||CAST(29-m AS STRING) WHEN '15M3D17M' THEN CAST(m AS STRING)||'N'||CAST(14-m AS STRING)||'^ACG17' WHEN '4S10M120N10M80N8M' THEN CAST(m AS STRING)||'N'||CAST(27-m AS STRING) END"
+_CLIP = "CASE cigar WHEN '5S27M' THEN 5 WHEN '4S10M120N10M80N8M' THEN 4 ELSE 0 END"
+_VARIANTS = cte("rd") + f""" , x AS (SELECT *, idx%10 AS m FROM rd WHERE {MAPPED} AND cigar <> '*'), v AS (SELECT idx, chrom, 'M' AS op, pos+m AS p, substr(seq, CAST({_CLIP}+m+1 AS BIGINT), 1) AS b FROM x
+  UNION ALL SELECT idx, chrom, 'I', pos+10, substr(seq, 11, 2) FROM x WHERE cigar='10M2I20M' UNION ALL SELECT idx, chrom, 'D', pos+15, 'ACG' FROM x WHERE cigar='15M3D17M')"""
+
+
+@query("bam_variants", _VARIANTS + " SELECT idx, chrom, op, CAST(p AS BIGINT) AS pos, b AS bases FROM v")
+def bam_variants(spark, sf):
+    return V.variants(_with_md(spark, sf))
+
+
+def _with_md(spark, sf):
+    r = reads(spark, sf).where("cigar <> '*'").withColumn("m", F.col("idx") % 10)
+    return r.withColumn("tags", F.create_map(F.lit("MD"), F.struct(F.lit("Z").alias("t"), F.expr(_MD).alias("v")))).drop("m")
+
+
+#: At places where some reads have a mismatch, an insertion or a deletion.
+_DBSNP = """SELECT chrom, pos + CASE idx%3 WHEN 0 THEN (idx%10) WHEN 1 THEN 10 ELSE 15 END AS p, CASE WHEN mapq%2=0 THEN '+' ELSE '-' END AS st, CASE mapq%4 WHEN 0 THEN 'A/C/T' WHEN 1 THEN '-/ACG' WHEN 2 THEN 'G/C' ELSE '-/AA/GT/CC' END AS o, CASE mapq%5 WHEN 0 THEN 'single' WHEN 1 THEN 'mixed' WHEN 2 THEN 'deletion' WHEN 3 THEN 'insertion' ELSE 'in-del' END AS c FROM rd WHERE chrom IS NOT NULL"""
 
 
-@query("bam_known_variants", cte("rd") + f""" , v AS (SELECT idx, chrom, pos+10 AS p, substr(seq, 11, 2) AS b FROM rd WHERE cigar='10M2I20M' AND {MAPPED}), d AS (SELECT DISTINCT chrom, p, b FROM v WHERE p%2=0) SELECT v.idx, v.chrom, v.p AS pos, v.b AS bases FROM v JOIN d ON d.chrom=v.chrom AND d.p=v.p AND d.b=v.b""")
+@query("bam_known_variants", _VARIANTS + f""" , d AS ({_DBSNP}), a AS (SELECT chrom, p, c, CASE WHEN st='-' THEN reverse(translate(y, 'ACGT', 'TGCA')) ELSE y END AS y FROM (SELECT *, unnest(string_split(o, '/')) AS y FROM d) z)
+  SELECT DISTINCT v.idx, v.chrom, v.op, CAST(v.p AS BIGINT) AS pos, v.b AS bases FROM v JOIN a ON a.chrom=v.chrom AND a.p=v.p
+  WHERE op='M' AND c IN ('single','mixed') AND y=b OR op='I' AND c IN ('insertion','mixed','in-del') AND y=b OR op='D' AND c IN ('deletion','mixed','in-del') AND y='-'""")
 def bam_known_variants(spark, sf):
-    r = reads(spark, sf).where("cigar='10M2I20M' and (flag & 4) = 0")
-    found = V.variants(r.withColumn("tags", F.create_map(F.lit("MD"), F.struct(F.lit("Z").alias("t"), F.lit("30").alias("v"))))).select("idx", "chrom", "op", "pos", "bases")
-    snp = found.where("pos%2=0").select("chrom", F.col("pos").alias("chromStart"), F.lit("+").alias("strand"), F.concat(F.lit("-/"), "bases").alias("observed"), F.lit("in-del").alias("clazz")).distinct()
-    return V.known_variants(found, snp).select("idx", "chrom", F.col("pos").cast("int").alias("pos"), "bases")
+    snp = spark.sql(_DBSNP.replace("FROM rd", "FROM {rd}"), rd=view(spark, sf, "rd")).select("chrom", F.col("p").alias("chromStart"), F.col("st").alias("strand"), F.col("o").alias("observed"), F.col("c").alias("clazz"))
+    return V.known_variants(V.variants(_with_md(spark, sf)), snp)

@@ -107,14 +107,8 @@ def bed_coverage_plus_scaled(spark, sf):
     return region_coverage(bed(spark, sf), "+", 1.5)
 
 
-@query("bedgraph_to_wiggle", _depth_sql(IV, "SELECT * FROM iv WHERE rid%40=1", "depth").replace('SELECT chrom, s AS "start", e AS "end", depth AS depth FROM w WHERE depth > 0', "SELECT chrom, unnest(range(s, e + 1)) AS pos, CAST(depth AS BIGINT) AS value FROM w WHERE depth > 0"))
+@query("bedgraph_to_wiggle", _depth_sql(IV, "SELECT * FROM iv", "depth").replace('SELECT chrom, s AS "start", e AS "end", depth AS depth FROM w WHERE depth > 0', "SELECT chrom, unnest(range(s, e + 1)) AS pos, CAST(depth AS BIGINT) AS value FROM w WHERE depth > 0"))
 def bedgraph_to_wiggle(spark, sf):
-    return wiggle(region_coverage(bed(spark, sf).where("rid%40=1")))
-
-
-@query("bedgraph_to_wiggle_whole")
-def bedgraph_to_wiggle_whole(spark, sf):
-    """All intervals, where bedgraph_to_wiggle follows its SQL and takes one of 40."""
     return wiggle(region_coverage(bed(spark, sf)))
 
 

@@ -8,7 +8,7 @@ from ..operators import align as A
 from ..operators import count as N
 from ..operators import pileup as P
 from .registry import query
-from .views import bed, cte, reads
+from .views import bed, cte, reads, spelled
 
 RD = cte("rd")
 BOTH = cte("rd", "rg")
@@ -305,7 +305,17 @@ def bam_mismatches_reference(spark, sf):
     return P.mismatches_to_reference(reads(spark, sf), reference(spark, sf), 1024)
 
 
-@query("bam_cims")
+_CIMS = R + PIECES + """ , c AS (SELECT chrom, strand, p, count(*) AS n, sum(gone) AS d FROM (SELECT chrom, strand, unnest(range(s, e)) AS p, 0 AS gone FROM b WHERE (flag & 1540) = 0
+    UNION ALL SELECT chrom, strand, unnest(range(pos + 15, pos + 18)), 1 FROM r WHERE cigar = '15M3D17M' AND (flag & 1540) = 0) x GROUP BY chrom, strand, p)
+  , t AS (SELECT chrom, strand, p FROM c WHERE d/n > 0.2), far AS (SELECT chrom, strand, p, min(p) OVER (PARTITION BY chrom, strand ORDER BY p RANGE BETWEEN 20 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM t)
+  , w AS (SELECT chrom, strand, min(p) AS s FROM t GROUP BY chrom, strand UNION ALL SELECT far.chrom, far.strand, far.next FROM w JOIN far ON far.chrom = w.chrom AND far.strand = w.strand AND far.p = w.s WHERE far.next IS NOT NULL)
+  , z AS (SELECT w.chrom, w.strand, w.s, max(t.p) AS e FROM w JOIN t ON t.chrom = w.chrom AND t.strand = w.strand AND t.p >= w.s AND t.p < w.s + 20 GROUP BY w.chrom, w.strand, w.s)
+  SELECT chrom, s AS "start", e AS "end", strand FROM z"""
+_CIMS = _CIMS.replace("WITH rd", "WITH RECURSIVE rd", 1)
+
+
+
+@query("bam_cims", _CIMS)
 def bam_cims(spark, sf):
     return P.deletion_clusters(reads(spark, sf), 0.2)
 
@@ -364,3 +374,10 @@ def bam_count_repeat_families(spark, sf):
 def cigar_functions(spark, sf):
     o = C.parse(F.col("cigar"))
     return reads(spark, sf).select("idx", C.ref_length(o).alias("ref_len"), C.read_length(o).alias("read_len"), C.to_string(C.clean(o)).alias("text"), C.junction_valid(o)["valid"].alias("spliced"))
+
+
+@query("bam_cims_fasta", cte("rg") + ", x AS (SELECT rid, chrom, strand, s, e, s-12 AS a, e+12 AS z FROM rg WHERE s >= 12 AND e < 1000000), q AS (" + spelled("x", "rid, chrom, strand, s, e, a, z", "a", "z") + """)
+  , c AS (SELECT *, substr(q, 1, 12)||lower(substr(q, 13, e-s))||substr(q, 13+e-s, 12) AS y FROM q) SELECT chrom||':'||CAST(a AS STRING)||strand||CAST(z AS STRING) AS name, CASE WHEN strand='-' THEN translate(reverse(y), 'ACGTacgt', 'TGCAtgca') ELSE y END AS seq FROM c""")
+def bam_cims_fasta(spark, sf):
+    """Regions in place of clusters, with their flanks."""
+    return P.cluster_flanks(bed(spark, sf, "rg").where("start >= 12 and end < 1000000"), reference(spark, sf), 12, 1024)

@@ -48,6 +48,14 @@ def cte(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
 
 
+def spelled(rows: str, key: str, start: str = "s", end: str = "e", last: int = 1000) -> str:
+    """SELECT of key and q, the made-up reference (read_queries.reference) from start to end: pieces by chunk of 1024 bases, each spelled at once."""
+    seq = "repeat(translate(md5(chrom||'.'||CAST(k AS STRING)),'0123456789abcdef','ACGTACGTACGTACGT'), 32)"
+    lo, hi = f"greatest({start}, k*1024)", f"least({end}, (k+1)*1024)"
+    return f"""SELECT {key}, string_agg(substr({seq}, CAST({lo}-k*1024+1 AS BIGINT), CAST({hi}-{lo} AS BIGINT)), '' ORDER BY k) AS q
+      FROM (SELECT *, unnest(range({start}//1024, least(({end}-1)//1024, {last})+1)) AS k FROM {rows}) pieces GROUP BY {key}"""
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base = spark.read.parquet(f"{sf_dir}/{TABLES[name]}.parquet")
     return spark.sql(re.sub(rf"FROM {TABLES[name]}\b", "FROM {t}", VIEWS[name]).replace("{t}", "{base}"), base=base)
