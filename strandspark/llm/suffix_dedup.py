@@ -245,14 +245,17 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
                 for c, v in zip(cols, (h.view(np.int64), hh[:, 0], hh[:, 1], np.full(m, d), np.full(m, tk), at, l, r)):
                     c.append(v)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:5]] + [pa.array(np.concatenate(c).astype(np.int64)) for c in cols[5:6]] + [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[6:]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:5]] + [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[5:6]] + [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[6:]], names=names)
 
-    seen = scratch.put(long.mapInArrow(survey, "sh long, h1 long, h2 long, d long, tk long, pos long, l int, r int"))
+    seen = scratch.put(long.mapInArrow(survey, "sh long, h1 long, h2 long, d long, tk long, pos int, l int, r int"))
     # written, so that a seed of very many places can be split among tasks when places look it up
     again = scratch.put(seen.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select("sh"))
+    scratch.forget()
     same = scratch.put(seen.join(again, "sh", "left_semi"))
-    scratch.drop(seen)
+    scratch.drop(seen, again)
+    scratch.forget()
     classes = scratch.put(same.groupBy("sh", "h1", "h2", "l", "r").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("d", "tk", "pos")]))
+    scratch.forget()
     whole = same.join(classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= least)).select("sh", "h1", "h2"), ["sh", "h1", "h2"], "left_semi")
     covered = [whole.select("d", "tk", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"), (F.col("l") + F.col("r") >= match).alias("long"))]
 
@@ -349,7 +352,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(docs[id_col].alias("id"), text.alias("text")).select("id", F.xxhash64("id").alias("d"), F.xxhash64("id", "text").alias("tk"), "text")
     spans = repeated_spans(src.select("d", "tk", "text"), scratch, match, seed, crowd, passage)
-    per = scratch.put(spans.groupBy("d", "tk").agg(F.collect_set(F.struct("start", "end", "long")).alias("found")))
+    per = scratch.put(spans.select("d", "tk", F.col("start").cast("int"), F.col("end").cast("int"), "long").groupBy("d", "tk").agg(F.collect_set(F.struct("start", "end", "long")).alias("found")))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
