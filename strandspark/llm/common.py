@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
 import uuid
@@ -68,6 +69,12 @@ class Scratch:
                 if "/" + self.root.rpartition("/")[2] + "/" in path:
                     self._delete(path)
 
+    def forget(self) -> None:
+        """Lets Spark remove the shuffle files of queries that have ended: it does so as soon as the driver
+        has collected their plans as garbage, which may else take as long as the job."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def release(self) -> None:
         """Removes all of its tables."""
         self._delete(self.root)
