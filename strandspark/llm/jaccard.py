@@ -40,12 +40,17 @@ from .components import connected_components
 LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
+BLANK = np.zeros(256, bool)
+BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: The first n bytes of eight.
+ONE = np.ones(1, bool)
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 #: Shingles that the documents of a block hold at most in one task.
 BLOCK = 250_000
 #: Entries that a task collects before it hands them on, and that it unpacks at a time.
 ENTRIES = 400_000
-#: Words whose hashes a worker remembers.
-WORDS = 300_000
+#: Bytes from which a word is hashed on its own.
+LONG = 256
 #: Postings up to which short lists go through the heap; more are merged by counting, to the same outcome.
 HEAP = 20_000
 #: Orders by which the documents of a block are laid side by side before the search.
@@ -59,37 +64,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class WordHashes(dict):
-    """64 bits of BLAKE2b for each word; short words are remembered."""
-
-    def __missing__(self, w: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        if len(w) <= 64:
-            self[w] = h
-        return h
-
-
-_hashes = WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of other than \\x20 and \\t to \\r, A-Z lower-cased."""
     return (text or "").encode().translate(LOWER).split()
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """64 bits for each word of a text, by eight bytes at a time, each mixed into what came before. Words of
+    up to eight bytes and one length have hashes of their own; long ones take theirs from BLAKE2b."""
+    raw = (text or "").encode().translate(LOWER)
+    b = np.frombuffer(raw + bytes(8), np.uint8)
+    edge = np.flatnonzero(np.diff(BLANK[b[: len(raw)]].view(np.int8), prepend=1, append=1))
+    at, ends = edge[::2], edge[1::2]
+    size = ends - at
+    eight = np.ndarray((len(raw) + 1,), "<u8", b, strides=(1,))  # the eight bytes from each place on
+    h = mix((eight[at] & MASKS[np.minimum(size, 8)]) ^ (size.astype(U) * U(BASE)))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    step = 8
+    while len(more):
+        h[more] = mix(h[more] ^ (eight[at[more] + step] & MASKS[np.minimum(size[more] - step, 8)]))
+        step += 8
+        more = more[size[more] > step]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(raw[at[k] : ends[k]], digest_size=8).digest(), "little")
+    return h
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    h = np.sort(h)
+    keep = np.empty(len(h), bool)
+    keep[:1] = True
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h if keep.all() else h[keep]
+
+
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text; of all its words if they are fewer."""
-    found = words_of(text)
-    if not found:
-        return np.empty(0, U)
-    if len(_hashes) > WORDS:
-        _hashes.clear()
-    w = np.fromiter(map(_hashes.__getitem__, found), U, len(found))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, U)
     for i in range(k):
         h = h * U(0x2545F4914F6CDD1D) + w[i : len(w) - k + 1 + i]
-    return np.unique(mix(h))
+    return distinct(mix(h))
 
 
 def linked(a: str, b: str, words: int, num: int, den: int) -> bool:
@@ -113,6 +132,7 @@ class Ranges:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.known: dict[int, tuple[int, int]] = {}
 
     def levels(self, n: int) -> list[int]:
         at = lambda x: int(math.log(x) / -math.log(self.RATIO) + 1e-9)
@@ -120,24 +140,24 @@ class Ranges:
 
     def cuts(self, level: int) -> tuple[int, int]:
         """(ranges, empty ones allowed)."""
-        top = int(self.RATIO ** -(level + 1)) + 1
-        d = 2 * top * (self.den - self.num) // (self.den + self.num)
-        low = self.RATIO**-level * self.num / self.den
-        z = 2 + math.ceil(2 * (d + 1) * math.exp(-low / (d + 1)))
-        return d + 1 + z, z
+        if level not in self.known:
+            top = int(self.RATIO ** -(level + 1)) + 1
+            d = 2 * top * (self.den - self.num) // (self.den + self.num)
+            low = self.RATIO**-level * self.num / self.den
+            z = 2 + math.ceil(2 * (d + 1) * math.exp(-low / (d + 1)))
+            self.known[level] = d + 1 + z, z
+        return self.known[level]
 
     def entries(self, s: np.ndarray, seed: int = 0) -> list[tuple[int, np.ndarray, int]]:
         """(level, 64-bit entries, how many of them a set shares with one that it links with)."""
         out = []
         h = s if not seed else np.sort(mix(s ^ U(seed * 0x9E3779B9)))
-        sums = np.zeros(len(h) + 1, U)
-        np.cumsum(mix(h + U(1)), out=sums[1:])
+        spread, high = mix(h + U(1)), h >> U(32)
         for level in self.levels(len(s)):
             m, z = self.cuts(level)
-            at = np.searchsorted(h, np.arange(1, m, dtype=U) * U((1 << 64) // m))
-            at = np.concatenate(([0], at, [len(h)]))
-            full = np.diff(at) > 0
-            sig = mix((sums[at[1:]] - sums[at[:-1]]) ^ (np.arange(m, dtype=U) + U(level << 32)) * U(0xD1342543DE82EF95))[full]
+            at = high * U(m) >> U(32)  # range of each, ascending as the hashes are
+            first = np.flatnonzero(np.concatenate((ONE, at[1:] != at[:-1])))
+            sig = mix(np.add.reduceat(spread, first) ^ (at[first] + U(level << 32)) * U(0xD1342543DE82EF95))
             share = z + 1 - (m - len(sig))
             if share < 1:
                 need = -(-self.num * len(s) // self.den)
@@ -312,28 +332,6 @@ def _entries(ranges: Ranges, words: int, seed: int):
     return run
 
 
-class Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        r = x
-        while (p := up.get(r, r)) != r:
-            r = p
-        while (p := up.get(x, x)) != r:
-            up[x], x = r, p
-        return r
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        self.up.setdefault(min(a, b), min(a, b))
-        return True
-
-
 def merge_skip(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
     """Numbers that are in `least` of the ascending lists or more, and in how many: the heads of all lists lie in a heap.
     Where fewer lists agree on the top, as many more are taken off as make `least` - 1, and these jump
@@ -501,8 +499,8 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     Words are runs of other than blanks (\\x20, \\t to \\r), A-Z lower-cased. With fewer than `words`
     words all of them are one shingle. Null, empty and blank texts have no shingles and link with
     nothing, so their component is their own id. Whole numbers as ids are compared as numbers, ids of
-    any other type that can be sorted in their own order. Shingles are told apart by 64-bit hashes of
-    BLAKE2b word hashes, links are confirmed on the words. Rows that repeat an id are one document: links
+    any other type that can be sorted in their own order. Shingles are told apart by 64-bit hashes,
+    links are confirmed on the words. Rows that repeat an id are one document: links
     of any of them count, and each comes back. Rows without an id link with nothing and have no
     component. An empty table gives an empty result. Other columns of docs are not read.
     """

@@ -84,3 +84,19 @@ def test_ids_of_any_type(spark):
     got = sorted(map(str, jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()))
     want = [("a10", 5, "a10"), ("a9", 5, "a10"), ("b", 5, "a10"), ("b", 5, "a10"), ("z", 0, "z"), (None, 5, None)]
     assert got == sorted(f"Row(doc_id={a!r}, n_shingles={n}, component_id={c!r})" for a, n, c in want)
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_components(spark, tmp_path, small):
+    from strandspark.llm.common import Scratch
+    from strandspark.llm.components import connected_components
+
+    rng = random.Random(small)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(40)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)] + [(-5, 7), (7, 7), (3, 3)]
+    label = {v: v for e in edges if e[0] != e[1] for v in e}
+    for a, b in edges * 2:
+        if a != b:
+            x, y = label[a], label[b]
+            label = {v: min(x, y) if c == max(x, y) else c for v, c in label.items()}
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4), Scratch(spark, "components"), small).collect()
+    assert {r.node: r.component for r in got} == label and len(got) == len(label)
