@@ -322,30 +322,48 @@ def quality_stats(reads: DataFrame) -> DataFrame:
 
 # --- local alignment -------------------------------------------------------------------------------
 
-def smith_waterman(ref: str, query: str, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int, int, int, int]:
-    """(score, ref start, ref end, query start, query end, matches) of the best local alignment; ends
-    exclusive; among equals the first end along ref, then query."""
-    m, n = len(ref), len(query)
-    prev = [(0, 0, 0, 0)] * (n + 1)  # score, ref start, query start, matches
-    best = (0, 0, 0, 0, 0, 0)
+def smith_waterman(refs: np.ndarray, query: str, match: int = 2, mismatch: int = -1, gap: int = -1) -> np.ndarray:
+    """Rows of score, ref start, ref end, query start, query end and matches of the best local alignment of
+    each row of refs (bytes, reads of one length); ends exclusive; among equals the first end along ref,
+    then query. A cell of the matrix is worked out for all reads at once."""
+    count, m = refs.shape
+    code = np.frombuffer(query.encode("latin-1"), np.uint8)
+    n = len(code)
+    zero = np.zeros(count, np.int32)
+    prev = [(zero, zero, zero, zero)] * (n + 1)  # score, ref start, query start, matches
+    best = [zero.copy() for _ in range(6)]
     for i in range(1, m + 1):
-        row = [(0, i, 0, 0)]
+        row = [(zero, zero + i, zero, zero)]
         for j in range(1, n + 1):
-            same = ref[i - 1] == query[j - 1]
+            same = refs[:, i - 1] == code[j - 1]
             d, u, l = prev[j - 1], prev[j], row[j - 1]
-            s = d[0] + (match if same else mismatch)
-            cell = (s, *((d[1], d[2]) if d[0] else (i - 1, j - 1)), (d[3] if d[0] else 0) + same)
-            if u[0] + gap > cell[0]:
-                cell = (u[0] + gap, u[1], u[2], u[3])
-            if l[0] + gap > cell[0]:
-                cell = (l[0] + gap, l[1], l[2], l[3])
-            if cell[0] <= 0:
-                cell = (0, i, j, 0)
-            if cell[0] > best[0]:
-                best = (cell[0], cell[1], i, cell[2], j, cell[3])
+            on = d[0] > 0
+            cell = [d[0] + np.where(same, match, mismatch), np.where(on, d[1], i - 1), np.where(on, d[2], j - 1), np.where(on, d[3], 0) + same]
+            for other in (u, l):
+                more = other[0] + gap > cell[0]
+                if more.any():
+                    cell = [np.where(more, x + gap if k == 0 else x, y) for k, (x, y) in enumerate(zip(other, cell))]
+            none = cell[0] <= 0
+            cell = tuple(np.where(none, v, c) for v, c in zip((0, i, j, 0), cell))
+            up = cell[0] > best[0]
+            if up.any():
+                for k, v in enumerate((cell[0], cell[1], i, cell[2], j, cell[3])):
+                    best[k] = np.where(up, v, best[k])
             row.append(cell)
         prev = row
-    return best
+    return np.stack(best, 1)
+
+
+def _aligned(texts: list[str], query: str) -> np.ndarray:
+    """smith_waterman for reads of any lengths, those of one length together."""
+    out = np.zeros((len(texts), 6), np.int64)
+    by = defaultdict(list)
+    for k, t in enumerate(texts):
+        by[len(t)].append(k)
+    for n, own in by.items():
+        if n:
+            out[own] = smith_waterman(np.frombuffer("".join(texts[k] for k in own).encode("latin-1", "replace"), np.uint8).reshape(len(own), n), query)
+    return out
 
 
 def trim_linkers(reads: DataFrame, five: str | None = None, three: str | None = None, identity: float = 0.8, min_trim: int = 4, min_len: int = 25) -> DataFrame:
@@ -355,20 +373,19 @@ def trim_linkers(reads: DataFrame, five: str | None = None, three: str | None =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            keep = []
-            for k, (seq, qual) in enumerate(zip(df["seq"], df["qual"])):
-                up, left, right = seq.upper(), 0, len(seq)
-                if five:
-                    s, a, b, c, d, n = smith_waterman(up, five.upper())
-                    if s and b - a >= min_trim and n / max(b - a, d - c) >= identity and (a < min_trim or c < min_trim and d == len(five)):
-                        left = b
-                if three:
-                    s, a, b, c, d, n = smith_waterman(up, three.upper())
-                    if s and b - a >= min_trim and n / max(b - a, d - c) >= identity and c < min_trim and (b > len(up) - min_trim or d == len(three)):
-                        right = a
-                keep.append(right - left >= min_len)
-                df.iat[k, df.columns.get_loc("seq")], df.iat[k, df.columns.get_loc("qual")] = seq[left:right], qual[left:right]
-            yield df[keep]
+            up = [t.upper() for t in df["seq"]]
+            size = np.array([len(t) for t in up], np.int64)
+            left, right = np.zeros(len(up), np.int64), size.copy()
+            fits = lambda s, a, b, c, d, n: (s > 0) & (b - a >= min_trim) & (n / np.maximum(1, np.maximum(b - a, d - c)) >= identity)
+            if five and up:
+                s, a, b, c, d, n = _aligned(up, five.upper()).T
+                left = np.where(fits(s, a, b, c, d, n) & ((a < min_trim) | (c < min_trim) & (d == len(five))), b, left)
+            if three and up:
+                s, a, b, c, d, n = _aligned(up, three.upper()).T
+                right = np.where(fits(s, a, b, c, d, n) & (c < min_trim) & ((b > size - min_trim) | (d == len(three))), a, right)
+            for col in ("seq", "qual"):
+                df[col] = [t[x:y] for t, x, y in zip(df[col], left.tolist(), right.tolist())]
+            yield df[right - left >= min_len]
 
     return reads.mapInPandas(run, schema)
 
@@ -382,38 +399,46 @@ def split_barcodes(reads: DataFrame, barcodes: list[tuple[str, str, str, bool]],
     schema = T.StructType(reads.schema.fields + [T.StructField("tag", T.StringType())])
     other = str.maketrans(Q.BASES, Q.COMPLEMENT)
 
-    def find(seq: str):
+    def find(texts: list[str]) -> list[tuple | None]:
+        """(name, end, strip, start and end of the barcode) of the first that fits each read."""
+        out: list[tuple | None] = [None] * len(texts)
         for name, code, end, strip in barcodes:
             code = code.upper()
+            todo = [k for k, x in enumerate(out) if x is None]
+            if not todo:
+                break
             if edits == 0 and slack == 0:  # nothing to align
-                hit = (0, len(code)) if end == "5" and seq.startswith(code) else (len(seq) - len(code), len(seq)) if end == "3" and seq.endswith(code) else None
-            else:
-                s, a, b, c, d, n = smith_waterman(seq, code)
-                wrong = len(code) - (b - a) + max(b - a, d - c) - n
-                near = a <= slack if end == "5" else b >= len(seq) - slack
-                hit = (a, b) if s and wrong <= edits and near else None
-            if hit:
-                return name, end, strip, hit
-        return None
+                for k in todo:
+                    if texts[k].startswith(code) if end == "5" else texts[k].endswith(code):
+                        out[k] = (name, end, strip, (0, len(code)) if end == "5" else (len(texts[k]) - len(code), len(texts[k])))
+                continue
+            size = np.array([len(texts[k]) for k in todo])
+            s, a, b, c, d, n = _aligned([texts[k] for k in todo], code).T
+            wrong = len(code) - (b - a) + np.maximum(b - a, d - c) - n
+            near = a <= slack if end == "5" else b >= size - slack
+            for i in np.flatnonzero((s > 0) & (wrong <= edits) & near).tolist():
+                out[todo[i]] = (name, end, strip, (int(a[i]), int(b[i])))
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            rows = df.to_dict("records")
-            for r in rows:
-                seq, qual = r["seq"], r.get("qual")
-                got = find(seq.upper())
-                if not got and allow_revcomp:
-                    turned = seq.translate(other)[::-1]
-                    if got := find(turned.upper()):
-                        seq, qual = turned, qual[::-1] if qual else qual
-                r["tag"] = got[0] if got else "missing"
+            seqs = df["seq"].tolist()
+            quals = df["qual"].tolist() if "qual" in df else [None] * len(seqs)
+            found = find([t.upper() for t in seqs])
+            if allow_revcomp:
+                lost = [k for k, x in enumerate(found) if x is None]
+                turned = [seqs[k].translate(other)[::-1] for k in lost]
+                for k, t, got in zip(lost, turned, find([t.upper() for t in turned])):
+                    if got:
+                        found[k], seqs[k], quals[k] = got, t, quals[k][::-1] if quals[k] else quals[k]
+            for k, got in enumerate(found):
                 if got and got[2]:
-                    a, b = got[3]
-                    cut = slice(b, None) if got[1] == "5" else slice(0, a)
-                    seq, qual = seq[cut], qual[cut] if qual else qual
-                r["seq"] = seq
-                if "qual" in r:
-                    r["qual"] = qual
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
+                    cut = slice(got[3][1], None) if got[1] == "5" else slice(0, got[3][0])
+                    seqs[k], quals[k] = seqs[k][cut], quals[k][cut] if quals[k] else quals[k]
+            df["seq"] = seqs
+            if "qual" in df:
+                df["qual"] = quals
+            df["tag"] = [got[0] if got else "missing" for got in found]
+            yield df[[f.name for f in schema]]
 
     return reads.mapInPandas(run, schema)

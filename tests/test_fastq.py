@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from strandspark.operators import fastq as Q
@@ -74,7 +76,7 @@ def test_summaries(spark):
 
 
 def test_alignment(spark):
-    assert Q.smith_waterman("TTACGTTT", "ACGT") == (8, 2, 6, 0, 4, 4)
+    assert Q._aligned(["TTACGTTT"], "ACGT").tolist() == [[8, 2, 6, 0, 4, 4]]
     r = make(spark, [("a", "", "ACGTGGGGGGGGGGCCCC", "I" * 18), ("b", "", "GGGG", "IIII")])
     got = {x.name: x.seq for x in Q.trim_linkers(r, five="ACGT", three="CCCC", min_len=5).collect()}
     assert got == {"a": "GGGGGGGGGG"}
@@ -97,3 +99,30 @@ def test_conversions(spark):
     out, seen = Q.filter_chain(r, lambda d: Q.filter_size(d, 1), lambda d: Q.filter_truncate(d, 2))
     out.collect()
     assert seen[1].get == {"kept": 1, "altered": 1}
+
+
+def cell_by_cell(ref, query, match=2, mismatch=-1, gap=-1):
+    """The matrix of one read, each cell with where its path began."""
+    score = {(i, j): (0, i, j, 0) for i in range(len(ref) + 1) for j in range(len(query) + 1)}
+    best = (0, 0, 0, 0, 0, 0)
+    for i in range(1, len(ref) + 1):
+        score[i, 0] = (0, i, 0, 0)
+        for j in range(1, len(query) + 1):
+            d, u, l = score[i - 1, j - 1], score[i - 1, j], score[i, j - 1]
+            same = ref[i - 1] == query[j - 1]
+            begun = d if d[0] else (0, i - 1, j - 1, 0)
+            paths = [(d[0] + (match if same else mismatch), begun[1], begun[2], begun[3] + same)] + [(x[0] + gap, *x[1:]) for x in (u, l)]
+            here = max(paths, key=lambda x: x[0])
+            score[i, j] = here if here[0] > 0 else (0, i, j, 0)
+            if here[0] > best[0]:
+                best = (here[0], here[1], i, here[2], j, here[3])
+    return best
+
+
+def test_alignments_of_many_reads():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(0, 15))) for _ in range(400)]
+    for query in ("ACGT", "TTGACA", "A"):
+        score = cell_by_cell
+        want = [score(t, query) for t in texts]
+        assert [tuple(r) for r in Q._aligned(texts, query).tolist()] == want

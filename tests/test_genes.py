@@ -92,3 +92,33 @@ def test_primers(spark):
     ref = chunked_reference(spark.createDataFrame([("c", seq)], "name string, seq string"), 64)
     p = spark.createDataFrame([("a", "ACGTACGTACGTAA", "TGTAATCCTGTAATCC"), ("b", "ACGTACGTACGTTT", "TGTAATCCTGTAATCC")], "name string, fwd string, rev string")
     assert table(primer_sites(p, ref, 200, 64), "chrom", "start", "end", "name", "strand") == [("c", 20, 80, "a", "+")]
+
+
+def test_junction_chains(spark):
+    """Short exons are passed on to each exon further on, until a junction is long enough."""
+    ref = chunked_reference(spark.createDataFrame([("chr1", "".join("ACGT"[i * i % 7 % 4] for i in range(300)))], "name string, seq string"), 64)
+    spans = lambda *exons, **kw: {r.name.partition(":")[2] for r in M.junctions(M.transcripts(rows(spark, [("exon", s, e, "g", "t") for s, e in exons])), ref, chunk=64, **kw).collect()}
+    assert spans((29, 40), (49, 70), (79, 82), (89, 100), fragment=4, min_size=8) == {"36-40,49-53", "36-40,79-82,89-93", "36-40,89-93", "66-70,79-82,89-93", "66-70,89-93"}
+    # an exon of ten bases, then long ones: every exon after what is too short follows
+    assert spans((0, 10), (100, 140), (200, 260), fragment=30, min_size=50) == {"0-10,100-130,200-230", "110-140,200-230"}
+    exons, want = [(0, 10), (20, 25), (30, 34), (40, 43), (50, 60), (70, 72)], set()
+
+    def go(parts, k):
+        for j in range(k, len(exons)):
+            new = [*parts, (exons[j][0], min(exons[j][1], exons[j][0] + 10))]
+            if sum(e - s for s, e in new) >= 25:
+                want.add(",".join(f"{s}-{e}" for s, e in new))
+            elif len(new) < 4:
+                go(new, j + 1)
+
+    for k, (s, e) in enumerate(exons):
+        go([(max(s, e - 10), e)], k + 1)
+    assert len(want) > 2 and spans(*exons, fragment=10, min_size=25, max_exons=4) == want
+    assert spans((0, 20), (100, 120), fragment=5, min_size=8, scramble=True) == {"15-20,100-105", "115-120,0-5", "15-20,0-5", "115-120,100-105"}
+    assert spans((0, 20), (100, 120), fragment=5, min_size=8, retain_introns=True) == {"15-20,100-105", "15-20,20-25", "115-120,120-125", "95-100,100-105"}
+    assert spans((0, 20), (15, 40), (100, 120), fragment=5, min_size=8, known=True) == {"35-40,100-105"}
+
+
+def test_region_order_and_counts(spark):
+    g = spark.createDataFrame([("c", 25_000, 1), ("c", 5, 9), ("c", 9_999, 2), ("b", 70_000, 0), ("c", 20_001, 0)], "chrom string, start long, first long")
+    assert [(r.chrom, r.start) for r in M.in_region_order(g).collect()] == [("b", 70_000), ("c", 9_999), ("c", 5), ("c", 20_001), ("c", 25_000)]

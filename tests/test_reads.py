@@ -187,3 +187,39 @@ def test_stats(spark):
     d = make(spark, [("a", 0, "c", 1, "1M", "A", {"NM": 1}), ("b", 0, "c", 1, "1M", "A", {"NM": 3})])
     assert [(x.value, x.n, x.pct) for x in A.tag_distribution(d, "NM").orderBy("value").collect()] == [(1, 1, 50.0), (2, 0, 50.0), (3, 1, 100.0)]
     assert G.LABELS[4] == "Unmapped"
+
+
+def test_conversion_without_a_check_and_checked_only(spark):
+    from strandspark.schemas import READS
+
+    row = lambda name, pos, cigar: {"qname": name, "flag": 0, "chrom": "chr1:100-110,200-300", "pos": pos, "mapq": 1, "cigar": cigar, "rnext": None, "pnext": -1, "tlen": 0, "seq": "A", "qual": "I", "tags": {}, "idx": pos}
+    reads = spark.createDataFrame([row("a", 8, "20M"), row("b", 2, "20M")], READS)
+    place = lambda df: [(r.qname, r.chrom, r.pos, r.cigar, sorted(r.tags)) for r in df.orderBy("qname").collect()]
+    assert place(A.convert_regions(reads, overlap=0)) == [("a", "chr1", 108, "2M90N18M", []), ("b", "chr1", 102, "8M90N12M", [])]
+    assert place(A.convert_regions(reads, validate_only=True, keep_unmapped=False)) == [("b", "chr1:100-110,200-300", 2, "20M", ["HI", "IH", "NH"])]
+    sizes = spark.createDataFrame([("chr1", 1000)], "chrom string, length long")
+    assert place(A.convert_regions(reads, sizes=sizes, keep_unmapped=False))[0][:2] == ("b", "chr1")
+    with pytest.raises(Exception, match="no such chromosome"):
+        A.convert_regions(reads, sizes=sizes.where("length > 1000")).collect()
+
+
+def test_report_with_classes(spark):
+    from strandspark.schemas import READS
+
+    row = lambda i, chrom, pos, cigar, flag=0: {"qname": f"r{i}", "flag": flag, "chrom": chrom, "pos": pos, "mapq": 1, "cigar": cigar, "rnext": None, "pnext": -1, "tlen": 0, "seq": "ACGT", "qual": "IIII", "tags": {}, "idx": i}
+    reads = spark.createDataFrame([row(0, "c.1", 5, "4M"), row(1, "c.1", 5, "4M", 16), row(2, "c.1", 500, "4M"), row(3, "c.2", 0, "2M5N2M"), row(4, None, -1, "*", 4), row(5, "c.1", 5, "4M", 129)], READS)
+    ranges = spark.createDataFrame([("c.1", 0, 10, "+", 0)], "chrom string, start long, end long, strand string, rank int")
+    got = {(r.section, r.key): r.n for r in A.report(reads, ranges, delimiter=".", tags=("LENGTH",)).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "flag"} == {
+        ("reads", "total"): 5, ("reads", "mapped"): 4, ("reads", "unmapped"): 1, ("reference", "c"): 4, ("LENGTH", "4"): 4, ("class", "coding"): 1, ("class", "coding-rev"): 1, ("class", "intergenic"): 1, ("class", "junction"): 1,
+    }
+    assert got["flag", "16"] == 1 and got["flag", "4"] == 1 and ("flag", "1") not in got
+    every = {(r.section, r.key): r.n for r in A.report(reads, ranges, first_only=False).collect()}
+    assert every["reads", "total"] == 6 and every["class", "coding"] == 1
+
+
+def test_median_of_counts(spark):
+    from strandspark.functions.stats import median_of_counts
+
+    df = spark.createDataFrame([("a", 1, 4), ("a", 2, 1), ("a", 3, 4), ("b", 1, 4), ("b", 4, 4), ("c", 5, 0), ("d", 0, 1), ("d", 3, 1)], "k string, value long, n long")
+    assert {r.k: r.median for r in median_of_counts(df, ["k"]).collect()} == {"a": 2, "b": 2, "c": 0, "d": 1}
