@@ -12,18 +12,20 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch holds at most; long documents would make the default batches too large.
-ARROW_ROWS = 1000
+#: Rows and bytes that one Arrow batch holds at most; long documents would make the default batches too large.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the rows of an Arrow batch, unless the session has a smaller bound already. The setting
-    stays, since plans are made when results are asked for."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bounds the rows and bytes of an Arrow batch, unless the session has smaller bounds already. The
+    settings stay, since plans are made when results are asked for."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) > ARROW_BYTES:
+        spark.conf.set(size, str(ARROW_BYTES))
     return spark
 
 

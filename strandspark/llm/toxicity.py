@@ -359,7 +359,7 @@ def fit(x: np.ndarray, y: np.ndarray, each: np.ndarray | None = None, prior: tup
     each = np.ones(len(x)) if each is None else each
     mean = np.array([*prior, -3.0])
     w = mean.copy()
-    ridge = np.array([strength] * x.shape[1] + [0.1])
+    ridge = np.array([strength] * x.shape[1] + [1.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
         grad = a.T @ ((p - y) * each) + ridge * (w - mean)

@@ -134,7 +134,7 @@ def test_learning_and_scores(spark):
     def loss(w):
         z = np.clip(x @ w, -40, 40)
         prior = np.array([3.0, 0.4, 1.5, -3.0])
-        return float((each * (np.log1p(np.exp(z)) - y * z)).sum() + (np.array([1.0, 1.0, 1.0, 0.05]) * (w - prior) ** 2).sum())
+        return float((each * (np.log1p(np.exp(z)) - y * z)).sum() + (np.array([1.0, 1.0, 1.0, 0.5]) * (w - prior) ** 2).sum())
 
     w = np.array([*model.weights, model.bias])
     for k in range(4):
