@@ -54,20 +54,18 @@ def calls(a: Column, c: Column, g: Column, t: Column) -> Column:
 def consensus(a: Column, c: Column, g: Column, t: Column, minor_share: float = 0.01) -> Column:
     """struct<major,minor>: bases with the largest count and, if that is one base, those with the next
     count if it is at least minor_share of all. N and nothing without bases."""
-    each = calls(a, c, g, t)
-    best = F.element_at(each, 1)["n"]
-    major = F.filter(each, lambda x: x["n"] == best)
-    rest = F.filter(each, lambda x: (x["n"] < best) & (x["n"] > 0))
-    top = F.try_element_at(rest, F.lit(1))["n"]
-    minor = F.filter(rest, lambda x: x["n"] == top)
-    bases = lambda arr: F.array_join(F.transform(arr, lambda x: x["b"]), "/")
-    good = (F.size(major) == 1) & (F.size(rest) > 0) & (top / (a + c + g + t) >= minor_share)
-    return F.struct(F.when(best == 0, "N").otherwise(bases(major)).alias("major"), F.when((best > 0) & good, bases(minor)).otherwise("").alias("minor"))
+    known = dict(zip("TGCA", (t, g, c, a)))  # ties by base backwards
+    best = F.greatest(*known.values())
+    second = F.greatest(*[F.when(x < best, x).otherwise(0) for x in known.values()])
+    alone = sum((F.when(x == best, 1).otherwise(0) for x in known.values()), F.lit(0)) == 1
+    listed = lambda n: F.concat_ws("/", *[F.when(x == n, b) for b, x in known.items()])
+    good = alone & (second > 0) & (second / (a + c + g + t) >= minor_share)
+    return F.struct(F.when(best == 0, "N").otherwise(listed(best)).alias("major"), F.when(good, listed(second)).otherwise("").alias("minor"))
 
 
 def heterozygosity(a: Column, c: Column, g: Column, t: Column) -> Column:
     """Share of the second base, the third as background taken off both; 0 if nothing is left of it."""
-    n = F.array_sort(F.array(a, c, g, t))
+    n = F.sort_array(F.array(a, c, g, t))
     major, minor, back = (F.element_at(n, -i).cast("double") for i in (1, 2, 3))
     return F.when(minor <= back, 0.0).otherwise((minor - back) / (major - back + minor - back))
 
