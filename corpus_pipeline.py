@@ -35,7 +35,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as a whole; of repeated rows one stays; a null id is less than any other; an empty table stays empty,
     and further columns of any name stay as they are."""
     named = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha"))
-    found = Scratch(spark, "copies").put(named)
+    scratch = Scratch(spark, "copies")
+    found = scratch.put(named)
+    scratch.forget()
     sha = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("id"), sha.alias("sha"))
     kept = rows.join(found.hint("merge"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
@@ -53,7 +55,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated rows stay or go together, documents without an id stay, an empty table stays empty, and further
     columns of any name stay as they are."""
     found = jaccard_components(docs, words=WORDS, num=NUM, den=DEN)
-    gone = Scratch(spark, "near-copies").put(found.where("doc_id <> component_id").select("doc_id").distinct())
+    scratch = Scratch(spark, "near-copies")
+    gone = scratch.put(found.where("doc_id <> component_id").select("doc_id").distinct())
+    scratch.forget()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -73,9 +74,12 @@ class Scratch:
 
     def forget(self) -> None:
         """Lets Spark remove the shuffle files of queries that have ended: it does so as soon as the driver
-        has collected their plans as garbage, which may else take as long as the job."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        has collected their plans as garbage, which may else take as long as the job. What Python lets go is
+        told to the JVM by a thread of its own, after the call that let it go: hence the second round."""
+        for _ in range(2):
+            gc.collect()
+            time.sleep(0.05)
+            self.spark._jvm.System.gc()
 
     def release(self) -> None:
         """Removes all of its tables."""

@@ -6,15 +6,18 @@
    sets of that size can differ. Linked sets then agree on m - d ranges. What of each range a document
    has is one fixed-size entry, merged per task before the shuffle, so a hot range is one entry of each
    task. A document that shares fewer than m - d of its ranges with any others links with nothing and
-   is done with; the rest, few, are joined into blocks where they agree on a range.
+   is done with; the rest, few, are joined into blocks where they agree on a range. Since linked sets
+   agree on m - d, each document leaves out the m - d - 1 of its ranges that most documents share, in one
+   order for all: of what two linked sets share, the rarest stays in both. So a passage that many
+   documents quote ties no block together.
 3. Within a block, inverted lists from shingle to documents answer for each document which others share
    T shingles: short lists are merged by a heap that skips ahead, long ones are probed by binary search
    for what the merge left over. Only links that join two components are reported, and each is checked
    on the words themselves.
 4. Components of the links.
 
-A block that is too large for a task is cut anew with other ranges. If it stays too large it is dealt
-into parts. Each part is searched by itself, then the least documents of the components so found are
+A block that is too large for a task is cut anew with other ranges, again and again. If it stays too large
+it is dealt into parts. Each part is searched by itself, then the least documents of the components so found are
 compared; what then still stands outside a block's largest component is compared with all of the block,
 part by part. Memory is bounded, every pair that could join two components meets, and a large group of
 near copies costs its size, not the square of it.
@@ -30,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +50,8 @@ ONE = np.ones(1, bool)
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 #: Shingles that the documents of a block hold at most in one task.
 BLOCK = 250_000
+#: Times that blocks are cut, each time with other ranges, before those still too large are dealt into parts.
+CUTS = 4
 #: Entries that a task collects before it hands them on, and that it unpacks at a time.
 ENTRIES = 400_000
 #: Bytes from which a word is hashed on its own.
@@ -317,17 +322,21 @@ def _add_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(ranges: Ranges, words: int, seed: int):
-    """(entry, id) of every document, entries of different blocks kept apart."""
+    """(entry, id, row, need) of every document, entries of different blocks kept apart; row: a text's set at
+    one level, need: how many of its entries it shares with any that it links with."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, ids = [], []
+            out, ids, rows, needs = [], [], [], []
             for i, t, g in zip(*(c.to_pylist() for c in batch.columns)):
-                for _, e, _ in ranges.entries(shingle_set(t, words), seed):
+                s = shingle_set(t, words)
+                for level, e, need in ranges.entries(s, seed):
                     out.append(mix(e ^ U(g * 0xA0761D6478BD642F & 0xFFFFFFFFFFFFFFFF)))
                     ids.append(np.full(len(e), i, np.int64))
+                    rows.append(np.full(len(e), set_key(s)[0] ^ level, np.int64))
+                    needs.append(np.full(len(e), need, np.int32))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], names=["e", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), *[pa.array(np.concatenate(c)) for c in (ids, rows, needs)]], names=["e", "id", "row", "need"])
 
     return run
 
@@ -479,11 +488,19 @@ def _search(num: int, den: int, words: int):
 
 def _blocks(src: DataFrame, scratch: Scratch, ranges: Ranges, words: int, seed: int) -> DataFrame:
     """node, component over documents (id, text, block) of a block that share an entry."""
-    entries = scratch.put(src.select("id", "text", "block").mapInArrow(_entries(ranges, words, seed), "e long, id long"))
-    heads = scratch.put(entries.groupBy("e").agg(F.min("id").alias("b"), F.max("id").alias("z")).where("b <> z").select("e", "b"))
-    edges = entries.join(heads, "e").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
+    entries = scratch.put(src.select("id", "text", "block").mapInArrow(_entries(ranges, words, seed), "e long, id long, row long, need int"))
+    shared = lambda d: d.groupBy("e").agg(F.min("id").alias("b"), F.max("id").alias("z"), F.count("*").alias("docs")).where("b <> z")
+    often = scratch.put(shared(entries).select("e", "docs"))
+    # entries that no other document has are the rarest, and are of no use
+    ranked = entries.join(often, "e").withColumn("rank", F.row_number().over(Window.partitionBy("id", "row").orderBy(F.desc("docs"), "e")))
+    rare = scratch.put(ranked.where("rank >= need").select("e", "id"))
+    scratch.drop(entries, often)
+    scratch.forget()
+    heads = scratch.put(shared(rare).select("e", "b"))
+    edges = rare.join(heads, "e").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     found = connected_components(edges, scratch)
-    scratch.drop(entries, heads)
+    scratch.drop(rare, heads)
+    scratch.forget()
     return found
 
 
@@ -535,6 +552,7 @@ def _components(src: DataFrame, scratch: Scratch, words: int, num: int, den: int
     member = scratch.put(sized.join(heads, ["n", "k1", "k2"], "left").select("id", "n", "head", "levels", "needs"))
     entries = sized.agg(F.sum("entries")).first()[0] or 0
     scratch.drop(sized, heads)
+    scratch.forget()
     same = member.where("head is not null and head <> id").select(F.col("id").alias("a"), F.col("head").alias("b"))
 
     known = src.where("id is not null")
@@ -545,15 +563,18 @@ def _components(src: DataFrame, scratch: Scratch, words: int, num: int, den: int
     counts = found.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_add_counts, "id long, level int, got long")
     needs = member.where("head = id").select("id", "n", F.explode(F.arrays_zip("levels", "needs")).alias("x")).select("id", "n", F.col("x.levels").alias("level"), F.col("x.needs").alias("need"))
     lone = scratch.put(needs.join(counts, ["id", "level"]).where("got >= need").groupBy("id").agg(F.max("n").alias("n")))
+    scratch.forget()
     texts = scratch.put(known.join(lone.hint("merge"), "id").select("id", "text", "n"))
+    scratch.forget()
 
     dealt = texts.select("id", "n", F.lit(0).cast("long").alias("block"))
     sizes = lambda d: d.groupBy("block").agg(F.sum("n").alias("weight"), F.count("*").alias("docs")).where("docs > 1")
-    for seed in (0, 1):
+    for seed in range(CUTS):
         large = scratch.put(sizes(dealt).where((F.lit(seed) == 0) | (F.col("weight") > block)).select("block"))
         if large.isEmpty():
             break
         inside = scratch.put(texts.join(dealt.join(large, "block", "left_semi").select("id", "block").hint("merge"), "id"))
+        scratch.forget()
         again = _blocks(inside, scratch, ranges, words, seed)
         fresh = again.withColumnRenamed("node", "id").join(inside.select("id", "n"), "id").select("id", "n", F.xxhash64("component", F.lit(seed)).alias("block"))
         dealt = scratch.put(dealt.join(large, "block", "left_anti").select("id", "n", "block").unionByName(fresh))
@@ -562,7 +583,9 @@ def _components(src: DataFrame, scratch: Scratch, words: int, num: int, den: int
     def search(cells: DataFrame) -> DataFrame:
         """Links among the documents of each cell (id, label, block, i, j, part)."""
         rows = texts.join(scratch.put(cells).hint("merge"), "id").select("block", "i", "j", "part", "id", "label", "text")
-        return scratch.put(rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id").mapInArrow(_search(num, den, words), "a long, b long"))
+        found = scratch.put(rows.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "id").mapInArrow(_search(num, den, words), "a long, b long"))
+        scratch.forget()
+        return found
 
     def cut(weight) -> object:
         return F.when(weight <= block, 1).otherwise(F.ceil(weight * 2 / block)).cast("int")

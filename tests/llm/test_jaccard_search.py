@@ -100,3 +100,20 @@ def test_components(spark, tmp_path, small):
             label = {v: min(x, y) if c == max(x, y) else c for v, c in label.items()}
     got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4), Scratch(spark, "components"), small).collect()
     assert {r.node: r.component for r in got} == label and len(got) == len(label)
+
+
+def test_a_passage_that_many_quote_ties_no_block(spark, monkeypatch):
+    """Blocks that a common passage ties together were compared part by part, at a cost that grew with their square."""
+    beyond = []
+    monkeypatch.setattr(jaccard, "_beyond", lambda *a, f=jaccard._beyond: beyond.append(1) or f(*a))
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, values = [word() for _ in range(30)], []
+    for _ in range(120):
+        own = [word() for _ in range(270)]
+        values.append(" ".join(own[:135] + passage + own[135:]))
+        own[rng.randrange(270)] = "changed"
+        values.append(" ".join(own[:135] + passage + own[135:]))
+    df = spark.createDataFrame([(i % 230, v) for i, v in enumerate(values)], "doc_id long, text string").repartition(5)  # ids 0 to 9 have two texts
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df, 5, 80, 100, block=5_000).collect()}
+    assert got == {(i % 230, (i - i % 2) % 230) for i in range(240)} and not beyond
