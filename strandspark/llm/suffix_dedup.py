@@ -247,7 +247,9 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols[:5]] + [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[5:6]] + [pa.array(np.concatenate(c).astype(np.int32)) for c in cols[6:]], names=names)
 
+    # each step is written and its shuffle files go before the next, which has the texts or as much to move
     seen = scratch.put(long.mapInArrow(survey, "sh long, h1 long, h2 long, d long, tk long, pos int, l int, r int"))
+    scratch.forget()
     # written, so that a seed of very many places can be split among tasks when places look it up
     again = scratch.put(seen.groupBy("sh").agg(F.count("*").alias("n")).where("n > 1").select("sh"))
     scratch.forget()
@@ -257,11 +259,15 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
     classes = scratch.put(same.groupBy("sh", "h1", "h2", "l", "r").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("d", "tk", "pos")]))
     scratch.forget()
     whole = same.join(classes.where((F.col("n") > 1) & (F.col("l") + F.col("r") >= least)).select("sh", "h1", "h2"), ["sh", "h1", "h2"], "left_semi")
-    covered = [whole.select("d", "tk", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"), (F.col("l") + F.col("r") >= match).alias("long"))]
+    covered = [scratch.put(whole.select("d", "tk", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"), (F.col("l") + F.col("r") >= match).alias("long")))]
+    scratch.forget()
 
     groups = classes.groupBy("sh").agg(F.count("*").alias("kinds")).where("kinds > 1")
     ask = classes.join(groups, "sh").select("d", "tk", F.struct("sh", "pos", "l", "r", "n", "kinds").alias("a"))
-    ask = ask.groupBy("d", "tk").agg(F.collect_list("a").alias("asked"))  # no more than a document has anchors
+    ask = scratch.put(ask.groupBy("d", "tk").agg(F.collect_list("a").alias("asked")))  # no more than a document has anchors
+    crowded = not groups.where(F.col("kinds") > crowd).isEmpty()
+    scratch.drop(same, classes)
+    scratch.forget()
 
     def surroundings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,9 +314,10 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
         yield flush()
 
     few = around.where(F.col("kinds") <= crowd).select("sh", "d", "tk", "pos", "l", "n", "around")
-    covered.append(few.repartition(parts, "sh").sortWithinPartitions("sh").mapInArrow(sort, "d long, tk long, start long, end long, long boolean"))
+    covered.append(scratch.put(few.repartition(parts, "sh").sortWithinPartitions("sh").mapInArrow(sort, "d long, tk long, start long, end long, long boolean")))
+    scratch.forget()
 
-    if not groups.where(F.col("kinds") > crowd).isEmpty():
+    if crowded:
 
         def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -325,6 +332,7 @@ def repeated_spans(src: DataFrame, scratch: Scratch, match: int = MATCH, seed: i
 
         many = around.where(F.col("kinds") > crowd).select("sh", "d", "tk", "pos", "l", "n", "around").dropDuplicates(["sh", "d", "tk", "pos"])
         seen = scratch.put(many.mapInArrow(windows, "sh long, off long, size long, w1 long, w2 long, d long, tk long, start long, n long"))
+        scratch.forget()
         # a window lies around several anchors; in the place of one of them it counts once
         window = ["sh", "off", "size", "w1", "w2"]
         often = seen.groupBy(*window).agg(F.sum("n").alias("total")).where("total > 1").select(*window)
@@ -353,6 +361,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(docs[id_col].alias("id"), text.alias("text")).select("id", F.xxhash64("id").alias("d"), F.xxhash64("id", "text").alias("tk"), "text")
     spans = repeated_spans(src.select("d", "tk", "text"), scratch, match, seed, crowd, passage)
     per = scratch.put(spans.select("d", "tk", F.col("start").cast("int"), F.col("end").cast("int"), "long").groupBy("d", "tk").agg(F.collect_set(F.struct("start", "end", "long")).alias("found")))
+    scratch.forget()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
