@@ -74,8 +74,8 @@ class Scratch:
 
     def forget(self) -> None:
         """Lets Spark remove the shuffle files of queries that have ended: it does so as soon as the driver
-        has collected their plans as garbage, which may else take as long as the job. What Python lets go is
-        told to the JVM by a thread of its own, after the call that let it go: hence the second round."""
+        has collected their plans as garbage, which may else take as long as the job. One round was seen
+        to free them one step late, two at once; presumably the JVM learns late of what Python lets go."""
         for _ in range(2):
             gc.collect()
             time.sleep(0.05)
