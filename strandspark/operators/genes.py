@@ -7,10 +7,12 @@ start, end, exons and cds (arrays of start, end by start), start_codon and stop_
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import BIN, overlap_pairs
+from .tiles import key, least_around
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 # Chromosome names that convert between the two naming schemes.
@@ -259,38 +261,50 @@ CLASSES = ("coding", "utr-5", "utr-3", "other-exon", "intron", "promoter")
 
 
 def class_ranges(tx: DataFrame, promoter: int = 2000) -> DataFrame:
-    """Ranges by class of a gene model: chrom, start, end, strand, rank (place in CLASSES)."""
-    parts = None
-    for rank, spans in enumerate((F.col("cds"), utr5(), utr3(), F.col("exons"), introns_of())):
-        one = tx.select("chrom", "strand", F.explode(spans).alias("x")).select("chrom", "x.start", "x.end", "strand", F.lit(rank).alias("rank"))
-        parts = one if parts is None else parts.unionByName(one)
+    """Ranges by class of a gene model: chrom, start, end, strand, rank (place in CLASSES). The same range comes
+    from each transcript that has it."""
+    ranked = lambda spans, rank: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank")))
+    each = [ranked(spans, rank) for rank, spans in enumerate((F.col("cds"), utr5(), utr3(), F.col("exons"), introns_of()))]
+    parts = tx.select("chrom", "strand", F.explode(F.concat(*each)).alias("x")).select("chrom", "x.start", "x.end", "strand", "x.rank")
     g = genes(tx)
     plus = F.col("strand") == "+"
     near = g.select("chrom", F.when(plus, F.col("start") - promoter).otherwise(F.col("end")).alias("start"), F.when(plus, F.col("start")).otherwise(F.col("end") + promoter).alias("end"), "strand", F.lit(5).alias("rank"))
-    return parts.unionByName(near).distinct()
+    return parts.unionByName(near)
+
+
+def _side(strand: Column) -> Column:
+    return F.when(strand == "+", 0).when(strand == "-", 1).when(strand.isNull(), 2).otherwise(3)
+
+
+#: By the side of a point and four times the rank of a range plus its side: the class, then unknown, same or other strand.
+_RANK = np.array([[4 * (n // 4) + (0 if 2 in (q, n % 4) else 1 if q == n % 4 else 2) for n in range(4 * len(CLASSES))] for q in range(4)])
+
+
+def _classed(df: DataFrame, ranges: DataFrame, pos: Column, name: str, mitochondrial: str) -> DataFrame:
+    """df with the class around pos as name. Classes are laid over each tile once and looked up there."""
+    spans = ranges.select(key("chrom").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"), (F.col("rank") * 4 + _side(F.col("strand"))).alias("n")).distinct()
+    row = F.struct(*df.columns)
+    asked = df.select(key("chrom").alias("k"), pos.cast("long").alias("s"), _side(F.col("strand")).alias("e"), row.alias("row"))
+    got = least_around(spans, asked, ("row",), _RANK).unionByName(asked.where("k is null or s is null").select("row", F.lit(-1).cast("long").alias("v")))
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    tag = F.when(F.col("v") < 0, "intergenic").otherwise(F.concat(F.get(names, F.shiftright("v", 2).cast("int")), F.when(F.col("v").bitwiseAND(3) == 2, "-rev").otherwise("")))
+    if "spliced" in df.columns:
+        tag = F.when(F.col("row.spliced"), "junction").otherwise(tag)
+    return got.select("row.*", F.when(F.col("row.chrom") == mitochondrial, "mitochondrial").otherwise(tag).alias(name))
 
 
 def classify(points: DataFrame, ranges: DataFrame, mitochondrial: str = "chrM", bin_size: int = BIN) -> DataFrame:
     """points (chrom, pos, strand and, if known, spliced) with tag: the first class with a range around the
     position, with -rev if only ranges of the other strand are; junction for spliced reads, mitochondrial,
-    or intergenic."""
-    p = points.withColumns({"__rid": F.monotonically_increasing_id(), "start": F.col("pos").cast("long"), "end": (F.col("pos") + 1).cast("long")})
-    hits = overlap_pairs(p.select("__rid", "chrom", "start", "end", "strand"), ranges, False, False, 0, bin_size, ("rank", "strand"))
-    best = hits.groupBy("__rid").agg(F.min(F.struct(F.col("t_rank").alias("rank"), (F.col("strand") != F.col("t_strand")).alias("rev"))).alias("b"))
-    names = F.array(*[F.lit(c) for c in CLASSES])
-    tag = F.when(F.col("b").isNull(), "intergenic").otherwise(F.concat(F.get(names, F.col("b.rank")), F.when(F.col("b.rev"), "-rev").otherwise("")))
-    if "spliced" in points.columns:
-        tag = F.when(F.col("spliced"), "junction").otherwise(tag)
-    tag = F.when(F.col("chrom") == mitochondrial, "mitochondrial").otherwise(tag)
-    return p.join(best, "__rid", "left").withColumn("tag", tag).drop("__rid", "start", "end", "b")
+    or intergenic. Strands are +, -, unknown (null) or one other mark."""
+    return _classed(points, ranges, F.col("pos"), "tag", mitochondrial)
 
 
 def classify_regions(bed: DataFrame, ranges: DataFrame, mitochondrial: str = "chrM", bin_size: int = BIN) -> DataFrame:
     """bed with tag: the classes of start and last base, joined by / where they differ."""
-    b = bed.withColumn("__b", F.monotonically_increasing_id())
-    ends = b.select("__b", "chrom", "strand", F.posexplode(F.array("start", F.col("end") - 1)).alias("__k", "pos"))
-    tags = classify(ends, ranges, mitochondrial, bin_size).groupBy("__b").agg(F.min_by("tag", "__k").alias("a"), F.max_by("tag", "__k").alias("z"))
-    return b.join(tags, "__b").withColumn("tag", F.when(F.col("a") == F.col("z"), F.col("a")).otherwise(F.concat_ws("/", "a", "z"))).drop("__b", "a", "z")
+    one = bed.select(F.struct(*bed.columns).alias("__bed"), "chrom", "strand", "start", "end")
+    two = _classed(_classed(one, ranges, F.col("start"), "__a", mitochondrial), ranges, F.col("end") - 1, "__z", mitochondrial)
+    return two.select("__bed.*", F.when(F.col("__a") == F.col("__z"), F.col("__a")).otherwise(F.concat_ws("/", "__a", "__z")).alias("tag"))
 
 
 def annotate(points: DataFrame, tx: DataFrame, bin_size: int = 10_000) -> DataFrame:
