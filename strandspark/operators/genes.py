@@ -95,19 +95,31 @@ def introns_of() -> Column:
 def regions(tx: DataFrame) -> DataFrame:
     """Disjoint exon regions of each gene: gid, chrom, strand, gene_name, i (from 1), start, end, const (every
     transcript that reaches over the region has it) and names of those that do. A gene is one row's work."""
-    e = tx.select("gid", "chrom", "strand", _label().alias("gene_name"), "transcript_id", F.explode("exons").alias("x")).select("gid", "chrom", "strand", "gene_name", "transcript_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
-    cuts = e.select("gid", "chrom", F.explode(F.array("s", "e")).alias("p")).distinct()
-    w = Window.partitionBy("gid", "chrom").orderBy("p")
-    parts = cuts.withColumn("q", F.lead("p").over(w)).where("q is not null")
-    reach = e.groupBy("gid", "chrom", "transcript_id").agg(F.min("s").alias("a"), F.max("e").alias("b"))
-    inside = parts.join(e, ["gid", "chrom"]).where("s <= p and q <= e").groupBy("gid", "chrom", "p", "q").agg(F.array_sort(F.collect_set("transcript_id")).alias("names"), F.first("strand").alias("strand"), F.first("gene_name").alias("gene_name"))
-    over = parts.join(reach, ["gid", "chrom"]).where("a <= p and q <= b").groupBy("gid", "chrom", "p", "q").agg(F.count("*").alias("n"))
-    # neighbours with the same transcripts are one region
-    w = Window.partitionBy("gid", "chrom").orderBy("p")
-    m = inside.join(over, ["gid", "chrom", "p", "q"]).withColumn("new", ~((F.lag("q").over(w) == F.col("p")) & (F.lag("names").over(w) == F.col("names"))))
-    m = m.withColumn("i", F.sum(F.coalesce("new", F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = m.groupBy("gid", "chrom", "i").agg(F.first("strand").alias("strand"), F.first("gene_name").alias("gene_name"), F.min("p").alias("start"), F.max("q").alias("end"), F.min(F.size("names") == F.col("n")).alias("const"), F.first("names").alias("names"))
-    return out.select("gid", "chrom", "strand", "gene_name", "i", "start", "end", "const", "names")
+    own = F.struct("tx", "transcript_id", "strand", _label().alias("gene_name"), "exons", F.array_min(F.transform("exons", lambda x: x["start"])).alias("a"), F.array_max(F.transform("exons", lambda x: x["end"])).alias("b"))
+    g = tx.groupBy("gid", "chrom").agg(F.array_sort(F.collect_list(own)).alias("t"))
+    ends = F.flatten(F.transform("t", lambda y: F.concat(F.transform(y["exons"], lambda x: x["start"]), F.transform(y["exons"], lambda x: x["end"]))))
+    g = g.withColumn("cuts", F.array_sort(F.array_distinct(ends)))
+
+    def piece(p: Column, q: Column) -> Column:
+        has = F.filter("t", lambda y: F.exists(y["exons"], lambda x: (x["start"] <= p) & (q <= x["end"])))
+        first = F.get(has, F.lit(0))
+        reach = F.size(F.filter("t", lambda y: (y["a"] <= p) & (q <= y["b"])))
+        names = F.array_sort(F.transform(has, lambda y: y["transcript_id"]))
+        return F.struct(p.alias("start"), q.alias("end"), (F.size(has) == reach).alias("const"), names.alias("names"), first["strand"].alias("strand"), first["gene_name"].alias("gene_name"))
+
+    following = F.slice("cuts", F.lit(2), F.greatest(F.size("cuts"), F.lit(0)))
+    g = g.select("gid", "chrom", F.filter(F.zip_with("cuts", following, piece), lambda x: F.size(x["names"]) > 0).alias("m"))
+    # neighbours with the same transcripts are one region: it begins where the piece before is another one
+    fresh = F.filter(F.transform("m", lambda x, i: i), lambda i: (i == 0) | (F.get("m", i - 1)["end"] != F.get("m", i)["start"]) | (F.get("m", i - 1)["names"] != F.get("m", i)["names"]))
+    g = g.select("gid", "chrom", "m", fresh.alias("f"))
+
+    def region(at: Column, k: Column) -> Column:
+        upto = F.coalesce(F.get("f", k + 1), F.size("m"))
+        x, last = F.get("m", at), F.get("m", upto - 1)
+        return F.struct((k + 1).alias("i"), x["strand"].alias("strand"), x["gene_name"].alias("gene_name"), x["start"].alias("start"), last["end"].alias("end"), F.forall(F.slice("m", at + 1, upto - at), lambda y: y["const"]).alias("const"), x["names"].alias("names"))
+
+    out = g.select("gid", "chrom", F.explode(F.transform("f", region)).alias("r"))
+    return out.select("gid", "chrom", "r.strand", "r.gene_name", F.col("r.i").cast("long").alias("i"), "r.start", "r.end", "r.const", "r.names")
 
 
 def _bed(df: DataFrame, start: Column, end: Column, site: Column) -> DataFrame:
